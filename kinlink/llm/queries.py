@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_dedup, mixing, sharding, suffix_dedup
+from . import cover_dedup, mixing, sharding, suffix_dedup, warc
+from .scratch import fresh_path
 
 SHARD_BYTES = 32 << 20
 
@@ -18,6 +19,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(_read(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.roundtrip(_read(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cover_dedup.substring_dedup(_read(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -36,11 +42,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_suffix_dedup": op2_suffix_dedup, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": op8_sharding, "op10_mixing": op10_mixing}
+    return {"op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": op8_sharding, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": op2_suffix_dedup, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": OP8_SQL}
+    return {"op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": OP8_SQL}
 
 
 #: Levels 0 to 24 of the directory over md5 prefixes; enough for the tables that the SQL is run on.
