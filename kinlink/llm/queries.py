@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_dedup, mixing, sharding, suffix_dedup, warc
+from . import cover_dedup, decontam, mixing, sharding, suffix_dedup, warc
 from .scratch import fresh_path
 
 SHARD_BYTES = 32 << 20
@@ -24,6 +24,17 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.phrase_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), contaminated().alias("contaminated"))
+
+
+def contaminated():
+    """At least one word in twenty lies inside an occurrence of a benchmark window."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
 def op7_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cover_dedup.substring_dedup(_read(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -42,11 +53,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": op8_sharding, "op10_mixing": op10_mixing}
+    return {"op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": op8_sharding, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": OP8_SQL}
+    return {"op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": OP8_SQL}
 
 
 #: Levels 0 to 24 of the directory over md5 prefixes; enough for the tables that the SQL is run on.
