@@ -118,15 +118,19 @@ def fit(emit, pull, size: int, starts: np.ndarray, label: np.ndarray, weight: np
     return Model(theta[:size], theta[size : size + 4].reshape(2, 2), theta[size + 4 :])
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression of y on the columns of x (with intercept first), by Newton steps."""
+def calibrate(x: np.ndarray, y: np.ndarray, prior: float, steps: int = 50, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression of y on the columns of x (with intercept first), by Newton steps.
+
+    Classes are weighted to the share ``prior`` of label 1, whatever their shares in the sample.
+    """
     a = np.column_stack([np.ones(len(x)), x])
+    v = np.where(y > 0, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     b = np.zeros(a.shape[1])
     hold = ridge * np.eye(a.shape[1])
     hold[0, 0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -LIMIT, LIMIT)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + hold, a.T @ (y - p) - hold @ b)
+        step = np.linalg.solve((a * (v * p * (1 - p))[:, None]).T @ a + hold, a.T @ (v * (y - p)) - hold @ b)
         b = b + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break

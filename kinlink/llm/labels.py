@@ -20,12 +20,14 @@ def held_out(key: Column) -> Column:
     return F.coalesce(fold(key) == 0, F.lit(True))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", max_docs: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", max_docs: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int], float]:
     """Whole texts and labels of at most ``max_docs`` documents and ``max_bytes`` bytes, in hash order of their ids.
 
-    Half of the documents are of each class where there are enough.  Rows of the held-out fold and null labels are left out.
+    Half of the documents are of each class where there are enough; the third value is the share of label 1 among all rows
+    that may be learned from.  Rows of the held-out fold and null labels are left out.
     """
     known = labels.where(~held_out(F.col(key)) & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
+    prior = known.agg(F.coalesce(F.avg("_y"), F.lit(0.5)).alias("p")).first()["p"]
     order = F.xxhash64(F.lit(29), F.col(key))
     ids = [known.where(F.col("_y") == y).orderBy(order).limit(max_docs // 2).collect() for y in (0, 1)]
     chosen = docs.sparkSession.createDataFrame([(r[key], r["_y"]) for part in ids for r in part], f"{key} long, _y int")
@@ -40,6 +42,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id",
             break
         last = o
     if last is None:
-        return [], []
+        return [], [], prior
     got = rows.where(F.col("_o") <= last).orderBy("_o", "_n").select(text, "_y").collect()
-    return [r[0] or "" for r in got], [r[1] for r in got]
+    return [r[0] or "" for r in got], [r[1] for r in got], prior

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_dedup, decontam, mixing, sharding, suffix_dedup, toxicity, warc
+from . import cover_dedup, decontam, mixing, quality, sharding, suffix_dedup, toxicity, warc
 from .scratch import fresh_path
 
 SHARD_BYTES = 32 << 20
@@ -40,6 +40,11 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.assess(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "n_lines", "good_lines")
+
+
 def op7_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cover_dedup.substring_dedup(_read(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -58,11 +63,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": op8_sharding, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op5_quality": op5_quality, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": op8_sharding, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": OP8_SQL}
+    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op5_quality": op5_quality, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": OP8_SQL}
 
 
 #: Levels 0 to 24 of the directory over md5 prefixes; enough for the tables that the SQL is run on.

@@ -67,7 +67,7 @@ def _tied(word: np.ndarray, feat: np.ndarray, doc: np.ndarray, y: np.ndarray) ->
     return (n >= 3) & (a / np.maximum(n, 1) > (1 + base) / 2) & (g > 2 * np.log(tested))
 
 
-def train(texts: list[str], toxic: list[int]) -> crf.Model | None:
+def train(texts: list[str], toxic: list[int], prior: float) -> crf.Model | None:
     y = np.array(toxic, dtype=float)
     if not len(y) or y.min() == y.max():
         return None
@@ -85,7 +85,7 @@ def train(texts: list[str], toxic: list[int]) -> crf.Model | None:
 
     # rare features move as fast as frequent ones under Adam: a weak penalty holds the rest near zero
     m = crf.fit(lambda v: v[feat].sum(axis=0), pull, size, starts, label, steps=40, rate=0.25, l2=1e-5)
-    m.calibration = crf.calibrate(_summary(m.marginals(m.weights[feat].sum(axis=0), starts), w), y)
+    m.calibration = crf.calibrate(_summary(m.marginals(m.weights[feat].sum(axis=0), starts), w), y, prior)
     m.weights = m.weights.astype(np.float32)
     return m
 
