@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_dedup, decontam, mixing, quality, sharding, suffix_dedup, toxicity, warc
+from . import cover_dedup, decontam, embed_dedup, mixing, quality, sharding, suffix_dedup, toxicity, warc
 from .scratch import fresh_path
 
 SHARD_BYTES = 32 << 20
@@ -56,6 +56,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "row_bytes", "shard_depth", "shard_id")
 
 
+def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link(_read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = mixing.assign(docs, "text", "source", "doc_id")
@@ -63,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op5_quality": op5_quality, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": op8_sharding, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op5_quality": op5_quality, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": op8_sharding, "op9_embed_dedup": op9_embed_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
