@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 FOLDS = 5
 #: Documents and bytes of text of a training sample: bounds of what the driver holds.
 SAMPLE_DOCS = 4000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_BYTES = 6 << 20
 
 
 def fold(key: Column) -> Column:

@@ -55,10 +55,12 @@ def _tied(word: np.ndarray, feat: np.ndarray, doc: np.ndarray, y: np.ndarray) ->
     beside = np.concatenate([[U(0)], word, [U(0)]])
     around = textkit.mix(beside[:-2] * U(3) + textkit.mix(beside[2:] + U(1)) + word * U(5))
     _, once = np.unique(around, return_index=True)
-    pairs = np.unique(np.concatenate([f[once].astype(np.int64) * len(y) + doc[once] for f in feat]))
-    f, d = pairs // len(y), pairs % len(y)
-    a = np.bincount(f, weights=y[d], minlength=size)
-    n = np.bincount(f, minlength=size).astype(float)
+    a, n = np.zeros(size), np.zeros(size)
+    for form in feat:
+        pairs = np.unique(form[once].astype(np.int64) * len(y) + doc[once])
+        f = pairs // len(y)
+        a += np.bincount(f, weights=y[pairs % len(y)], minlength=size)
+        n += np.bincount(f, minlength=size)
     base = y.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         b = n - a
@@ -67,6 +69,13 @@ def _tied(word: np.ndarray, feat: np.ndarray, doc: np.ndarray, y: np.ndarray) ->
     return (n >= 3) & (a / np.maximum(n, 1) > (1 + base) / 2) & (g > 2 * np.log(tested))
 
 
+def _emission(weights: np.ndarray, feat: np.ndarray) -> np.ndarray:
+    out = weights[feat[0]].astype(float)
+    for f in feat[1:]:
+        out += weights[f]
+    return out
+
+
 def train(texts: list[str], toxic: list[int], prior: float) -> crf.Model | None:
     y = np.array(toxic, dtype=float)
     if not len(y) or y.min() == y.max():
@@ -75,7 +84,9 @@ def train(texts: list[str], toxic: list[int], prior: float) -> crf.Model | None:
     w, feat = _features(buf, offs)
     doc = w.doc
     tied = _tied(w.hash, feat, doc, y)
-    label = (tied[feat].any(axis=0) & (y[doc] > 0)).astype(float)
+    label = np.zeros(len(doc))
+    for form in feat:
+        label[tied[form] & (y[doc] > 0)] = 1.0
     starts = np.zeros(len(doc), dtype=bool)
     starts[w.first[:-1][w.n > 0]] = True
     size = 1 << BITS
@@ -83,9 +94,8 @@ def train(texts: list[str], toxic: list[int], prior: float) -> crf.Model | None:
     def pull(grad: np.ndarray) -> np.ndarray:
         return sum(np.bincount(f, weights=grad, minlength=size) for f in feat)
 
-    # rare features move as fast as frequent ones under Adam: a weak penalty holds the rest near zero
-    m = crf.fit(lambda v: v[feat].sum(axis=0), pull, size, starts, label, steps=40, rate=0.25, l2=1e-5)
-    m.calibration = crf.calibrate(_summary(m.marginals(m.weights[feat].sum(axis=0), starts), w), y, prior)
+    m = crf.fit(lambda v: _emission(v, feat), pull, size, starts, label, steps=40, rate=0.25, l2=1e-5)
+    m.calibration = crf.calibrate(_summary(m.marginals(_emission(m.weights, feat), starts), w), y, prior)
     m.weights = m.weights.astype(np.float32)
     return m
 
@@ -114,10 +124,7 @@ def score(docs: DataFrame, model: crf.Model | None, key: str = "doc_id", text: s
                     w, feat = _features(buf, offs)
                     starts = np.zeros(len(w.start), dtype=bool)
                     starts[w.first[:-1][w.n > 0]] = True
-                    emission = m.weights[feat[0]].astype(float)
-                    for f in feat[1:]:
-                        emission += m.weights[f]
-                    marg = m.marginals(emission, starts)
+                    marg = m.marginals(_emission(m.weights, feat), starts)
                     s = crf.predict(m.calibration, _summary(marg, w))
                     spans = _spans(marg >= 0.5, w)
                 yield pa.record_batch([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "score", "predicted", "spans"])
