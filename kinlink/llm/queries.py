@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_dedup, decontam, embed_dedup, mixing, quality, sharding, suffix_dedup, toxicity, warc
+from . import cover_dedup, decontam, embed_dedup, minhash, mixing, quality, sharding, suffix_dedup, toxicity, warc
 from .scratch import fresh_path
 
 SHARD_BYTES = 32 << 20
@@ -45,6 +45,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "n_lines", "good_lines")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.classes(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op7_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cover_dedup.substring_dedup(_read(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -67,11 +72,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op5_quality": op5_quality, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": op8_sharding, "op9_embed_dedup": op9_embed_dedup, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op5_quality": op5_quality, "op6_minhash": op6_minhash, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": op8_sharding, "op9_embed_dedup": op9_embed_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op5_quality": op5_quality, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": OP8_SQL}
+    return {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op5_quality": op5_quality, "op6_minhash": op6_minhash, "op7_cover_dedup": op7_cover_dedup, "op8_sharding": OP8_SQL}
 
 
 #: Levels 0 to 24 of the directory over md5 prefixes; enough for the tables that the SQL is run on.
