@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
+from .scratch import stored
 
 U = np.uint64
 #: Words of test items in one broadcast block.
@@ -250,6 +251,20 @@ def phrase_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     return back.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select("doc_id", "doc_row", "n_words", "n_hit", "spans", "items")
 
 
+def contaminated(n_hit="n_hit", n_words="n_words", share: int = 20):
+    """At least one word in ``share`` lies inside an occurrence of a test phrase."""
+    return (F.col(n_hit) > 0) & (share * F.col(n_hit) >= F.col(n_words))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows of ``docs`` (all columns) that are not contaminated."""
+    found = phrase_matches(docs, items, key, text, window=window, block_words=block_words)
+    # few documents are contaminated; the planner sees the true size of their table
+    gone = stored(found.where(contaminated()).select(F.col("doc_id").alias("_k"), F.col("doc_row").alias("_r")).distinct(), "contaminated")
+    row = F.xxhash64(key, text)
+    return docs.withColumn("_row", row).join(gone, (F.col("_row") == F.col("_r")) & F.col(key).cast("long").eqNullSafe(F.col("_k")), "left_anti").drop("_row")
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", terms: int = 4, within: int = 30, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, position): a place of the item's rarest term with its next rarest ``terms`` - 1 within ``within`` words on either side.
 

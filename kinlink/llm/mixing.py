@@ -155,7 +155,8 @@ def mix(df: DataFrame, text: str, source: str, key: str, recipe: Recipe = Recipe
     names = [c for c in df.columns if c != "shard"]
     a = assign(df, text, source, key, recipe).select("*", F.posexplode("shards").alias("_i", "shard"))
     left = F.col("taken") - F.col("_i") * F.col("size")
-    lead = F.regexp_extract(F.col(text), F.concat(F.lit(r"(?s)^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){0,"), left.cast("string"), F.lit("})")), 1)
+    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    lead = F.array_join(F.slice(words, F.lit(1), left.cast("int")), "")
     a = a.withColumn(text, F.when(left < F.col("size"), lead).otherwise(F.col(text)))
     a = a.withColumn("_o", F.xxhash64(F.lit(recipe.seed + 3), F.col(key).cast("string"), "_i"))
     return a.repartition("shard", F.pmod("_o", F.lit(8))).sortWithinPartitions("shard", "_o").select(*names, "shard")

@@ -32,12 +32,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.phrase_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), contaminated().alias("contaminated"))
-
-
-def contaminated():
-    """At least one word in twenty lies inside an occurrence of a benchmark window."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
