@@ -1,15 +1,332 @@
-"""Queries over the driver's tables, and the SQL that must give the same rows."""
+"""Queries over the driver's tables.  ``oracle`` holds the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kinlink.functions import alt_text as A
+from kinlink.functions import similarity as S
+from kinlink.functions import text as X
+from kinlink.operators import blocking as B
+from kinlink.operators import decision, dense, features, keys, labels, lexical, metrics, prepare, ranker, validate
+from kinlink.sources import tsv
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+from . import fixtures, oracle
+from .fixtures import document_entities, part_entities, part_truth, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_entities(spark, sf_dir).unionByName(document_entities(spark, sf_dir))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.prepare(part_entities(spark, sf_dir))
+
+
+def _queries(records: DataFrame) -> DataFrame:
+    return records.where("source = 'S1'").select(F.col("entity_id").alias("s1_id"))
+
+
+def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir)
+
+
+def country_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tsv.country_counts(_both(spark, sf_dir))
+
+
+def base_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir).select("entity_id", X.base_clean(F.col("business_name")).alias("name_clean"), X.base_clean(F.col("business_address")).alias("addr_clean"))
+
+
+def normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("business_name")
+    return _both(spark, sf_dir).select("entity_id", X.normalize_name(name).alias("name_norm"), X.normalize_name_core(name).alias("name_core"))
+
+
+def normalize_addr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir).select("entity_id", X.normalize_addr(F.col("business_address")).alias("addr_norm"))
+
+
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    addr = X.normalize_addr(F.col("business_address"))
+    return part_entities(spark, sf_dir).select("entity_id", F.array_join(X.all_numbers(addr), " ").alias("all_numbers"), F.array_join(X.postal_codes(addr), " ").alias("postal_codes"))
+
+
+def char_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = X.char_ngrams(F.col("name_norm"), 3)
+    return _records(spark, sf_dir).select("entity_id", F.size(grams).alias("n_grams"), F.array_join(F.array_sort(F.array_distinct(grams)), "/").alias("grams"))
+
+
+def record_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.tokens(_records(spark, sf_dir)).select("entity_id", "ns", "pos", "token")
+
+
+def alt_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = part_entities(spark, sf_dir)
+    name, addr = F.col("business_name"), F.col("business_address")
+    return e.select(
+        "entity_id",
+        A.clean_text_basic(name).alias("clean"),
+        A.normalize_business_name(name).alias("name_alt"),
+        A.normalize_business_name(name, remove_legal=True).alias("name_alt_core"),
+        A.normalize_address(addr).alias("addr_alt"),
+        F.array_join(A.extract_numbers(addr), " ").alias("alt_numbers"),
+        A.extract_postal_code(addr).alias("alt_postal"),
+        A.composite_representation(name, addr, F.col("country")).alias("composite"),
+    )
+
+
+def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.token_counts(prepare.tokens(prepare.targets(_records(spark, sf_dir))))
+
+
+def rare_doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tok = prepare.tokens(prepare.targets(_records(spark, sf_dir)))
+    return B.rare_doc_tokens(tok, B.token_counts(tok)).select("entity_id", "ns", "token", "df", "rank")
+
+
+def rare_query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _records(spark, sf_dir)
+    counts = B.token_counts(prepare.tokens(prepare.targets(r)))
+    out = B.rare_query_tokens(prepare.tokens(prepare.queries(r)), counts)
+    return out.select("entity_id", "ns", "token", "df", "rank", F.round("weight", 6).alias("weight"))
+
+
+def composite_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys.key_table(_records(spark, sf_dir)).select("entity_id", "ord", "family", "key", "weight")
+
+
+def key_posting_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys.posting_stats(keys.key_table(prepare.targets(_records(spark, sf_dir))))
+
+
+def rare_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = B.rare_hits(_records(spark, sf_dir))
+    return hits.groupBy("s1_id", "target_id", "channel").agg(F.count(F.lit(1)).alias("hits"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+def composite_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = B.scored(B.key_hits(_records(spark, sf_dir)))
+    return out.select("s1_id", "target_id", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+def exact_name_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skew case: repeated first lines of documents block each other; candidates per family and query source."""
+    hits = B.key_hits(prepare.prepare(document_entities(spark, sf_dir)), families=["FULL_NAME"])
+    return hits.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_targets"))
+
+
+def _blocked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    r = _records(spark, sf_dir)
+    return r, B.block(r)
+
+
+def blocked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, c = _blocked(spark, sf_dir)
+    return c.select("s1_id", "target_id", "rank", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+def truth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth through the file form: lists per S1 record, then exploded and resolved."""
+    lists = part_truth(spark, sf_dir).groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_list("target_id")), ", ").alias("ids"))
+    return labels.resolve_truth(tsv.explode_truth(lists), part_entities(spark, sf_dir))
+
+
+def truth_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.resolution_stats(part_truth(spark, sf_dir), part_entities(spark, sf_dir))
+
+
+def label_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, c = _blocked(spark, sf_dir)
+    return labels.label(c, part_truth(spark, sf_dir)).select("s1_id", "target_id", "label")
+
+
+def pair_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = _blocked(spark, sf_dir)
+    n = prepare.targets(r).agg(F.count(F.lit(1)).alias("n_targets"))
+    return metrics.blocking_quality(_queries(r), part_truth(spark, sf_dir), c, n)
+
+
+def blocking_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = _blocked(spark, sf_dir)
+    return metrics.blocking_report(_queries(r), part_truth(spark, sf_dir), c)
+
+
+def _probabilities(c: DataFrame) -> DataFrame:
+    """A fixed probability of a candidate: its score by 100, one at most."""
+    return c.select("s1_id", "target_id", "rank", F.least(F.lit(1.0), F.round(F.col("score").cast("double"), 4) / 100).alias("prob"))
+
+
+def macro_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = _blocked(spark, sf_dir)
+    return metrics.macro(_queries(r), part_truth(spark, sf_dir), c.where("rank <= 2"))
+
+
+def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = _blocked(spark, sf_dir)
+    s = metrics.entity_scores(_queries(r), part_truth(spark, sf_dir), c.where("rank <= 2"))
+    return s.select("s1_id", "n_true", "n_found", "n_hit", F.round("f_beta", 6).alias("f_beta"))
+
+
+def singleton_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _records(spark, sf_dir)
+    n = metrics.truth_counts(_queries(r), part_truth(spark, sf_dir))
+    return n.groupBy("n_true").agg(F.count(F.lit(1)).alias("n_queries"))
+
+
+def missed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, c = _blocked(spark, sf_dir)
+    return metrics.missed_pairs(part_truth(spark, sf_dir), c.where("rank <= 1"), 2, 15)
+
+
+def key_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of true pairs that each family of keys finds alone."""
+    t = keys.key_table(_records(spark, sf_dir))
+    one = t.where("source = 'S1'").select("family", "key", F.col("entity_id").alias("s1_id"))
+    two = t.where("source <> 'S1'").select("family", "key", F.col("entity_id").alias("target_id"))
+    truth = part_truth(spark, sf_dir)
+    hit = one.join(two, ["family", "key"]).join(truth, ["s1_id", "target_id"], "left_semi").select("family", "s1_id", "target_id").distinct().groupBy("family").agg(F.count(F.lit(1)).alias("hit"))
+    n = truth.agg(F.count(F.lit(1)).alias("n"))
+    return hit.crossJoin(F.broadcast(n)).select("family", "hit", F.round(F.col("hit") / F.col("n"), 6).alias("recall"))
+
+
+def _set_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = _blocked(spark, sf_dir)
+    return features.with_attributes(c.where("rank <= 10"), r)
+
+
+def token_overlap_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = features.set_features()
+    made.pop("first_word_soundex")
+    return _set_features(spark, sf_dir).select("s1_id", "target_id", *[F.round(c, 6).alias(n) for n, c in made.items()])
+
+
+def soundex_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _set_features(spark, sf_dir).select("s1_id", "target_id", features.set_features()["first_word_soundex"].alias("first_word_soundex"))
+
+
+def jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _set_features(spark, sf_dir).where("name1 <> '' and name2 <> '' and addr1 <> '' and addr2 <> ''")
+    jw = lambda a, b: F.round(S.similarity("jaro_winkler", F.col(a), F.col(b)), 6)
+    return p.select("s1_id", "target_id", jw("name1", "name2").alias("name_jw"), jw("addr1", "addr2").alias("addr_jw"))
+
+
+def fuzz_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _set_features(spark, sf_dir)
+    names = [n for n in S.KERNELS if n not in ("jaro_winkler", "wratio")]
+    p = p.withColumns({"_n": S.similarities(names, F.col("name1"), F.col("name2")), "_a": S.similarities(names, F.col("addr1"), F.col("addr2"))})
+    return p.select("s1_id", "target_id", *[F.round(F.col(x)[n], 6).alias(f"{y}_{n}") for x, y in (("_n", "name"), ("_a", "addr")) for n in names])
+
+
+def wratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _set_features(spark, sf_dir).select("s1_id", "target_id", F.round(S.similarity("wratio", F.col("name1"), F.col("name2")), 6).alias("name_wratio"))
+
+
+def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = _blocked(spark, sf_dir)
+    return features.features(c.where("rank <= 10"), r)
+
+
+def two_stage_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, c = _blocked(spark, sf_dir)
+    return decision.decide(_probabilities(c), t_match=0.62, t_singleton=0.7).select("s1_id", "target_id")
+
+
+def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = _blocked(spark, sf_dir)
+    points = decision.grid(spark, [0.4, 0.6, 0.8], [0.45, 0.5, 0.55, 0.6, 0.65, 0.7])
+    return decision.sweep(_probabilities(c), _queries(r), part_truth(spark, sf_dir), points)
+
+
+def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision.best_point(threshold_grid(spark, sf_dir)).select("t_singleton", "t_match", "macro_f")
+
+
+def probability_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, c = _blocked(spark, sf_dir)
+    best = _probabilities(c).groupBy("s1_id").agg(F.max("prob").alias("max_p"))
+    return metrics.probability_profile(best)
+
+
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, c = _blocked(spark, sf_dir)
+    scored = labels.label(c, part_truth(spark, sf_dir)).select(F.round(F.col("score").cast("double"), 4).alias("score"), "label")
+    return metrics.roc_auc(scored)
+
+
+def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the last fifth of the queries under a small model of the first four fifths."""
+    r, c = _blocked(spark, sf_dir)
+    pairs = labels.label(features.features(c.where("rank <= 10"), r), part_truth(spark, sf_dir)).persist()
+    first, last = labels.query_slice(_queries(r), 0.0, 0.8), labels.query_slice(_queries(r), 0.8, 1.0)
+    model = ranker.train(labels.of_queries(pairs, first), ranker.Trees(rounds=10, rate=0.3, depth=4))
+    return ranker.predict(model, labels.of_queries(pairs, last)).select("s1_id", "target_id", "label", F.round("prob", 6).alias("prob"))
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = part_entities(spark, sf_dir)
+    out = lexical.retrieve(e.where("source = 'S1'"), lexical.fit(e.where("source <> 'S1'")), k=5)
+    return out.select("s1_id", "target_id", "rank", F.round("score", 4).alias("score"))
+
+
+def _tfidf(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    e = part_entities(spark, sf_dir)
+    one, two = (lexical.text_of(e.where(c)) for c in ("source = 'S1'", "source <> 'S1'"))
+    idf = lexical.tfidf_fit(two, "entity_id", "text")
+    return lexical.tfidf_top(lexical.tfidf(one, "entity_id", "text", idf), lexical.tfidf(two, "entity_id", "text", idf), k)
+
+
+def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tfidf(spark, sf_dir, 5).select("s1_id", "target_id", "rank", F.round("score", 6).alias("score"))
+
+
+def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even vectors ask for the five nearest odd ones."""
+    e = table(spark, sf_dir, "embeddings")
+    out = dense.top_cosine(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", "embedding", k=5)
+    return out.select("s1_id", "target_id", "rank", F.round("score", 6).alias("score"))
+
+
+def hybrid_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.interleave(bm25_topk(spark, sf_dir), _tfidf(spark, sf_dir, 5), limit=8)
+
+
+def submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = _blocked(spark, sf_dir)
+    return tsv.id_lists(_queries(r), decision.decide(_probabilities(c), 0.62, 0.7), "matched_entity_ids")
+
+
+def validate_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in a deliberately broken result file."""
+    lines = table(spark, sf_dir, "part").selectExpr(
+        "CASE WHEN p_partkey % 50 = 1 THEN concat('S1-', p_partkey) WHEN p_partkey % 50 = 2 THEN concat('S1-', p_partkey, '\tS1-9,S2-', p_partkey) "
+        "WHEN p_partkey % 50 = 3 THEN concat('S1-', p_partkey, '\tX-1,S2-1') WHEN p_partkey % 50 = 4 THEN concat('S1-', p_partkey, '\tS2-1,S2-1') "
+        "WHEN p_partkey % 50 = 5 THEN concat('S1-', p_partkey + 1, '\tS3-777777') ELSE concat('S1-', p_partkey, '\t') END AS value"
+    )
+    e = part_entities(spark, sf_dir)
+    known = e.where("source <> 'S1'").select(F.col("entity_id").alias("target_id"))
+    found = validate.violations(validate.parse(lines), e.where("source = 'S1'").select(F.col("entity_id").alias("s1_id")), known)
+    return validate.summary(found)
+
+
+_ALL = [
+    source_scan, country_counts, base_clean, normalize_name, normalize_addr, numbers, char_trigrams, record_tokens, alt_normalize, token_df,
+    rare_doc_tokens, rare_query_tokens, composite_keys, key_posting_stats, rare_candidates, composite_candidates, exact_name_blocks, blocked_topk,
+    truth_pairs, truth_stats, label_candidates, pair_completeness, blocking_report, macro_f05, entity_scores, singleton_stats, missed_pairs, key_recall,
+    token_overlap_features, soundex_match, jaro_winkler, fuzz_ratios, wratio, pair_features, two_stage_decision, threshold_grid, best_threshold,
+    probability_profile, roc_auc, gbt_scores, bm25_topk, tfidf_topk, embedding_topk, hybrid_interleave, submission_rows, validate_submission,
+]
+
+
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql(fixtures)

@@ -1,0 +1 @@
+"""The engine is batch only: its operators take and return whole tables.  Kept as the place for streaming drivers."""
