@@ -5,11 +5,13 @@
    shingle's own document frequency would make what many copies share weigh less than the edits in which they differ.)
 2. Every text gets SAMPLES consistent weighted samples: two texts agree in one with the probability of their weighted
    Jaccard similarity.  Texts with equal words are one class with one signature.
-3. Bands of ROWS samples put classes into buckets.  Every class is compared with its buckets' smallest class: candidate
-   pairs grow with the classes.  Pairs are verified by exact weighted Jaccard similarity and give components.
-4. What is left are pairs of a bucket in different components.  They are compared too, in blocks: every class outside
-   the component of the bucket's smallest against all classes of the bucket, first by signature, then exactly.  So a link
-   between unlike members of a bucket is not lost, and a bucket that forms one component costs nothing more.
+3. Bands of ROWS samples put classes into buckets.  Every class is compared with the most central class of its buckets (the
+   one with most company in all its buckets: an original rather than one of its copies).  So candidate pairs grow with the
+   classes.  Pairs are verified by exact weighted Jaccard similarity and give components.
+4. What is left are pairs of a bucket in different components.  Every class outside the component of the bucket's centre
+   is compared with all classes of the bucket, in blocks: first by signature; classes with a likely partner then with
+   their texts, exactly, inside the block.  Only links leave a block, one for each class and component; so no link between
+   unlike members of a bucket is lost, no pairs are written, and a bucket that forms one component costs nothing more.
 
 Words: A-Z lower-cased; runs of ASCII letters, digits and non-ASCII characters.
 
@@ -23,20 +25,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .scratch import stored
+from .scratch import bound_batches, stored
 
 U = np.uint64
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Samples, samples in a band, and agreeing samples that a pair needs before it is verified in full.
-SAMPLES, ROWS, AGREE = 36, 3, 20
+SAMPLES, ROWS, AGREE = 64, 4, 42
 SLOT_BITS = 18
-BLOCK = 4096
+#: Bytes of text whose shingles are in memory at once, and rows of a block of a large bucket.
+PIECE_BYTES = 512 << 10
+BLOCK = 512
+#: Parts of the table of document frequencies, and partial sums of each part.
+SEGMENTS, SALTS = 256, 1024
 SIGNED = "doc_id long, raw long, h1 long, h2 long, sig binary"
 
 
@@ -55,20 +62,25 @@ def inverse_frequencies(docs: DataFrame, text: str) -> np.ndarray:
     def count(batches):
         total, n = np.zeros(size, dtype=np.int64), 0
         for batch in batches:
-            for lo, hi, buf, offs in textkit.pieces(batch.column(0), 2 << 20):
+            for lo, hi, buf, offs in textkit.pieces(batch.column(0), PIECE_BYTES):
                 w = _words(buf, offs)
                 pairs = np.unique(w.doc << SLOT_BITS | _slots(w))
                 total += np.bincount(pairs & (size - 1), minlength=size)
                 n += hi - lo
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], n), pa.int64())], names=["slot", "n"])
-
-    df, n = np.zeros(size), 0
-    for slot, k in docs.select(text).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
-        if slot < 0:
-            n = k
-        else:
-            df[slot] = k
+        salt = TaskContext.get().partitionId() % SALTS
+        parts = [x.tobytes() for x in total.reshape(SEGMENTS, -1)] + [np.array([n]).tobytes()]
+        yield pa.record_batch([pa.array(range(SEGMENTS + 1), pa.int64()), pa.array([salt] * (SEGMENTS + 1), pa.int64()), pa.array(parts, pa.binary())], names=["segment", "salt", "counts"])
+
+    def add(t):
+        total = sum(np.frombuffer(x.as_py(), dtype=np.int64) for x in t["counts"])
+        return pa.table([t["segment"][:1], t["salt"][:1], pa.array([total.tobytes()], pa.binary())], names=["segment", "salt", "counts"])
+
+    # a task sends its table as SEGMENTS packed parts, which are added in two steps
+    schema = "segment long, salt long, counts binary"
+    parts = docs.select(text).mapInArrow(count, schema).groupBy("segment", "salt").applyInArrow(add, schema).groupBy("segment").applyInArrow(add, schema)
+    got = {r["segment"]: np.frombuffer(r["counts"], dtype=np.int64) for r in parts.collect()}
+    n = int(got[SEGMENTS][0]) if got else 0
+    df = np.concatenate([got[k] for k in range(SEGMENTS)]) if got else np.zeros(size)
     return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
 
@@ -105,7 +117,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return -np.log(u).astype(np.float32), x.astype(np.float32)
 
 
-def sample(s: Shingles, samples: int = SAMPLES, chunk: int = 1 << 16) -> np.ndarray:
+def sample(s: Shingles, samples: int = SAMPLES, chunk: int = 1 << 15) -> np.ndarray:
     """Improved consistent weighted samples (text, sample) as 32-bit codes; texts without shingles get zeros.
 
     Per shingle and sample: r, c ~ Gamma(2, 1), b ~ U(0, 1); t = floor(ln w / r + b); ln y = r (t - b); the shingle with
@@ -144,7 +156,7 @@ def signatures(docs: DataFrame, key: str, text: str, idf: np.ndarray) -> DataFra
 
     def run(batches):
         for batch in batches:
-            for lo, hi, buf, offs in textkit.pieces(batch.column(1), 2 << 20):
+            for lo, hi, buf, offs in textkit.pieces(batch.column(1), PIECE_BYTES):
                 s = Shingles(buf, offs, shared.value)
                 w = s.words
                 one = textkit.mix(textkit.span_hash(w.hash, w.first[:-1], w.first[1:], textkit.WORD_BASE) + w.n.astype(U))
@@ -180,49 +192,91 @@ def weighted_jaccard(pairs: DataFrame, idf: np.ndarray) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _agreeing(agree: int, samples: int):
-    """Rows of a bucket's block: those to compare (minor) with all; pairs in different components that agree in enough samples."""
-    def run(t):
-        node, comp, minor = (np.asarray(t[c]) for c in ("node", "comp", "minor"))
-        sig = np.frombuffer(b"".join(x.as_py() for x in t["sig"]), dtype=np.uint32).reshape(-1, samples)
-        one, every = np.flatnonzero(minor), np.flatnonzero(~minor)
-        got_a, got_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for lo in range(0, len(one), 64):
-            a = one[lo : lo + 64]
-            same = np.zeros((len(a), len(every)), dtype=np.uint8)
-            for j in range(samples):
-                same += sig[a, j][:, None] == sig[every, j][None, :]
-            x, y = np.nonzero((same >= agree) & (comp[a][:, None] != comp[every][None, :]))
-            got_a.append(np.minimum(node[a[x]], node[every[y]]))
-            got_b.append(np.maximum(node[a[x]], node[every[y]]))
-        pairs = np.unique(np.stack([np.concatenate(got_a), np.concatenate(got_b)]), axis=1)
-        return pa.table([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+def _likely(t: pa.Table, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (minor row, other row) of a block in different components that agree in AGREE samples and in no earlier band."""
+    comp, minor = np.asarray(t["comp"]), np.asarray(t["minor"])
+    sig = np.frombuffer(b"".join(x.as_py() for x in t["sig"]), dtype=np.uint32).reshape(-1, SAMPLES)
+    one, every = np.flatnonzero(minor), np.flatnonzero(~minor)
+    columns = np.ascontiguousarray(sig[every].T)
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for lo in range(0, len(one), 64):
+        a = one[lo : lo + 64]
+        same = np.zeros((len(a), len(every)), dtype=np.uint8)
+        for j in range(SAMPLES):
+            same += sig[a, j][:, None] == columns[j][None, :]
+        x, y = np.nonzero((same >= AGREE) & (comp[a][:, None] != comp[every][None, :]))
+        x, y = a[x], every[y]
+        if band:
+            before = (sig[x, : band * ROWS] == sig[y, : band * ROWS]).reshape(len(x), band, ROWS).all(axis=2).any(axis=1)
+            x, y = x[~before], y[~before]
+        left.append(x)
+        right.append(y)
+    return np.concatenate(left), np.concatenate(right), comp, minor
+
+
+def _needy(key, t):
+    """Rows of a block that have a likely partner in another component."""
+    x, y, _, _ = _likely(t, key[0].as_py())
+    at = pa.array(np.unique(np.concatenate([x, y])), pa.int64())
+    n = len(at)
+    fixed = [pa.array([k.as_py()] * n, kind) for k, kind in zip(key, (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+    return pa.table([*fixed, *[t[c].take(at) for c in ("node", "comp", "minor", "sig")]], names=["band", "key", "one", "two", "node", "comp", "minor", "sig"])
+
+
+def _linked(idf, threshold: float):
+    """Exact comparison of the likely pairs of a block: (a, b) for pairs at the threshold, one for each row and component."""
+    def run(key, t):
+        x, y, comp, _ = _likely(t, key[0].as_py())
+        node = np.asarray(t["node"])
+        texts, number = np.unique(node, return_inverse=True)
+        first = np.unique(number, return_index=True)[1]
+        s = Shingles(*textkit.column_bytes(t["text"].take(pa.array(first, pa.int64()))), idf.value)
+        total = np.add.reduceat(np.append(s.weight, 0.0), s.first[:-1]) if len(s.hash) else np.zeros(len(texts))
+        got: list[tuple[int, int]] = []
+        cut_at = np.append(np.flatnonzero(np.diff(x, prepend=-1)), len(x))
+        for lo, hi in zip(cut_at[:-1], cut_at[1:], strict=True):
+            i, others = number[x[lo]], number[y[lo:hi]]
+            mine = slice(s.first[i], s.first[i + 1])
+            n = s.first[others + 1] - s.first[others]
+            at = textkit.ranges(s.first[others], n)
+            k = np.minimum(np.searchsorted(s.hash[mine], s.hash[at]), mine.stop - mine.start - 1)
+            low = np.where(s.hash[mine][k] == s.hash[at], np.minimum(s.weight[mine][k], s.weight[at]), 0.0)
+            low = np.bincount(np.repeat(np.arange(len(n)), n), weights=low, minlength=len(n))
+            ok = np.flatnonzero(low / (total[i] + total[others] - low) >= threshold - 1e-12)
+            once = ok[np.unique(comp[y[lo:hi]][ok], return_index=True)[1]]
+            got += [(int(node[x[lo]]), int(node[y[lo + j]])) for j in once]
+        return pa.table([pa.array([p[0] for p in got], pa.int64()), pa.array([p[1] for p in got], pa.int64())], names=["a", "b"])
 
     return run
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, raw (hash of the text), class_id (smallest id of the near-duplicate class) for every input row."""
+    bound_batches(docs.sparkSession)
     idf = inverse_frequencies(docs, text)
     signed = stored(signatures(docs, key, text, idf), "signatures")
     nodes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "raw")).alias("f"), F.first("sig").alias("sig"))
     nodes = stored(nodes.select(F.col("h1").alias("node"), "h2", F.col("f.doc_id").alias("first"), F.col("f.raw").alias("raw"), "sig"), "nodes")
     band = F.expr(f"substring(sig, band * {4 * ROWS} + 1, {4 * ROWS})")
     keys = nodes.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // ROWS - 1)))).select("node", "band", F.xxhash64("band", band).alias("key"))
-    buckets = keys.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "least", "n")
+    buckets = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = stored(keys.join(buckets, ["band", "key"]), "buckets")
+    company = met.groupBy("node").agg(F.sum("n").alias("company"))
+    centre = met.join(company, "node").groupBy("band", "key").agg(F.max(F.struct("company", "node")).alias("c")).select("band", "key", F.col("c.node").alias("centre"))
+    met = stored(met.join(centre, ["band", "key"]), "centres")
+    texts = _texts(docs, key, text, nodes.join(met.select("node").distinct(), "node"))
 
     sig = nodes.select("node", "sig")
-    star = met.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    star = met.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     star = star.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
     same = F.expr(f"size(filter(sequence(0, {SAMPLES - 1}), i -> substring(sig_a, 4 * i + 1, 4) = substring(sig_b, 4 * i + 1, 4)))")
-    star = stored(star.where(same >= AGREE).select("a", "b"), "star")
-    links = stored(_verified(docs, key, text, nodes, star, idf, threshold), "links")
+    star = star.where(same >= AGREE).select("a", "b").join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    links = stored(weighted_jaccard(star, idf).where(F.col("similarity") >= threshold).select("a", "b"), "links")
     comp = stored(components(links), "components")
 
     # pairs of a bucket in different components
     inside = met.join(comp.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lead = inside.where("node = least").select("band", "key", F.col("comp").alias("lead"))
+    lead = inside.where("node = centre").select("band", "key", F.col("comp").alias("lead"))
     inside = inside.join(lead, ["band", "key"]).withColumn("minor", F.col("comp") != F.col("lead"))
     open_ = inside.where("minor").groupBy("band", "key").agg(F.count(F.lit(1)).alias("minors"))
     inside = inside.join(open_, ["band", "key"]).join(sig, "node")
@@ -232,11 +286,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     own_one, own_two = F.pmod(F.xxhash64("node"), rows).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
     left = inside.where("minor").withColumn("one", own_one).withColumn("two", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*cell, F.lit(True).alias("minor"))
     right = inside.withColumn("two", own_two).withColumn("one", F.explode(F.sequence(F.lit(0), rows - 1))).select(*cell, F.lit(False).alias("minor"))
-    rest = left.unionByName(right).groupBy("band", "key", "one", "two").applyInArrow(_agreeing(AGREE, SAMPLES), "a long, b long").distinct()
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = stored(_verified(docs, key, text, nodes, rest, idf, threshold), "more")
-        comp = components(links.select("a", "b").unionByName(more.select("a", "b")))
+    schema = "band int, key long, one int, two int, node long, comp long, minor boolean, sig binary"
+    needy = stored(left.unionByName(right).groupBy("band", "key", "one", "two").applyInArrow(_needy, schema), "needy")
+    if not needy.isEmpty():
+        shared = docs.sparkSession.sparkContext.broadcast(idf)
+        more = needy.join(texts, "node").groupBy("band", "key", "one", "two").applyInArrow(_linked(shared, threshold), "a long, b long")
+        comp = components(links.unionByName(stored(more, "more")))
 
     named = nodes.select("node", "h2", "first").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("first").alias("class_id"))
@@ -245,17 +300,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     return out.select("doc_id", "raw", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _verified(docs: DataFrame, key: str, text: str, nodes: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes whose texts reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first", "raw"), "node")
-    needed = stored(needed.select("node", F.col("first").alias("_k"), F.col("raw").alias("_r")), "needed")
+def _texts(docs: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the document that stands for each node."""
+    needed = stored(nodes.select("node", F.col("first").alias("_k"), F.col("raw").alias("_r")), "needed")
     texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_raw"))
-    texts = texts.join(needed, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_raw") == F.col("_r"))).select("node", "text")
-    texts = stored(texts, "texts")
+    # a merge join at every size: texts move once, needed or not
+    texts = stored(texts.join(needed.hint("merge"), F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_raw") == F.col("_r"))).select("node", "text"), "found")
     if texts.count() != needed.count():  # repeated rows
         texts = texts.groupBy("node").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return weighted_jaccard(both, idf).where(F.col("similarity") >= threshold)
+    return texts
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -23,6 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows and bytes of text in a batch between the JVM and Python: what a task holds at once on either side.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES; texts are longer than the defaults expect."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/kinlink-{name}-{uuid.uuid4().hex}"
