@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .scratch import stored
+from .scratch import bound_batches, stored
 
 U = np.uint64
 #: Words of test items in one broadcast block.
@@ -235,7 +235,8 @@ def _united(many: DataFrame) -> DataFrame:
 
 def phrase_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each document: n_words, n_hit, spans (packed 32-bit begin and end word) and items with occurrences."""
-    out, copies = [], None
+    bound_batches(docs.sparkSession)
+    out = []
     for q in item_blocks(items, item_key, item_text, window, block_words):
         q.order(term_counts(docs, text, q.vocab))
         out.append(_match(build_index(docs, key, text, q.vocab), q, window))
@@ -270,6 +271,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
 
     An item with fewer different terms asks for all of them.
     """
+    bound_batches(docs.sparkSession)
     out = None
     for q in item_blocks(items, item_key, item_text, 1, block_words):
         df = term_counts(docs, text, q.vocab)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import stored
+from .scratch import bound_batches, stored
 
 BUCKET, BLOCK = 16, 2048
 RECALL = 0.995
@@ -117,6 +117,7 @@ def _compare(cosine: float, tables: int, bits: int, wide: bool):
 
 def link(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
+    bound_batches(vectors.sparkSession)
     kind = vectors.schema[vector].dataType
     wide = not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding"))

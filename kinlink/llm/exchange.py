@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
+
 U = np.uint64
 SLICE_BYTES = 4 << 20
 ASKED = "slice long, bucket long, kind int, keys binary, data binary"
@@ -25,6 +27,7 @@ _ANSWER = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("kind", pa.
 
 def sliced(docs: DataFrame, key: str, text: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(slice, key, text) with about ``slice_bytes`` of text for each slice."""
+    bound_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-total // slice_bytes))
     return docs.select(F.pmod(F.xxhash64(key, text), F.lit(n)).alias("slice"), F.col(key).alias("key"), F.col(text).alias("text"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf, labels, textkit
+from .scratch import bound_batches
 
 RESULT = "doc_id long, score double, n_lines int, good_lines int"
 THRESHOLD = 0.3
@@ -164,11 +165,12 @@ def train(texts: list[str], good: list[int], prior: float, rounds: int = 3) -> c
 
 def score(docs: DataFrame, model: crf.Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, n_lines and good_lines of each whole text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            for lo, hi, buf, offs in textkit.pieces(batch.column(1), 2 << 20):
+            for lo, hi, buf, offs in textkit.pieces(batch.column(1), 1 << 20):
                 s, n, good = score_batch(shared.value, buf, offs)
                 yield pa.record_batch([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(s), pa.array(n, pa.int32()), pa.array(good, pa.int32())], names=["doc_id", "score", "n_lines", "good_lines"])
 
@@ -192,12 +194,13 @@ def assess(docs: DataFrame, known: DataFrame, label: str = "quality", max_docs:
 
 def keep_good(docs: DataFrame, known: DataFrame, label: str = "quality", text: str = "text", threshold: float = THRESHOLD, max_docs: int = labels.SAMPLE_DOCS) -> DataFrame:
     """The rows of ``docs`` (all columns) whose score reaches the threshold; rows are judged where they lie, without a join."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(*labels.sample(docs, known, label, max_docs=max_docs)))
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            ok = [score_batch(shared.value, buf, offs)[0] >= threshold for _, _, buf, offs in textkit.pieces(batch.column(at), 2 << 20)]
+            ok = [score_batch(shared.value, buf, offs)[0] >= threshold for _, _, buf, offs in textkit.pieces(batch.column(at), 1 << 20)]
             yield batch.filter(pa.array(np.concatenate(ok) if ok else np.zeros(0, dtype=bool)))
 
     return docs.mapInArrow(run, docs.schema)

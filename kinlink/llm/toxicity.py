@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf, labels, textkit
+from .scratch import bound_batches
 
 U = np.uint64
 BITS = 18
@@ -112,12 +113,13 @@ def _summary(marg: np.ndarray, w: textkit.Words) -> np.ndarray:
 
 def score(docs: DataFrame, model: crf.Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, predicted and the byte offsets (begin, end) of the toxic spans of each whole text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            for lo, hi, buf, offs in textkit.pieces(batch.column(1), 2 << 20):
+            for lo, hi, buf, offs in textkit.pieces(batch.column(1), 1 << 20):
                 if m is None:
                     s, spans = np.zeros(hi - lo), [[]] * (hi - lo)
                 else:
