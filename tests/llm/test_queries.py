@@ -1,0 +1,33 @@
+"""Registered queries against their SQL on the smallest tables."""
+
+import glob
+
+import duckdb
+import pytest
+
+from kinlink.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {path.split('/')[-1].removesuffix('.parquet')} AS SELECT * FROM '{path}'")
+    return con
+
+
+@pytest.mark.parametrize("name", list(queries.queries()))
+def test_query(spark, duck, name):
+    df = queries.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    rows = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
+    sql = queries.oracle_sql().get(name)
+    if sql is None:
+        assert rows
+        return
+    rel = duck.sql(sql)
+    assert sorted(rel.columns) == columns
+    at = [rel.columns.index(c) for c in columns]
+    assert rows == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())
