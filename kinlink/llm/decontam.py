@@ -120,10 +120,13 @@ def term_counts(docs: DataFrame, text: str, vocab: np.ndarray) -> np.ndarray:
 
 def build_index(docs: DataFrame, key: str, text: str, vocab: np.ndarray) -> DataFrame:
     """One row for each document: term numbers (32-bit), number of places of each, and the places, as packed arrays."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    index = _indexer(docs.sparkSession.sparkContext.broadcast(vocab))
+    return docs.select(F.col(key).cast("long"), text, F.xxhash64(key, text)).mapInArrow(index, INDEX)
+
 
+def _indexer(vocab):
     def index(batches):
-        terms = shared.value
+        terms = vocab.value
         for batch in batches:
             for lo, hi, buf, offs in textkit.pieces(batch.column(1)):
                 w = textkit.Words(buf, offs, textkit.ALNUM, lower=True)
@@ -137,8 +140,7 @@ def build_index(docs: DataFrame, key: str, text: str, vocab: np.ndarray) -> Data
                 pack = lambda v, cuts: pa.array([v[cuts[i] : cuts[i + 1]].astype(np.uint32).tobytes() for i in range(hi - lo)], pa.binary())
                 yield pa.record_batch([batch.column(0)[lo:hi].cast(pa.int64()), batch.column(2)[lo:hi], pa.array(w.n, pa.int64()), pack(k[new], tcut), pack(count, tcut), pack(pos, pcut)], names=["doc_id", "doc_row", "n_words", "terms", "counts", "positions"])
 
-    row = F.xxhash64(key, text)
-    return docs.select(F.col(key).cast("long"), text, row).mapInArrow(index, INDEX)
+    return index
 
 
 class _Postings:
@@ -190,10 +192,15 @@ def _phrases_in(p: _Postings, q: Phrases) -> tuple[np.ndarray, np.ndarray]:
 MATCHES = "doc_id long, doc_row long, n_words long, n_hit long, spans binary, items array<string>"
 
 
-def _match(index: DataFrame, q: Phrases, window: int) -> DataFrame:
-    """Per document: words inside any occurrence of a phrase, their merged spans, and the items with occurrences."""
-    shared = index.sparkSession.sparkContext.broadcast(q)
+def match(index: DataFrame, q: Phrases, window: int) -> DataFrame:
+    """Phrases in a table that ``build_index`` made with the phrases' vocabulary.
 
+    Per document: words inside any occurrence of a phrase, their merged spans, and the items with occurrences.
+    """
+    return index.mapInArrow(_matcher(index.sparkSession.sparkContext.broadcast(q), window), MATCHES)
+
+
+def _matcher(shared, window: int):
     def run(batches):
         q = shared.value
         for whole in batches:
@@ -218,7 +225,7 @@ def _match(index: DataFrame, q: Phrases, window: int) -> DataFrame:
                     names=["doc_id", "doc_row", "n_words", "n_hit", "spans", "items"],
                 )
 
-    return index.mapInArrow(run, MATCHES)
+    return run
 
 
 def _united(many: DataFrame) -> DataFrame:
@@ -233,13 +240,20 @@ def _united(many: DataFrame) -> DataFrame:
     return many.groupBy("doc_id", "doc_row").applyInArrow(unite, MATCHES)
 
 
+def _indexed_and_matched(docs: DataFrame, key: str, text: str, q: Phrases, window: int) -> DataFrame:
+    """``build_index`` and ``match`` in one Python process: the postings of a batch are matched where they are made."""
+    sc = docs.sparkSession.sparkContext
+    index, find = _indexer(sc.broadcast(q.vocab)), _matcher(sc.broadcast(q), window)
+    return docs.select(F.col(key).cast("long"), text, F.xxhash64(key, text)).mapInArrow(lambda batches: find(index(batches)), MATCHES)
+
+
 def phrase_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each document: n_words, n_hit, spans (packed 32-bit begin and end word) and items with occurrences."""
     bound_batches(docs.sparkSession)
     out = []
     for q in item_blocks(items, item_key, item_text, window, block_words):
         q.order(term_counts(docs, text, q.vocab))
-        out.append(_match(build_index(docs, key, text, q.vocab), q, window))
+        out.append(_indexed_and_matched(docs, key, text, q, window))
     if len(out) == 1:
         return out[0]
     # equal rows (same id and text) have equal results: they are united once and given back as often as they occur

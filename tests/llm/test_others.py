@@ -299,3 +299,14 @@ def test_pipeline(spark):
             assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in before.collect()} - bad
     assert counts[0] > counts[1] > counts[2] >= counts[3] and counts[4] == counts[5]
     assert "shard_id" in docs.columns and len(queries.queries()) == 10
+
+
+def test_stored_index_gives_the_same_matches(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x a b"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(4, "a b"), (5, "b c d")], "item_id long, text string")
+    (q,) = list(decontam.item_blocks(items, "item_id", "text", 13))
+    q.order(decontam.term_counts(docs, "text", q.vocab))
+    path = fresh_path(spark, "index")
+    decontam.build_index(docs, "doc_id", "text", q.vocab).write.parquet(path)
+    one = sorted(map(repr, decontam.match(spark.read.parquet(path), q, 13).collect()))
+    assert one == sorted(map(repr, decontam.phrase_matches(docs, items).collect()))
