@@ -65,7 +65,8 @@ def composite_keys() -> Column:
 def key_table(records: DataFrame) -> DataFrame:
     """(entity_id, source, ord, family, key, weight): the exploded keys of every record."""
     keyed = _parts(records).select("entity_id", "source", composite_keys().alias("_k"))
-    return keyed.select("entity_id", "source", F.posexplode("_k").alias("ord", "k")).select("entity_id", "source", "ord", "k.family", "k.key", "k.weight")
+    # an outer explode: before an inner one Spark would test the list for emptiness and so build it twice
+    return keyed.select("entity_id", "source", F.posexplode_outer("_k").alias("ord", "k")).where("k is not null").select("entity_id", "source", "ord", "k.family", "k.key", "k.weight")
 
 
 def posting_stats(keys: DataFrame) -> DataFrame:

@@ -26,12 +26,12 @@ class Bm25:
 
 def _tokens(entities: DataFrame) -> DataFrame:
     """(entity_id, country, field, token), one row for each occurrence."""
-    fields = F.array(
-        F.struct(F.lit("name").alias("field"), A.lexical_tokens(A.normalize_business_name(F.col("business_name"))).alias("tokens")),
-        F.struct(F.lit("addr").alias("field"), A.lexical_tokens(A.normalize_address(F.col("business_address"))).alias("tokens")),
-    )
-    one = entities.select("entity_id", F.lower(F.trim(F.coalesce("country", F.lit("")))).alias("country"), F.explode(fields).alias("f"))
-    return one.select("entity_id", "country", "f.field", F.explode("f.tokens").alias("token"))
+    # normalized first: the token functions name their text many times, and as one expression each would normalize anew
+    clean = entities.select("entity_id", F.lower(F.trim(F.coalesce("country", F.lit("")))).alias("country"), A.normalize_business_name(F.col("business_name")).alias("name"), A.normalize_address(F.col("business_address")).alias("addr"))
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), A.lexical_tokens(F.col(c)).alias("tokens")) for c in ("name", "addr")])
+    one = clean.select("entity_id", "country", F.explode_outer(fields).alias("f"))
+    # outer explodes: before inner ones Spark would build the lists once more to test them for emptiness
+    return one.select("entity_id", "country", "f.field", F.explode_outer("f.tokens").alias("token")).where("token is not null")
 
 
 def fit(targets: DataFrame, p: Bm25 = Bm25()) -> DataFrame:
@@ -59,13 +59,17 @@ def retrieve(queries: DataFrame, index: DataFrame, k: int = 20, p: Bm25 = Bm25()
 
     A query whose country occurs among the targets sees that country's targets only; others see all.
     """
-    tok = _tokens(queries).withColumnRenamed("entity_id", "s1_id").withColumnRenamed("country", "asked")
-    scale = F.when(F.col("field") == "name", p.name_weight).otherwise(p.addr_weight)
-    hits = tok.join(index, ["field", "token"])
+    # a token that a query repeats counts as often; one row carries it through the join
+    tok = _tokens(queries).groupBy(F.col("entity_id").alias("s1_id"), "country", "field", "token").agg(F.count(F.lit(1)).alias("times"))
     if by_country:
-        known = index.select(F.col("country").alias("asked")).distinct().withColumn("known", F.lit(True))
-        hits = hits.join(known, "asked", "left").where(F.col("known").isNull() | (F.col("asked") == F.col("country")))
-    scored = hits.groupBy("s1_id", "target_id").agg(F.sum(F.col("weight") * scale).alias("score")).where("score > 0")
+        known = index.select("country").distinct().withColumn("known", F.lit(True))
+        tok = tok.join(known, "country", "left")
+        inside = tok.where("known").join(index, ["country", "field", "token"])
+        hits = inside.select("s1_id", "target_id", "field", "times", "weight").unionByName(tok.where("known is null").drop("country").join(index, ["field", "token"]).select("s1_id", "target_id", "field", "times", "weight"))
+    else:
+        hits = tok.drop("country").join(index, ["field", "token"])
+    scale = F.when(F.col("field") == "name", p.name_weight).otherwise(p.addr_weight)
+    scored = hits.groupBy("s1_id", "target_id").agg(F.sum(F.col("weight") * F.col("times") * scale).alias("score")).where("score > 0")
     return ranked(scored, k)
 
 

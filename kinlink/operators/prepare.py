@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,16 @@ def prepare(entities: DataFrame, strict_phrases: bool = False) -> DataFrame:
     return entities.select("entity_id", "source", name.alias("name_norm"), addr.alias("addr_norm"), F.trim(F.coalesce("country", F.lit(""))).alias("country"))
 
 
+def spread(records: DataFrame) -> DataFrame:
+    """The same records, dealt by id over the session's shuffle partitions and kept (memory, then disk) for reuse.
+
+    Blocking uses the records several times (tokens and keys, queries and targets), each time filtered and pruned in
+    another way, so Spark would normalize them anew each time.  Lost parts are computed again from the source.
+    """
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return records.repartition(n, "entity_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def targets(records: DataFrame) -> DataFrame:
     """The target pool."""
     return records.where("source <> 'S1'")
@@ -30,6 +41,7 @@ def queries(records: DataFrame) -> DataFrame:
 def tokens(records: DataFrame) -> DataFrame:
     """(entity_id, source, ns, pos, token): name and address tokens, at most MAX_TOKENS of each, in order."""
     base = records.select("entity_id", "source", X.first_tokens(X.name_tokens(F.col("name_norm"))).alias("name"), X.first_tokens(X.addr_tokens(F.col("addr_norm"))).alias("addr"))
-    name = base.select("entity_id", "source", F.lit("name").alias("ns"), F.posexplode("name").alias("pos", "token"))
-    addr = base.select("entity_id", "source", F.lit("addr").alias("ns"), F.posexplode("addr").alias("pos", "token"))
-    return name.unionByName(addr)
+    both = F.array(F.struct(F.lit("name").alias("ns"), F.col("name").alias("t")), F.struct(F.lit("addr").alias("ns"), F.col("addr").alias("t")))
+    # outer explodes: before inner ones Spark would build the lists once more to test them for emptiness
+    each = base.select("entity_id", "source", F.explode_outer(both).alias("f")).select("entity_id", "source", "f.ns", F.posexplode_outer("f.t").alias("pos", "token"))
+    return each.where("token is not null")

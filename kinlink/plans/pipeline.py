@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.operators import blocking, decision, features, labels, ranker
-from kinlink.operators.prepare import prepare
+from kinlink.operators.prepare import prepare, spread
 from kinlink.sources import tsv
 
 
@@ -25,7 +25,7 @@ class Inference:
 
 def candidates(entities: DataFrame, b: blocking.Blocking = blocking.Blocking()) -> tuple[DataFrame, DataFrame]:
     """(records, candidates) of raw entities."""
-    records = prepare(entities)
+    records = spread(prepare(entities))
     return records, blocking.block(records, b)
 
 

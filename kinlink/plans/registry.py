@@ -25,7 +25,7 @@ def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.prepare(part_entities(spark, sf_dir))
+    return prepare.spread(prepare.prepare(part_entities(spark, sf_dir)))
 
 
 def _queries(records: DataFrame) -> DataFrame:
