@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import cut
+from .scratch import cut, stored
 
 #: Bits of a row's hash: fifteen hex digits of an MD5.
 HASH_BITS = 60
@@ -61,7 +61,7 @@ def directory(rows: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame]],
         ahead = max(0, (total // max(1, limit)).bit_length() + 3 - low)
         high = min(HASH_BITS, low + max(STEP_BITS if low else 4, ahead))
         cells = open_rows.groupBy(_prefix(F.col("h"), high).alias("prefix")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-        settled = _settle(cells, low, high, limit)
+        settled = stored(_settle(stored(cells, "cells"), low, high, limit), "directory")
         rounds.append((high, settled.where("depth is not null").select("prefix", "depth")))
         unsettled = settled.where("depth is null").select("prefix")
         if unsettled.isEmpty():
