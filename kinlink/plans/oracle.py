@@ -82,6 +82,18 @@ def _number(x: str) -> str:
     return f"substr({x}, 1, 2), coalesce(TRY_CAST(regexp_extract({x}, '([0-9]+)$', 1) AS BIGINT), -1), {x}"
 
 
+#: Soundex digits of a to z (fixed values): 0 parts equal neighbours, 7 does not.
+SOUNDEX = "01230127022455012623017202"
+
+
+def soundex(w: str) -> str:
+    digits = lambda x: f"translate(translate({x}, '0123456789', '0000000000'), 'abcdefghijklmnopqrstuvwxyz', '{SOUNDEX}')"
+    code = f"{digits(f'substr({w}, 1, 1)')} || {digits(f"translate(substr({w}, 2), 'hw', '')")}"
+    for d in "123456":
+        code = f"regexp_replace({code}, '{d}+', '{d}', 'g')"
+    return f"CASE WHEN regexp_matches({w}, '^[a-z]') THEN upper(substr({w}, 1, 1)) || substr(replace(substr({code}, 2), '0', '') || '000', 1, 3) ELSE {w} END"
+
+
 _ALT_SPACE = r"\s+"
 
 
@@ -290,6 +302,7 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
         "key_recall": f"WITH {ent}, {rec}, {parts}, {khits}, {truth}, h AS (SELECT DISTINCT q.family, q.entity_id AS s1_id, t.entity_id AS target_id FROM keys q JOIN keys t USING (family, key) JOIN truth u ON u.s1_id = q.entity_id AND u.target_id = t.entity_id) "
         "SELECT family, count(*) AS hit, round(count(*) / (SELECT count(*) FROM truth), 6) AS recall FROM h GROUP BY family",
         "token_overlap_features": f"WITH {blocked}, {attrs}, {sets} SELECT s1_id, target_id, " + ", ".join(f"round({dbl(f'({x})')}, 6) AS {n}" for n, x in feats.items()) + " FROM sets",
+        "soundex_match": f"WITH {blocked}, {attrs}, {sets} SELECT s1_id, target_id, CASE WHEN w1 <> '' AND w2 <> '' AND {soundex('w1')} = {soundex('w2')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS first_word_soundex FROM sets",
         "jaro_winkler": f"WITH {blocked}, {attrs} SELECT s1_id, target_id, round(jaro_winkler_similarity(name1, name2), 6) AS name_jw, round(jaro_winkler_similarity(addr1, addr2), 6) AS addr_jw FROM attrs WHERE name1 <> '' AND name2 <> '' AND addr1 <> '' AND addr2 <> ''",
         "two_stage_decision": f"WITH {blocked}, {prob}, {chosen} SELECT s1_id, target_id FROM chosen",
         "threshold_grid": f"WITH {blocked}, {truth}, {asked}, {prob}, {grid}, {swept} SELECT * FROM swept",
