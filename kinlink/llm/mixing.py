@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 
 from .scratch import stored
 
+#: Words of a piece of a shard that one task shuffles.
+PIECE_WORDS = 1_000_000
 #: A word of the size measure.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -132,8 +134,14 @@ def per_type(b: DataFrame) -> str:
 
 def assign(df: DataFrame, text: str, source: str, key: str, recipe: Recipe = Recipe()) -> DataFrame:
     """Every input row with ``size``, ``source_size``, ``target``, ``taken`` (words) and ``shards`` (of the copies drawn)."""
+    return _assigned(df, text, source, key, recipe)[0]
+
+
+def _assigned(df: DataFrame, text: str, source: str, key: str, recipe: Recipe) -> tuple[DataFrame, int]:
+    """``assign`` and the number of words in the mix."""
     names = [c for c in df.columns if c not in ("size", "source_size", "target", "taken", "shards") or c in (text, source, key)]
-    rows, _ = _with_goal(df, text, source, key, recipe)
+    rows, goal = _with_goal(df, text, source, key, recipe)
+    words = goal.agg(F.coalesce(F.sum("_words"), F.lit(0)).alias("w")).first()["w"]
     drawn = _draw(rows, source, recipe)
     rows = rows.join(drawn, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_blk")))
     cut_inside = (F.col("_extra") > 0) & (F.col("_extra") < F.col("_bsize"))
@@ -144,7 +152,7 @@ def assign(df: DataFrame, text: str, source: str, key: str, recipe: Recipe = Rec
     both = whole.unionByName(part)
     taken = (F.col("_passes") * F.col("_size") + F.col("_part")).cast("long")
     shards = F.when(F.col("_size") == 0, F.expr("cast(array() as array<int>)")).when(F.col("_part") > 0, F.col("_shards")).otherwise(F.slice("_shards", F.lit(1), F.col("_passes")))
-    return both.select(*[F.col(c) for c in names], F.col("_size").alias("size"), F.col("_ssize").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"), shards.alias("shards"))
+    return both.select(*[F.col(c) for c in names], F.col("_size").alias("size"), F.col("_ssize").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"), shards.alias("shards")), words
 
 
 def mix(df: DataFrame, text: str, source: str, key: str, recipe: Recipe = Recipe()) -> DataFrame:
@@ -153,10 +161,13 @@ def mix(df: DataFrame, text: str, source: str, key: str, recipe: Recipe = Recipe
     The copy in which a source's quota ends carries its first words only, up to the quota (at most one row per source).
     """
     names = [c for c in df.columns if c != "shard"]
-    a = assign(df, text, source, key, recipe).select("*", F.posexplode("shards").alias("_i", "shard"))
+    a, words = _assigned(df, text, source, key, recipe)
+    # a shard is shuffled in pieces of about PIECE_WORDS words, so tasks stay alike at any size
+    pieces = max(1, -(-words // (recipe.shards * PIECE_WORDS)))
+    a = a.select("*", F.posexplode("shards").alias("_i", "shard"))
     left = F.col("taken") - F.col("_i") * F.col("size")
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    lead = F.array_join(F.slice(words, F.lit(1), left.cast("int")), "")
+    split = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    lead = F.array_join(F.slice(split, F.lit(1), left.cast("int")), "")
     a = a.withColumn(text, F.when(left < F.col("size"), lead).otherwise(F.col(text)))
     a = a.withColumn("_o", F.xxhash64(F.lit(recipe.seed + 3), F.col(key).cast("string"), "_i"))
-    return a.repartition("shard", F.pmod("_o", F.lit(8))).sortWithinPartitions("shard", "_o").select(*names, "shard")
+    return a.repartition("shard", F.pmod("_o", F.lit(pieces))).sortWithinPartitions("shard", "_o").select(*names, "shard")
