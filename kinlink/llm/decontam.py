@@ -32,7 +32,7 @@ from .scratch import bound_batches, stored
 
 U = np.uint64
 #: Words of test items in one broadcast block.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 INDEX = "doc_id long, doc_row long, n_words long, terms binary, counts binary, positions binary"
 #: Room between documents in the common numbering of a batch's words.
 MARGIN = 64
