@@ -39,6 +39,8 @@ THRESHOLD = 0.8
 #: Samples, samples in a band, and agreeing samples that a pair needs before it is verified in full.
 SAMPLES, ROWS, AGREE = 64, 4, 42
 SLOT_BITS = 18
+#: Sums of weights in another order differ by less.
+EQUAL = 1e-12
 #: Bytes of text whose shingles are in memory at once, and rows of a block of a large bucket.
 PIECE_BYTES = 512 << 10
 BLOCK = 512
@@ -242,7 +244,7 @@ def _linked(idf, threshold: float):
             k = np.minimum(np.searchsorted(s.hash[mine], s.hash[at]), mine.stop - mine.start - 1)
             low = np.where(s.hash[mine][k] == s.hash[at], np.minimum(s.weight[mine][k], s.weight[at]), 0.0)
             low = np.bincount(np.repeat(np.arange(len(n)), n), weights=low, minlength=len(n))
-            ok = np.flatnonzero(low / (total[i] + total[others] - low) >= threshold - 1e-12)
+            ok = np.flatnonzero(low / (total[i] + total[others] - low) >= threshold - EQUAL)
             once = ok[np.unique(comp[y[lo:hi]][ok], return_index=True)[1]]
             got += [(int(node[x[lo]]), int(node[y[lo + j]])) for j in once]
         return pa.table([pa.array([p[0] for p in got], pa.int64()), pa.array([p[1] for p in got], pa.int64())], names=["a", "b"])
@@ -271,7 +273,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     star = star.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
     same = F.expr(f"size(filter(sequence(0, {SAMPLES - 1}), i -> substring(sig_a, 4 * i + 1, 4) = substring(sig_b, 4 * i + 1, 4)))")
     star = star.where(same >= AGREE).select("a", "b").join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    links = stored(weighted_jaccard(star, idf).where(F.col("similarity") >= threshold).select("a", "b"), "links")
+    links = stored(weighted_jaccard(star, idf).where(F.col("similarity") >= threshold - EQUAL).select("a", "b"), "links")
     comp = stored(components(links), "components")
 
     # pairs of a bucket in different components
