@@ -105,5 +105,6 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
 
 def block(records: DataFrame, b: Blocking = Blocking()) -> DataFrame:
     """Candidates (s1_id, target_id, score, rank) of every query with a hit."""
-    hits = rare_hits(records, b).unionByName(key_hits(records, b))
+    # dealt by query once: the sum per pair and the rank per query then need no further exchange
+    hits = rare_hits(records, b).unionByName(key_hits(records, b)).repartition("s1_id")
     return top_k(scored(hits), b.top_k)
