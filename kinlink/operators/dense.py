@@ -26,10 +26,11 @@ def _blocks(df: DataFrame, key: str, vector: str, side: str, n: int) -> DataFram
     return ok.select(F.col(key).cast("string").alias("id"), v.alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(side))
 
 
-def top_cosine(queries: DataFrame, targets: DataFrame, key: str, vector: str, k: int = 15, block: int = BLOCK) -> DataFrame:
+def top_cosine(queries: DataFrame, targets: DataFrame, key: str, vector: str, k: int = 15, block: int = BLOCK, others: bool = False) -> DataFrame:
     """(s1_id, target_id, score, rank): the k targets of the largest cosine with each query; ties by id.
 
-    Vectors with null or NaN components are left out; a zero vector has cosine 0 with everything.
+    Vectors with null or NaN components are left out; a zero vector has cosine 0 with everything.  With ``others`` a query
+    never gets its own id: for one table on both sides.
     """
     nq, nt = (max(1, -(-df.count() // block)) for df in (queries, targets))
     q = _blocks(queries, key, vector, "qb", nq).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
@@ -46,10 +47,19 @@ def top_cosine(queries: DataFrame, targets: DataFrame, key: str, vector: str, k:
         a, b = unit(left["v"]), unit(right["v"])
         ids = np.array(right["id"].to_pylist(), dtype=object)
         by_id = np.argsort(ids, kind="stable")
+        names = ids[by_id]
         score = np.round(a @ b[by_id].T, 9)
+        if others:
+            own = left["id"].to_pylist()
+            first, end = np.searchsorted(names, own, "left"), np.searchsorted(names, own, "right")
+            for i in np.flatnonzero(first < end):
+                score[i, first[i] : end[i]] = -np.inf
         top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        names = ids[by_id]
-        return pa.table([left["id"].take(pa.array(np.repeat(np.arange(len(a)), top.shape[1]))), pa.array(names[top].ravel().tolist(), pa.string()), pa.array(np.take_along_axis(score, top, axis=1).ravel())], names=["s1_id", "target_id", "score"])
+        at, to = np.repeat(np.arange(len(a)), top.shape[1]), top.ravel()
+        if others:
+            ok = score[at, to] > -np.inf
+            at, to = at[ok], to[ok]
+        return pa.table([left["id"].take(pa.array(at)), pa.array(names[to].tolist(), pa.string()), pa.array(score[at, to])], names=["s1_id", "target_id", "score"])
 
     near = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInArrow(best, "s1_id string, target_id string, score double")
     return ranked(near, k)
