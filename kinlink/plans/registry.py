@@ -198,7 +198,7 @@ def key_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _set_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, c = _blocked(spark, sf_dir)
-    return features.with_attributes(c.where("rank <= 10"), r)
+    return features.with_attributes(c, r)
 
 
 def token_overlap_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +230,7 @@ def wratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, c = _blocked(spark, sf_dir)
-    return features.features(c.where("rank <= 10"), r)
+    return features.features(c, r)
 
 
 def two_stage_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +263,7 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of the last fifth of the queries under a small model of the first four fifths."""
     r, c = _blocked(spark, sf_dir)
-    pairs = labels.label(features.features(c.where("rank <= 10"), r), part_truth(spark, sf_dir)).persist()
+    pairs = labels.label(features.features(c, r), part_truth(spark, sf_dir)).persist()
     first, last = labels.query_slice(_queries(r), 0.0, 0.8), labels.query_slice(_queries(r), 0.8, 1.0)
     model = ranker.train(labels.of_queries(pairs, first), ranker.Trees(rounds=10, rate=0.3, depth=4))
     return ranker.predict(model, labels.of_queries(pairs, last)).select("s1_id", "target_id", "label", F.round("prob", 6).alias("prob"))

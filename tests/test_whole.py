@@ -42,3 +42,23 @@ def test_every_vector_asks_all_others(spark, duck, tmp_path):
     for i in range(9):
         best = sorted((j for j in range(9) if j != i), key=lambda j: (-u[i, j], str(j)))[:5]
         assert [got[str(i), k + 1] for k in range(5)] == [str(j) for j in best]
+
+
+@pytest.mark.parametrize("name", ["token_overlap_features", "soundex_match", "jaro_winkler"])
+def test_every_candidate_has_features(spark, duck, name):
+    same(spark, duck, name, (" WHERE rank <= 10)", ")"))
+
+
+@pytest.fixture
+def few(spark, tmp_path):
+    """Parts that share words, so that queries have more than ten candidates."""
+    spark.read.parquet(f"{SF}/part.parquet").orderBy("p_partkey").limit(60).write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def test_every_candidate_is_scored(spark, few):
+    pairs = {(r[0], r[1]): r["rank"] for r in registry.blocked_topk(spark, few).collect()}
+    assert max(pairs.values()) > 10
+    for name in ("pair_features", "fuzz_ratios", "wratio"):
+        got = [(r[0], r[1]) for r in registry.queries()[name](spark, few).select("s1_id", "target_id").collect()]
+        assert len(got) == len(pairs) and set(got) == set(pairs)
