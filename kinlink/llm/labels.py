@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 FOLDS = 5
 #: Documents and bytes of text of a training sample: bounds of what the driver holds.
@@ -23,25 +26,45 @@ def held_out(key: Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", max_docs: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int], float]:
     """Whole texts and labels of at most ``max_docs`` documents and ``max_bytes`` bytes, in hash order of their ids.
 
-    Half of the documents are of each class where there are enough; the third value is the share of label 1 among all rows
-    that may be learned from.  Rows of the held-out fold and null labels are left out.
+    Half of the documents and bytes are of each class where there are enough; what a class leaves goes to the other.  A document
+    that does not fit is passed over; if no document of a class fits, there is no sample but an error.  The third value is the
+    share of label 1 among all rows that may be learned from.  Rows of the held-out fold and null labels are left out.
     """
     known = labels.where(~held_out(F.col(key)) & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
     prior = known.agg(F.coalesce(F.avg("_y"), F.lit(0.5)).alias("p")).first()["p"]
     order = F.xxhash64(F.lit(29), F.col(key))
     ids = [known.where(F.col("_y") == y).orderBy(order).limit(max_docs // 2).collect() for y in (0, 1)]
-    chosen = docs.sparkSession.createDataFrame([(r[key], r["_y"]) for part in ids for r in part], f"{key} long, _y int")
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame([(r[key], r["_y"]) for part in ids for r in part], f"{key} long, _y int")
     # at most max_docs ids of a few bytes each are broadcast
-    rows = docs.select(F.col(key).cast("long").alias(key), text).join(F.broadcast(chosen), key).withColumn("_n", F.octet_length(text))
-    rows = rows.withColumn("_o", order)
-    sizes = sorted((r["_o"], r["_n"] or 0) for r in rows.select("_o", "_n").collect())
-    total, last = 0, None
-    for o, n in sizes:
-        total += n
-        if total > max_bytes:
-            break
-        last = o
-    if last is None:
+    rows = docs.select(F.col(key).cast("long").alias(key), text).join(F.broadcast(chosen), key)
+    rows = rows.withColumns({"_n": F.coalesce(F.octet_length(text), F.lit(0)), "_o": order})
+    sizes = sorted((r["_o"], r["_n"], r["_y"]) for r in rows.select("_o", "_n", "_y").collect())
+    taken = fitting(sizes, max_bytes)
+    short = {y for _, _, y in sizes} - {y for _, _, y in taken}
+    if short:
+        raise ValueError(f"no document of {label} {sorted(short)} fits into the {max_bytes} bytes of a sample")
+    if not taken:
         return [], [], prior
-    got = rows.where(F.col("_o") <= last).orderBy("_o", "_n").select(text, "_y").collect()
+    # rows of one id and size: as many as fit
+    fit = spark.createDataFrame([(o, n, k) for (o, n, _), k in Counter(taken).items()], "_o long, _n int, _k int")
+    got = rows.join(F.broadcast(fit), ["_o", "_n"]).withColumn("_r", F.row_number().over(Window.partitionBy("_o", "_n").orderBy(text)))
+    got = got.where("_r <= _k").orderBy("_o", "_n", text).select(text, "_y").collect()
     return [r[0] or "" for r in got], [r[1] for r in got], prior
+
+
+def fitting(sizes: list[tuple[int, int, int]], max_bytes: int) -> list[tuple[int, int, int]]:
+    """Of (order, bytes, class) those that fit, in order: first into half of the bytes for each class, then into what is left."""
+    left, taken, over = {0: max_bytes // 2, 1: max_bytes // 2}, [], []
+    for x in sizes:
+        if x[1] <= left[x[2]]:
+            left[x[2]] -= x[1]
+            taken.append(x)
+        else:
+            over.append(x)
+    rest = max_bytes - sum(n for _, n, _ in taken)
+    for x in over:
+        if x[1] <= rest:
+            rest -= x[1]
+            taken.append(x)
+    return sorted(taken)
