@@ -62,3 +62,9 @@ def test_every_candidate_is_scored(spark, few):
     for name in ("pair_features", "fuzz_ratios", "wratio"):
         got = [(r[0], r[1]) for r in registry.queries()[name](spark, few).select("s1_id", "target_id").collect()]
         assert len(got) == len(pairs) and set(got) == set(pairs)
+
+
+@pytest.mark.parametrize("name", ["source_scan", "country_counts", "base_clean", "normalize_name", "normalize_addr", "exact_name_blocks"])
+def test_lines_are_whole(spark, duck, name):
+    lines = [f"split_part(text, chr(10), {i})" for i in (1, 2)]
+    same(spark, duck, name, (f"substr({lines[0]}, 1, 60)", lines[0]), (f"substr({lines[1]}, 1, 80)", lines[1]))
