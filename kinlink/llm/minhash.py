@@ -36,8 +36,9 @@ from .scratch import bound_batches, stored
 U = np.uint64
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Samples, samples in a band, and agreeing samples that a pair needs before it is verified in full.
-SAMPLES, ROWS, AGREE = 64, 4, 42
+#: Samples, samples in a band, and agreeing samples that a pair needs before it is verified in full: at the threshold
+#: this test loses no more pairs than the bands.
+SAMPLES, ROWS, AGREE = 64, 4, 39
 SLOT_BITS = 18
 #: Sums of weights in another order differ by less.
 EQUAL = 1e-12
