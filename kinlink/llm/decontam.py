@@ -14,7 +14,7 @@ Test sets are broadcast in blocks of at most BLOCK_WORDS words, whatever their s
 Words: A-Z are lower-cased, a word is a run of ASCII letters, digits and non-ASCII characters.  Terms are 64-bit hashes.
 
 Defined results for odd inputs: null or empty texts and items have no words and match nothing; items shorter than the
-window are one phrase; repeated items each count; repeated documents are judged each alone; an empty document table gives
+window are one phrase; an item id in several rows is listed once; repeated documents are judged each alone; an empty document table gives
 an empty result and an empty test set leaves everything clean; null ids are kept (a null item id is not listed).
 """
 
@@ -219,7 +219,7 @@ def _matcher(shared, window: int):
                 span = (span - p.base[of][:, None]).astype(np.uint32)
                 pairs = np.unique(np.stack([p.doc(begin), q.item[phrase]], axis=1), axis=0)
                 icut = np.searchsorted(pairs[:, 0], np.arange(rows + 1))
-                items = [[q.ids[j] for j in pairs[icut[i] : icut[i + 1], 1] if q.ids[j] is not None] for i in range(rows)]
+                items = [sorted({q.ids[j] for j in pairs[icut[i] : icut[i + 1], 1] if q.ids[j] is not None}) for i in range(rows)]
                 yield pa.record_batch(
                     [batch.column(0), batch.column(1), batch.column(2), pa.array(n_hit, pa.int64()), pa.array([span[cuts[i] : cuts[i + 1]].tobytes() for i in range(rows)], pa.binary()), pa.array(items, pa.list_(pa.string()))],
                     names=["doc_id", "doc_row", "n_words", "n_hit", "spans", "items"],
