@@ -240,7 +240,7 @@ def two_stage_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, c = _blocked(spark, sf_dir)
-    points = decision.grid(spark, [0.4, 0.6, 0.8], [0.45, 0.5, 0.55, 0.6, 0.65, 0.7])
+    points = decision.grid(spark, *decision.TWO_STAGE)
     return decision.sweep(_probabilities(c), _queries(r), part_truth(spark, sf_dir), points)
 
 
@@ -261,12 +261,12 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of the last fifth of the queries under a small model of the first four fifths."""
+    """Probabilities of all candidates under a small model of the first four fifths of the queries."""
     r, c = _blocked(spark, sf_dir)
     pairs = labels.label(features.features(c, r), part_truth(spark, sf_dir)).persist()
-    first, last = labels.query_slice(_queries(r), 0.0, 0.8), labels.query_slice(_queries(r), 0.8, 1.0)
+    first = labels.query_slice(_queries(r), 0.0, 0.8)
     model = ranker.train(labels.of_queries(pairs, first), ranker.Trees(rounds=10, rate=0.3, depth=4))
-    return ranker.predict(model, labels.of_queries(pairs, last)).select("s1_id", "target_id", "label", F.round("prob", 6).alias("prob"))
+    return ranker.predict(model, pairs).select("s1_id", "target_id", "label", F.round("prob", 6).alias("prob"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

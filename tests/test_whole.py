@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from kinlink.operators import decision
 from kinlink.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +69,14 @@ def test_every_candidate_is_scored(spark, few):
 def test_lines_are_whole(spark, duck, name):
     lines = [f"split_part(text, chr(10), {i})" for i in (1, 2)]
     same(spark, duck, name, (f"substr({lines[0]}, 1, 60)", lines[0]), (f"substr({lines[1]}, 1, 80)", lines[1]))
+
+
+@pytest.mark.parametrize("name", ["threshold_grid", "best_threshold"])
+def test_the_whole_grid_is_searched(spark, duck, name):
+    same(spark, duck, name, ("[0.4, 0.6, 0.8]", str(decision.TWO_STAGE[0])), ("[0.45, 0.5, 0.55, 0.6, 0.65, 0.7]", str(decision.TWO_STAGE[1])))
+
+
+def test_every_candidate_gets_a_probability(spark, few):
+    got = [(r[0], r[1]) for r in registry.gbt_scores(spark, few).collect()]
+    pairs = {(r[0], r[1]) for r in registry.blocked_topk(spark, few).collect()}
+    assert len(got) == len(pairs) and set(got) == pairs
