@@ -1,13 +1,15 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 ``build_index`` turns every document into its part of the index: for each term of the test set that occurs in it, the
-positions, grouped by term.  The index is a table like any other (write it, read it back); it stays where the document
-was read, so no term - however frequent - gathers postings in one task.  ``term_counts`` sums document frequencies of the
+positions, grouped by term.  Its table can be written and read back for ``match``, but ``phrase_matches`` stores none: it
+matches the postings of a batch where they are made.  Either way they stay where the document was read, so no term -
+however frequent - gathers postings in one task.  ``term_counts`` sums document frequencies of the
 test terms over all documents; they order each query's terms from the rarest on.
 
 ``phrase_matches`` intersects, for each query phrase, the offset-adjusted posting lists: the places of its rarest term,
 shifted to the phrase's start, are looked up in the list of the next rarest, and so on through all its terms, so a hit is
-an exact phrase.  ``proximity_matches`` asks that the rarest terms of an item lie within a number of words.
+an exact phrase.  ``proximity_matches`` asks that the rarest terms of an item lie within a number of words; no query or
+stage calls it.
 
 Test sets are broadcast in blocks of at most BLOCK_WORDS words, whatever their size; a larger set takes more passes.
 
