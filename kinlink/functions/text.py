@@ -13,8 +13,8 @@ from . import vocabulary as V
 _FROM, _TO = V.folded()
 
 
-def _words(xs: list[str]) -> Column:
-    return F.array(*[F.lit(x) for x in xs])
+def _words(xs: set[str]) -> Column:
+    return F.array(*[F.lit(x) for x in sorted(xs)])
 
 
 def _or_empty(x: Column) -> Column:
@@ -56,7 +56,7 @@ def split_words(x: Column) -> Column:
 
 def normalize_name(x: Column, strict: bool = False) -> Column:
     """Cleaned name with canonical legal forms."""
-    return F.array_join(map_words(split_words(replace_phrases(base_clean(x), strict)), V.forms(V.LEGAL_FORMS)), " ")
+    return F.array_join(map_words(split_words(replace_phrases(base_clean(x), strict)), V.LEGAL_FORMS), " ")
 
 
 def normalize_name_core(x: Column, strict: bool = False) -> Column:
@@ -66,14 +66,14 @@ def normalize_name_core(x: Column, strict: bool = False) -> Column:
 
 def normalize_addr(x: Column) -> Column:
     """Cleaned address with canonical street words."""
-    return F.array_join(map_words(split_words(base_clean(x)), V.forms(V.ADDRESS_FORMS)), " ")
+    return F.array_join(map_words(split_words(base_clean(x)), V.ADDRESS_FORMS), " ")
 
 
 def composite(name: Column, addr: Column) -> Column:
     return F.trim(F.concat_ws(" ", _or_empty(name), _or_empty(addr)))
 
 
-def without(words: Column, drop: list[str]) -> Column:
+def without(words: Column, drop: set[str]) -> Column:
     dropped = _words(drop)
     return F.filter(words, lambda w: ~F.array_contains(dropped, w))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinlink.functions import similarity as S
 from kinlink.functions import text as X
 
+#: Names and order of the features, as a trained model expects them.
 FEATURES = [
     "blocking_score", "is_same_country", "is_source2", "name_len_diff", "name_len_ratio", "addr_len_diff", "addr_len_ratio", "name_fuzz_ratio",
     "name_partial_ratio", "name_token_sort_ratio", "name_token_set_ratio", "name_wratio", "name_jaro_winkler", "addr_fuzz_ratio",

@@ -14,7 +14,7 @@ def _parts(df: DataFrame) -> DataFrame:
     words = X.split_words(F.col("addr_norm"))
     df = df.withColumns({"_core": X.without(X.split_words(F.col("name_norm")), V.LEGAL_WORDS), "_addr": words, "_nums": F.filter(words, X.is_number)})
     short = F.get(F.filter("_nums", lambda w: F.length(w) <= 5), F.lit(0))
-    street = F.array(*[F.lit(w) for w in V.STREET_WORDS])
+    street = F.array(*[F.lit(w) for w in sorted(V.STREET_WORDS)])
     return df.withColumns(
         {
             "_no": F.coalesce(short, F.get("_nums", F.lit(0)), F.lit("")),

@@ -1,12 +1,11 @@
 """Test inputs of the engine's data model, as views over the driver's tables.
 
-The same text runs in Spark and in DuckDB, but for ``document_entities``: DOCUMENT_ENTITIES, which only DuckDB runs, cuts lines.
+The same text runs in Spark and in DuckDB.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Entities with exact truth, from ``part``: legal-form variants, upper case, swapped words, street abbreviations, missing
 #: and wrong postal codes, accents, deleted letters, landmarks, blank countries.
@@ -42,8 +41,8 @@ SELECT concat('S1-', CAST(k AS STRING)), concat('S3-', CAST(k AS STRING)) FROM (
 DOCUMENT_ENTITIES = """
 SELECT concat('S', CAST(1 + doc_id % 3 AS STRING)) AS source,
   concat('S', CAST(1 + doc_id % 3 AS STRING), '-', CAST(doc_id AS STRING)) AS entity_id,
-  substr(split_part(text, chr(10), 1), 1, 60) AS business_name,
-  substr(split_part(text, chr(10), 2), 1, 80) AS business_address,
+  split_part(text, chr(10), 1) AS business_name,
+  split_part(text, chr(10), 2) AS business_address,
   lang AS country
 FROM {documents}
 """
@@ -62,10 +61,4 @@ def part_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As DOCUMENT_ENTITIES, with whole lines."""
-    line = lambda i: F.split_part("text", F.lit("\n"), F.lit(i))
-    source = F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"))
-    return table(spark, sf_dir, "documents").select(
-        source.alias("source"), F.concat(source, F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
-        line(1).alias("business_name"), line(2).alias("business_address"), F.col("lang").alias("country"),
-    )
+    return spark.sql(DOCUMENT_ENTITIES, documents=table(spark, sf_dir, "documents"))

@@ -5,9 +5,11 @@ Statements are put together from common table expressions; rules come from the s
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from types import ModuleType
 
 from kinlink.functions import vocabulary as V
+from kinlink.operators import decision
 
 _FROM, _TO = V.folded()
 _FROM2, _TO2 = V.folded(0x24F)
@@ -17,8 +19,8 @@ def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def _in(words: list[str]) -> str:
-    return "(" + ", ".join(_q(w) for w in words) + ")"
+def _in(words: Iterable[str]) -> str:
+    return "(" + ", ".join(_q(w) for w in sorted(words)) + ")"
 
 
 def _sub(x: str, pattern: str, to: str) -> str:
@@ -38,8 +40,8 @@ def words(x: str) -> str:
 
 
 def mapped(x: str, table: dict[str, str]) -> str:
-    cases = " ".join(f"WHEN w IN {_in(ws.split())} THEN {_q(form)}" for form, ws in table.items())
-    return f"list_filter(list_transform({x}, lambda w: CASE {cases} ELSE w END), lambda w: w <> '')"
+    cases = " ".join(f"WHEN {_q(word)} THEN {_q(form)}" for word, form in table.items())
+    return f"list_filter(list_transform({x}, lambda w: CASE w {cases} ELSE w END), lambda w: w <> '')"
 
 
 def joined(x: str, sep: str = " ") -> str:
@@ -56,7 +58,7 @@ def name_norm(x: str) -> str:
     return joined(mapped(words(phrased(clean(x))), V.LEGAL_FORMS))
 
 
-def without(x: str, drop: list[str]) -> str:
+def without(x: str, drop: set[str]) -> str:
     return f"list_filter({x}, lambda w: w NOT IN {_in(drop)})"
 
 
@@ -192,7 +194,7 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
     prob = "probs AS (SELECT s1_id, target_id, rank, least(1.0, round(CAST(score AS DOUBLE), 4) / 100) AS prob FROM cand)"
     attrs = (
         "attrs AS (SELECT c.s1_id, c.target_id, a.name_norm AS name1, a.addr_norm AS addr1, a.country AS country1, b.name_norm AS name2, b.addr_norm AS addr2, b.country AS country2, b.source AS source2 "
-        "FROM cand c JOIN rec a ON c.s1_id = a.entity_id JOIN rec b ON c.target_id = b.entity_id WHERE rank <= 10)"
+        "FROM cand c JOIN rec a ON c.s1_id = a.entity_id JOIN rec b ON c.target_id = b.entity_id)"
     )
     sets = (
         f"sets1 AS (SELECT *, list_distinct({words('name1')}) AS n1, list_distinct({words('name2')}) AS n2, list_distinct({words('addr1')}) AS a1, list_distinct({words('addr2')}) AS a2, "
@@ -220,7 +222,7 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
         "addr_len_diff": "abs(length(addr1) - length(addr2))",
         "addr_len_ratio": "least(length(addr1), length(addr2)) / greatest(length(addr1), length(addr2), 1)",
     }
-    grid = "grid AS (SELECT t_singleton, t_match FROM (SELECT unnest([0.4, 0.6, 0.8]::DOUBLE[]) AS t_singleton) a, (SELECT unnest([0.45, 0.5, 0.55, 0.6, 0.65, 0.7]::DOUBLE[]) AS t_match) b)"
+    grid = f"grid AS (SELECT t_singleton, t_match FROM (SELECT unnest({decision.TWO_STAGE[0]}::DOUBLE[]) AS t_singleton) a, (SELECT unnest({decision.TWO_STAGE[1]}::DOUBLE[]) AS t_match) b)"
     swept = (
         "best AS (SELECT s1_id, max(prob) AS best FROM probs GROUP BY 1), "
         "marked AS (SELECT p.s1_id, p.prob, CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS t FROM probs p LEFT JOIN (SELECT DISTINCT * FROM truth) t ON p.s1_id = t.s1_id AND p.target_id = t.target_id), "
@@ -257,7 +259,8 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
     report = "round(avg(CASE WHEN n_true > 0 THEN n_hit / n_true END), 6) AS mean_recall, count(*) FILTER (n_true > 0 AND n_hit = 0) AS zero_recall, count(*) FILTER (n_true > 0 AND n_hit = n_true) AS full_recall, count(*) FILTER (n_true = 0) AS singletons, count(*) FILTER (n_found = 0) AS without_candidates"
     quality = "round(coalesce(sum(n_hit) / nullif(sum(n_true), 0), 1.0), 6) AS pair_completeness, round(1 - sum(n_found) / (count(*) * (SELECT count(*) FROM ent WHERE source <> 'S1')), 8) AS reduction_ratio, round(sum(n_found) / count(*), 6) AS avg_candidates, CAST(sum(n_found) AS BIGINT) AS candidate_pairs, CAST(sum(n_true) AS BIGINT) AS true_pairs, CAST(sum(n_hit) AS BIGINT) AS recalled_pairs"
     macro = f"round(avg({fbeta('n_true', 'n_found', 'n_hit')}), 6) AS macro_f, round(sum(n_hit) / sum(n_found), 6) AS micro_precision, round(sum(n_hit) / sum(n_true), 6) AS micro_recall, round(avg(CASE WHEN n_true = 0 THEN CASE WHEN n_found = 0 THEN 1.0 ELSE 0.0 END END), 6) AS singleton_accuracy, count(*) FILTER (n_true = 0) AS true_singletons, count(*) FILTER (n_found = 0) AS predicted_singletons, count(*) AS n_queries"
-    top2 = "SELECT s1_id, target_id FROM cand WHERE rank <= 2"
+    jw = lambda a, b: f"CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE round(jaro_winkler_similarity({a}, {b}), 6) END"
+    matched = "SELECT s1_id, target_id FROM chosen"
     broken = (
         "lines AS (SELECT p_partkey AS k, 'S1-' || (CASE WHEN p_partkey % 50 = 5 THEN p_partkey + 1 ELSE p_partkey END) AS s1_id, p_partkey % 50 <> 1 AS has_tab, "
         "CASE p_partkey % 50 WHEN 2 THEN ['S1-9', 'S2-' || p_partkey] WHEN 3 THEN ['X-1', 'S2-1'] WHEN 4 THEN ['S2-1', 'S2-1'] WHEN 5 THEN ['S3-777777'] ELSE [] END AS ids FROM part), "
@@ -294,16 +297,16 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
         "label_candidates": f"WITH {blocked}, {truth} SELECT c.s1_id, c.target_id, CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS label FROM cand c LEFT JOIN truth t ON c.s1_id = t.s1_id AND c.target_id = t.target_id",
         "pair_completeness": f"WITH {blocked}, {per('SELECT s1_id, target_id FROM cand')} SELECT {quality} FROM per",
         "blocking_report": f"WITH {blocked}, {per('SELECT s1_id, target_id FROM cand')} SELECT {report} FROM per",
-        "macro_f05": f"WITH {blocked}, {per(top2)} SELECT {macro} FROM per",
-        "entity_scores": f"WITH {blocked}, {per(top2)} SELECT s1_id, n_true, n_found, n_hit, round({fbeta('n_true', 'n_found', 'n_hit')}, 6) AS f_beta FROM per",
+        "macro_f05": f"WITH {blocked}, {prob}, {chosen}, {per(matched)} SELECT {macro} FROM per",
+        "entity_scores": f"WITH {blocked}, {prob}, {chosen}, {per(matched)} SELECT s1_id, n_true, n_found, n_hit, round({fbeta('n_true', 'n_found', 'n_hit')}, 6) AS f_beta FROM per",
         "singleton_stats": f"WITH {ent}, {truth}, {asked} SELECT n_true, count(*) AS n_queries FROM (SELECT a.s1_id, count(t.target_id) AS n_true FROM asked a LEFT JOIN truth t USING (s1_id) GROUP BY 1) GROUP BY 1",
-        "missed_pairs": f"WITH {blocked}, {truth}, m AS (SELECT DISTINCT s1_id, target_id FROM truth t WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.rank <= 1 AND c.s1_id = t.s1_id AND c.target_id = t.target_id)) "
+        "missed_pairs": f"WITH {blocked}, {truth}, m AS (SELECT DISTINCT s1_id, target_id FROM truth t WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.s1_id = t.s1_id AND c.target_id = t.target_id)) "
         "SELECT s1_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY target_id) AS n FROM m) WHERE n <= 2 ORDER BY s1_id, target_id LIMIT 15",
         "key_recall": f"WITH {ent}, {rec}, {parts}, {khits}, {truth}, h AS (SELECT DISTINCT q.family, q.entity_id AS s1_id, t.entity_id AS target_id FROM keys q JOIN keys t USING (family, key) JOIN truth u ON u.s1_id = q.entity_id AND u.target_id = t.entity_id) "
         "SELECT family, count(*) AS hit, round(count(*) / (SELECT count(*) FROM truth), 6) AS recall FROM h GROUP BY family",
         "token_overlap_features": f"WITH {blocked}, {attrs}, {sets} SELECT s1_id, target_id, " + ", ".join(f"round({dbl(f'({x})')}, 6) AS {n}" for n, x in feats.items()) + " FROM sets",
         "soundex_match": f"WITH {blocked}, {attrs}, {sets} SELECT s1_id, target_id, CASE WHEN w1 <> '' AND w2 <> '' AND {soundex('w1')} = {soundex('w2')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS first_word_soundex FROM sets",
-        "jaro_winkler": f"WITH {blocked}, {attrs} SELECT s1_id, target_id, round(jaro_winkler_similarity(name1, name2), 6) AS name_jw, round(jaro_winkler_similarity(addr1, addr2), 6) AS addr_jw FROM attrs WHERE name1 <> '' AND name2 <> '' AND addr1 <> '' AND addr2 <> ''",
+        "jaro_winkler": f"WITH {blocked}, {attrs} SELECT s1_id, target_id, {jw('name1', 'name2')} AS name_jw, {jw('addr1', 'addr2')} AS addr_jw FROM attrs",
         "two_stage_decision": f"WITH {blocked}, {prob}, {chosen} SELECT s1_id, target_id FROM chosen",
         "threshold_grid": f"WITH {blocked}, {truth}, {asked}, {prob}, {grid}, {swept} SELECT * FROM swept",
         "best_threshold": f"WITH {blocked}, {truth}, {asked}, {prob}, {grid}, {swept} SELECT t_singleton, t_match, macro_f FROM swept ORDER BY macro_f DESC, t_singleton, t_match LIMIT 1",
@@ -315,7 +318,7 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
         "SELECT round(sum(p * (below + n / 2)) / (CAST(sum(p) AS DOUBLE) * sum(n)), 6) AS roc_auc, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives FROM w",
         "bm25_topk": f"WITH {bm25} SELECT s1_id, target_id, rank, round(score, 4) AS score FROM lex",
         "tfidf_topk": f"WITH {ent}, {tfidf} SELECT s1_id, target_id, rank, round(score, 6) AS score FROM den",
-        "embedding_topk": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT CAST(q.vec_id AS VARCHAR) AS s1_id, CAST(t.vec_id AS VARCHAR) AS target_id, round(list_cosine_similarity(q.e, t.e), 9) AS s FROM v q, v t WHERE q.vec_id % 2 = 0 AND t.vec_id % 2 = 1) "
+        "embedding_topk": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT CAST(q.vec_id AS VARCHAR) AS s1_id, CAST(t.vec_id AS VARCHAR) AS target_id, round(list_cosine_similarity(q.e, t.e), 9) AS s FROM v q, v t WHERE q.vec_id % 50 = 0 AND q.vec_id <> t.vec_id) "
         "SELECT s1_id, target_id, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY s DESC, target_id) AS INTEGER) AS rank, round(s, 6) AS score FROM p QUALIFY rank <= 5",
         "hybrid_interleave": f"WITH {bm25}, {tfidf}, places AS (SELECT s1_id, target_id, min(place) AS place FROM (SELECT s1_id, target_id, 2 * rank AS place FROM lex UNION ALL SELECT s1_id, target_id, 2 * rank + 1 FROM den) GROUP BY ALL) "
         "SELECT s1_id, target_id, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY place) AS INTEGER) AS rank FROM places QUALIFY rank <= 8",
