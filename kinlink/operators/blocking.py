@@ -1,19 +1,26 @@
 """Candidate generation: rare tokens and composite keys, summed per pair, best k targets of each query.
 
-All probes are equi-joins on (namespace, token) or (family, key).  Two rules bound what a hot key can do: rare-token
-joins only see tokens up to a document-frequency cap, applied before the join; composite keys may be capped too
-(``key_cap``; none by default, so that results do not depend on it).  Scores are summed before the window, so the window
-sorts one row for each pair, and Spark limits each partition to k rows before it shuffles for the rank.
+All probes are equi-joins on a 64-bit hash of (namespace, token) or (family, key).  Three rules bound what a hot key can do:
+* Rare-token joins only see tokens up to a document-frequency cap, applied before the join.
+* A key's targets travel packed, as one list for each query that has the key; a list has at most ``wide`` targets.
+* Keys of more targets are not expanded.  What they can add to a target is at most the sum R of their weights.  If a query's
+  k-th best sum over the other keys exceeds R, no target that only they find can be among the best k; targets whose sum comes
+  within R of the k-th best are finalists, and the wide keys that such a pair shares are looked up, not joined.  Only queries
+  for which this does not settle the result expand their wide keys, row by row.  Results are exact either way.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinlink.sources.shared import cut
+
 from . import keys as K
 from . import prepare as P
 
@@ -30,6 +37,11 @@ class Blocking:
     top_k: int = 30
     key_cap: int | None = None
     token_weight: str = "log1p_df"
+    wide: int = 1000
+
+
+#: Sums in another order, and their single-precision forms, differ by less.
+SLACK = 1e-4
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
@@ -46,12 +58,16 @@ def _cap(b: Blocking) -> Column:
     return F.when(F.col("ns") == "name", F.lit(b.name_cap)).otherwise(F.lit(b.addr_cap))
 
 
+def _own(df: DataFrame) -> list[str]:
+    return [c for c in ("entity_id", "source", "row") if c in df.columns]
+
+
 def rare_doc_tokens(tokens: DataFrame, counts: DataFrame, b: Blocking = Blocking()) -> DataFrame:
     """Postings: each target's rarest distinct tokens under the cap, ties by first position."""
-    once = tokens.groupBy("entity_id", "source", "ns", "token").agg(F.min("pos").alias("pos"))
+    once = tokens.groupBy(*_own(tokens), "ns", "token").agg(F.min("pos").alias("pos"))
     rare = once.join(counts.where(F.col("df") <= _cap(b)), ["ns", "token"])
     order = Window.partitionBy("entity_id", "ns").orderBy("df", "pos")
-    return rare.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= b.doc_tokens).select("entity_id", "source", "ns", "token", "df", "pos", "rank")
+    return rare.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= b.doc_tokens).select(*_own(tokens), "ns", "token", "df", "pos", "rank")
 
 
 def rare_query_tokens(tokens: DataFrame, counts: DataFrame, b: Blocking = Blocking(), documents: int | None = None) -> DataFrame:
@@ -62,49 +78,123 @@ def rare_query_tokens(tokens: DataFrame, counts: DataFrame, b: Blocking = Blocki
         weight = F.log((F.lit(1.0) + F.lit(documents or 0)) / (1 + F.col("df"))) + 1
     else:
         weight = F.log1p("df")
-    return rare.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= b.query_tokens).select("entity_id", "ns", "token", "df", "pos", "rank", weight.alias("weight"))
+    return rare.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= b.query_tokens).select(*_own(tokens), "ns", "token", "df", "pos", "rank", weight.alias("weight"))
 
 
-def rare_hits(records: DataFrame, b: Blocking = Blocking()) -> DataFrame:
-    """(s1_id, target_id, channel, weight) from equal rare tokens."""
+def _rare_sides(records: DataFrame, b: Blocking) -> tuple[DataFrame, DataFrame]:
+    """Probes and postings of rare tokens, weights scaled by namespace."""
     tok = P.tokens(records)
     pool, asked = tok.where("source <> 'S1'"), tok.where("source = 'S1'")
     counts = token_counts(pool)
     n = records.where("source <> 'S1'").count() if b.token_weight == "idf" else None
-    posts = rare_doc_tokens(pool, counts, b).select("ns", "token", F.col("entity_id").alias("target_id"))
-    probes = rare_query_tokens(asked, counts, b, n).select("ns", "token", F.col("entity_id").alias("s1_id"), "weight")
-    hits = probes.join(posts, ["ns", "token"])
     scale = F.when(F.col("ns") == "name", 1.0).otherwise(b.addr_weight)
-    return hits.select("s1_id", "target_id", F.col("ns").alias("channel"), (F.col("weight") * scale).alias("weight"))
+    probes = rare_query_tokens(asked, counts, b, n).withColumn("weight", F.col("weight") * scale)
+    return probes, rare_doc_tokens(pool, counts, b)
 
 
-def key_hits(records: DataFrame, b: Blocking = Blocking(), families: list[str] | None = None) -> DataFrame:
-    """(s1_id, target_id, channel, weight) from equal composite keys."""
+def rare_hits(records: DataFrame, b: Blocking = Blocking()) -> DataFrame:
+    """(s1_id, target_id, channel, weight) from equal rare tokens."""
+    probes, posts = _rare_sides(records, b)
+    hits = probes.select("ns", "token", F.col("entity_id").alias("s1_id"), "weight").join(posts.select("ns", "token", F.col("entity_id").alias("target_id")), ["ns", "token"])
+    return hits.select("s1_id", "target_id", F.col("ns").alias("channel"), "weight")
+
+
+def _capped(pool: DataFrame, b: Blocking) -> DataFrame:
+    if b.key_cap is None:
+        return pool
+    return pool.join(pool.groupBy("family", "key").count().where(F.col("count") <= b.key_cap).drop("count"), ["family", "key"])
+
+
+def key_counts(records: DataFrame, family: str, b: Blocking = Blocking()) -> DataFrame:
+    """(s1_id, n_targets): how many targets share a query's key of one family; targets are counted, not paired."""
+    table = K.key_table(records).where(F.col("family") == family)
+    n = _capped(table.where("source <> 'S1'"), b).groupBy("family", "key").agg(F.count(F.lit(1)).alias("n"))
+    return table.where("source = 'S1'").join(n, ["family", "key"]).groupBy(F.col("entity_id").alias("s1_id")).agg(F.sum("n").alias("n_targets"))
+
+
+def top_k(pairs: DataFrame, k: int, order: list[str | Column] | None = None) -> DataFrame:
+    """The best k targets of each query by score, ties by ``order`` (by default the pool's order of target ids); adds ``rank`` from 1."""
+    by = Window.partitionBy("s1_id").orderBy(F.col("score").desc(), *(order or P.pool_order("target_id")))
+    return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def _best(k: int):
+    """Per query with its packed hits: the finalists with their sums, or one row without a target if wide keys must be expanded."""
+
+    def run(batches):
+        for batch in batches:
+            q, wide = np.asarray(batch.column(0)), batch.column(2)
+            hits = batch.column(1)
+            lists = hits.flatten()
+            weight, posts = np.asarray(lists.field("weight")), lists.field("posts")
+            entries = posts.flatten()
+            size = np.diff(np.asarray(posts.offsets)[posts.offset :][: len(posts) + 1]) if len(posts) else np.zeros(0, dtype=np.int64)
+            per = np.diff(np.asarray(hits.offsets)[hits.offset :][: len(hits) + 1])
+            owner = np.repeat(np.repeat(np.arange(len(q)), per), size)
+            t, mask, w = np.asarray(entries.field("t")), np.asarray(entries.field("mask")), np.repeat(weight, size)
+            order = np.lexsort((t, owner))
+            owner, t, mask, w = owner[order], t[order], mask[order], w[order]
+            new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(t, prepend=-1) != 0)) if len(t) else np.zeros(0, dtype=np.int64)
+            score = np.add.reduceat(w, new) if len(new) else np.zeros(0)
+            owner, t, mask = owner[new], t[new], mask[new]
+            # what a target's wide keys can add: those of the query whose bit the target has
+            more, every = np.zeros(len(t)), np.zeros(len(q))
+            first = np.searchsorted(owner, np.arange(len(q) + 1))
+            for i in np.flatnonzero(np.asarray(wide.is_valid())):
+                for x in wide[int(i)].as_py():
+                    part = slice(first[i], first[i + 1])
+                    more[part] += np.where(mask[part] >> (x["h"] % 63) & 1, x["weight"], 0.0)
+                    every[i] += x["weight"]
+            order = np.lexsort((t, -score.astype(np.float32), owner))
+            owner, t, score, more = owner[order], t[order], score[order], more[order]
+            kth = np.where(np.diff(first) >= k, score[np.minimum(first[:-1] + k - 1, max(0, len(score) - 1))] if len(score) else 0.0, -np.inf)
+            settled = (every == 0) | (kth > every + SLACK)
+            place = np.arange(len(t)) - first[owner]
+            keep = settled[owner] & np.where(every[owner] > 0, score + more >= kth[owner] - SLACK, place < k)
+            open_ = np.flatnonzero(~settled)
+            yield pa.record_batch(
+                [pa.array(np.concatenate([q[owner[keep]], q[open_]])), pa.array(np.concatenate([t[keep], np.full(len(open_), -1)])), pa.array(np.concatenate([score[keep], np.zeros(len(open_))]))],
+                names=["q", "t", "score"],
+            )
+
+    return run
+
+
+def block(records: DataFrame, b: Blocking = Blocking(), rare: bool = True) -> DataFrame:
+    """Candidates (s1_id, target_id, score, rank) of every query with a hit; without ``rare`` from composite keys alone.
+
+    Sums are made in double precision and kept in single; ties go by the target pool's order.
+    """
+    records = records if "row" in records.columns else P.spread(records)
+    key = F.xxhash64("family", "key").alias("h")
     table = K.key_table(records)
-    if families:
-        table = table.where(F.col("family").isin(families))
-    pool = table.where("source <> 'S1'").select("family", "key", F.col("entity_id").alias("target_id"))
-    if b.key_cap is not None:
-        pool = pool.join(pool.groupBy("family", "key").count().where(F.col("count") <= b.key_cap).drop("count"), ["family", "key"])
-    asked = table.where("source = 'S1'").select("family", "key", F.col("entity_id").alias("s1_id"), "weight")
-    return asked.join(pool, ["family", "key"]).select("s1_id", "target_id", F.lit("key").alias("channel"), "weight")
-
-
-def scored(hits: DataFrame) -> DataFrame:
-    """(s1_id, target_id, score): hits of a pair summed in double precision, kept in single."""
-    return hits.groupBy("s1_id", "target_id").agg(F.sum("weight").cast("float").alias("score"))
-
-
-def top_k(pairs: DataFrame, k: int) -> DataFrame:
-    """The best k targets of each query, ties by the target pool's order; adds ``rank`` from 1."""
-    number = F.coalesce(F.regexp_extract("target_id", r"(\d+)$", 1).try_cast("bigint"), F.lit(-1))
-    # the pool's order follows from the id itself: source prefix, then number
-    order = Window.partitionBy("s1_id").orderBy(F.col("score").desc(), F.substring("target_id", 1, 2), number, "target_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def block(records: DataFrame, b: Blocking = Blocking()) -> DataFrame:
-    """Candidates (s1_id, target_id, score, rank) of every query with a hit."""
-    # dealt by query once: the sum per pair and the rank per query then need no further exchange
-    hits = rare_hits(records, b).unionByName(key_hits(records, b)).repartition("s1_id")
-    return top_k(scored(hits), b.top_k)
+    pool = _capped(table.where("source <> 'S1'"), b).select("row", key)
+    asked = table.where("source = 'S1'").select("row", key, "weight")
+    if rare:
+        probes, posts = _rare_sides(records, b)
+        token = F.xxhash64("ns", "token").alias("h")
+        pool, asked = pool.unionByName(posts.select("row", token)), asked.unionByName(probes.select("row", token, "weight"))
+    pool, asked = cut(pool.toDF("t", "h")), cut(asked.toDF("q", "h", "weight"))
+    sizes = pool.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    wide = cut(sizes.where(F.col("n") > b.wide).select("h"))
+    bit = F.expr("shiftleft(1L, cast(pmod(h, 63) as int))")
+    wide_of_target = cut(pool.join(wide, "h").groupBy("t").agg(F.collect_list("h").alias("wide"), F.bit_or(bit).alias("mask")))
+    light = pool.join(wide, "h", "left_anti").join(wide_of_target.select("t", "mask"), "t", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    posts = light.groupBy("h").agg(F.collect_list(F.struct("t", "mask")).alias("posts"))
+    # a list of one query: at most MAX_KEYS keys and its rare tokens, each with at most ``wide`` targets
+    hits = asked.join(posts, "h").groupBy("q").agg(F.collect_list(F.struct("weight", "posts")).alias("hits"))
+    wide_of_query = cut(asked.join(wide, "h").groupBy("q").agg(F.collect_list(F.struct("h", "weight")).alias("wide")))
+    hits = hits.join(wide_of_query, "q", "full").select("q", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)).alias("hits"), "wide")
+    found = cut(hits.mapInArrow(_best(b.top_k), "q long, t long, score double"))
+    finalists = found.where("t >= 0").join(wide_of_target.select("t", F.col("wide").alias("_t")), "t", "left").join(wide_of_query.select("q", F.col("wide").alias("_q")), "q", "left")
+    shared = F.filter("_q", lambda x: F.array_contains("_t", x["h"]))
+    added = F.coalesce(F.aggregate(F.transform(shared, lambda x: x["weight"]), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    pairs = finalists.select("q", "t", (F.col("score") + added).cast("float").alias("score"))
+    open_ = found.where("t < 0").select("q")
+    if not open_.isEmpty():
+        whole = asked.join(open_, "q").join(pool, "h").groupBy("q", "t").agg(F.sum("weight").cast("float").alias("score"))
+        pairs = pairs.unionByName(whole)
+    best = top_k(pairs.withColumnRenamed("q", "s1_id"), b.top_k, ["t"])
+    name = lambda a, c: records.select(F.col("row").alias(a), F.col("entity_id").alias(c))
+    best = best.withColumnRenamed("s1_id", "q").join(name("q", "s1_id"), "q").join(name("t", "target_id"), "t")
+    return best.select("s1_id", "target_id", "score", "rank")

@@ -63,10 +63,11 @@ def composite_keys() -> Column:
 
 
 def key_table(records: DataFrame) -> DataFrame:
-    """(entity_id, source, ord, family, key, weight): the exploded keys of every record."""
-    keyed = _parts(records).select("entity_id", "source", composite_keys().alias("_k"))
+    """(entity_id, source, ord, family, key, weight, and row if there is one): the exploded keys of every record."""
+    own = [c for c in ("entity_id", "source", "row") if c in records.columns]
+    keyed = _parts(records).select(*own, composite_keys().alias("_k"))
     # an outer explode: before an inner one Spark would test the list for emptiness and so build it twice
-    return keyed.select("entity_id", "source", F.posexplode_outer("_k").alias("ord", "k")).where("k is not null").select("entity_id", "source", "ord", "k.family", "k.key", "k.weight")
+    return keyed.select(*own, F.posexplode_outer("_k").alias("ord", "k")).where("k is not null").select(*own, "ord", "k.family", "k.key", "k.weight")
 
 
 def posting_stats(keys: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.functions import text as X
+from kinlink.sources.shared import cut
 
 #: Longest normalized name and address kept, in characters.
 NAME_CHARS, ADDR_CHARS = 88, 160
@@ -19,14 +19,23 @@ def prepare(entities: DataFrame, strict_phrases: bool = False) -> DataFrame:
     return entities.select("entity_id", "source", name.alias("name_norm"), addr.alias("addr_norm"), F.trim(F.coalesce("country", F.lit(""))).alias("country"))
 
 
+def pool_order(key: str) -> list[Column]:
+    """The target pool's order of an id: source prefix, then number, then the id itself."""
+    return [F.substring(key, 1, 2), F.coalesce(F.regexp_extract(key, r"(\d+)$", 1).try_cast("bigint"), F.lit(-1)), F.col(key)]
+
+
 def spread(records: DataFrame) -> DataFrame:
-    """The same records, dealt by id over the session's shuffle partitions and kept (memory, then disk) for reuse.
+    """The same records with ``row``, a number in the pool's order (source prefix, number in the id, id), kept in the shared folder.
 
     Blocking uses the records several times (tokens and keys, queries and targets), each time filtered and pruned in
-    another way, so Spark would normalize them anew each time.  Lost parts are computed again from the source.
+    another way, so Spark would normalize them anew each time.  Joins and ties then go by ``row`` instead of the id's text.
     """
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return records.repartition(n, "entity_id").persist(StorageLevel.MEMORY_AND_DISK)
+    # kept before it is dealt, which reads it twice (ranges are sampled), and after: dealt anew, ranges and so numbers could differ
+    keyed = cut(records.withColumns({f"_{i}": c for i, c in enumerate(pool_order("entity_id"))}))
+    order = [c for c in keyed.columns if c.startswith("_")]
+    dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return cut(dealt.drop(*order).withColumn("row", F.monotonically_increasing_id()))
 
 
 def targets(records: DataFrame) -> DataFrame:
@@ -39,9 +48,10 @@ def queries(records: DataFrame) -> DataFrame:
 
 
 def tokens(records: DataFrame) -> DataFrame:
-    """(entity_id, source, ns, pos, token): name and address tokens, at most MAX_TOKENS of each, in order."""
-    base = records.select("entity_id", "source", X.first_tokens(X.name_tokens(F.col("name_norm"))).alias("name"), X.first_tokens(X.addr_tokens(F.col("addr_norm"))).alias("addr"))
+    """(entity_id, source, ns, pos, token, and row if there is one): name and address tokens, at most MAX_TOKENS of each, in order."""
+    own = [c for c in ("entity_id", "source", "row") if c in records.columns]
+    base = records.select(*own, X.first_tokens(X.name_tokens(F.col("name_norm"))).alias("name"), X.first_tokens(X.addr_tokens(F.col("addr_norm"))).alias("addr"))
     both = F.array(F.struct(F.lit("name").alias("ns"), F.col("name").alias("t")), F.struct(F.lit("addr").alias("ns"), F.col("addr").alias("t")))
     # outer explodes: before inner ones Spark would build the lists once more to test them for emptiness
-    each = base.select("entity_id", "source", F.explode_outer(both).alias("f")).select("entity_id", "source", "f.ns", F.posexplode_outer("f.t").alias("pos", "token"))
+    each = base.select(*own, F.explode_outer(both).alias("f")).select(*own, "f.ns", F.posexplode_outer("f.t").alias("pos", "token"))
     return each.where("token is not null")

@@ -289,7 +289,8 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
         "composite_keys": f"WITH {ent}, {rec}, {parts} SELECT entity_id, ord, family, key, weight FROM keys",
         "key_posting_stats": f"WITH {ent}, {rec}, {parts} SELECT family, count(*) AS distinct_keys, round(avg(n), 6) AS mean_postings, max(n) AS max_postings FROM (SELECT family, key, count(*) AS n FROM keys WHERE source <> 'S1' GROUP BY ALL) GROUP BY family",
         "rare_candidates": f"WITH {ent}, {rec}, {tok}, {df}, {posts}, {probes}, {rare} SELECT s1_id, target_id, channel, count(*) AS hits, round(sum(weight), 6) AS weight FROM rare GROUP BY ALL",
-        "composite_candidates": f"WITH {ent}, {rec}, {parts}, {khits} SELECT s1_id, target_id, round(CAST(CAST(sum(weight) AS FLOAT) AS DOUBLE), 4) AS score FROM khits GROUP BY ALL",
+        "composite_candidates": f"WITH {ent}, {rec}, {parts}, {khits}, sums AS (SELECT s1_id, target_id, CAST(sum(weight) AS FLOAT) AS score FROM khits GROUP BY ALL) "
+        f"SELECT s1_id, target_id, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, {_number('target_id')}) AS INTEGER) AS rank, round(CAST(score AS DOUBLE), 4) AS score FROM sums QUALIFY rank <= 30",
         "exact_name_blocks": f"WITH ent AS ({docs}), {rec}, {parts} SELECT q.entity_id AS s1_id, count(*) AS n_targets FROM keys q JOIN keys t USING (family, key) WHERE family = 'FULL_NAME' AND q.source = 'S1' AND t.source <> 'S1' GROUP BY 1",
         "blocked_topk": f"WITH {blocked} SELECT s1_id, target_id, rank, round(CAST(score AS DOUBLE), 4) AS score FROM cand",
         "truth_pairs": f"WITH {truth} SELECT DISTINCT s1_id, target_id FROM truth",

@@ -112,14 +112,14 @@ def rare_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composite_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = B.scored(B.key_hits(_records(spark, sf_dir)))
-    return out.select("s1_id", "target_id", F.round(F.col("score").cast("double"), 4).alias("score"))
+    """The best 30 targets of each query by composite keys alone."""
+    out = B.block(_records(spark, sf_dir), rare=False)
+    return out.select("s1_id", "target_id", "rank", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
 def exact_name_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skew case: repeated first lines of documents block each other; candidates per family and query source."""
-    hits = B.key_hits(prepare.prepare(document_entities(spark, sf_dir)), families=["FULL_NAME"])
-    return hits.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_targets"))
+    """Skew case: repeated first lines of documents block each other; targets of the same whole name for each query."""
+    return B.key_counts(prepare.prepare(document_entities(spark, sf_dir)), "FULL_NAME")
 
 
 def _blocked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

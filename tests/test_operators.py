@@ -1,6 +1,7 @@
 """Blocking, metrics, decisions, files and validation on small hand-made tables."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -55,7 +56,18 @@ def test_query_repeats_count_and_document_repeats_do_not(spark):
 
 def test_key_cap(entities):
     records = prepare.prepare(entities)
-    assert B.key_hits(records, B.Blocking(key_cap=0)).count() == 0
+    assert B.block(records, B.Blocking(key_cap=0), rare=False).count() == 0
+
+
+@pytest.mark.parametrize("k", [3, 30])
+def test_wide_keys_do_not_change_the_result(spark, k):
+    """Few words, so that keys have many targets: expanded, looked up for finalists, or both."""
+    r = random.Random(2)
+    words = ["red", "blue", "iron", "steel", "mill", "works"]
+    rows = [(("S1", "S2", "S3")[i % 3], f"S{1 + i % 3}-{i}", " ".join(r.choices(words, k=r.randint(1, 4))), f"{r.randint(1, 9)} {r.choice(words)} {r.choice(words)} 1234{r.randint(0, 2)}", "") for i in range(240)]
+    records = prepare.spread(prepare.prepare(spark.createDataFrame(rows, "source string, entity_id string, business_name string, business_address string, country string")))
+    got = [sorted(map(tuple, B.block(records, B.Blocking(top_k=k, wide=w)).select("s1_id", "target_id", "rank", "score").collect())) for w in (10**9, 20, 0)]
+    assert got[0] == got[1] == got[2] and len({x[0] for x in got[0]}) > 70
 
 
 def test_ties_follow_the_target_order(spark):
