@@ -1,8 +1,8 @@
 """String similarities that Spark lacks, as Arrow-batched functions.
 
 A batch's distinct pairs are compared at once: the longest common subsequence of all of them advances one character at a
-time in 64-bit words (a bit for each character of the shorter text), for all windows of the longer text side by side.
-Pairs whose shorter text has more than 64 characters take the same steps on Python integers.
+time in 64-bit words (a bit for each character of the shorter text, several words for long texts), for all windows of the
+longer text side by side.  Jaro's matching walks the first text in the same way, over the free places of the second.
 
 ``ratio`` = 2 LCS / (length sum); ``partial_ratio`` = best ratio of the shorter text with a window of the longer one;
 the token forms compare sorted tokens and token sets; all between 0 and 1.  Defined by their public descriptions.
@@ -29,42 +29,25 @@ def _codes(texts: list[str], width: int) -> np.ndarray:
 
 
 def _hits(short: np.ndarray, long: np.ndarray) -> np.ndarray:
-    """For each character of the longer text the bits of its places in the shorter one."""
+    """For each character of the longer text the bits of its places in the shorter one: (pair, character, word)."""
     n, w = short.shape
-    wide = np.zeros((n, WORD), dtype=np.uint32)
+    wide = np.zeros((n, -(-w // WORD) * WORD), dtype=np.uint32)
     wide[:, :w] = short
     same = (wide[:, None, :] == long[:, :, None]) & (long[:, :, None] != 0)
-    return np.packbits(same, axis=2, bitorder="little").view(np.uint64).reshape(n, -1)
+    return np.packbits(same, axis=2, bitorder="little").view(np.uint64).reshape(n, long.shape[1], -1)
 
 
 def _step(v: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """(v + u) | (v - u) for u = v & m; the sum carries from word to word."""
     u = v & m
-    return (v + u) | (v - u)
-
-
-def _lcs_int(a: str, b: str) -> int:
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for c in b:
-        u = v & places.get(c, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
-
-
-def _ratio(lcs, total):
-    return 2.0 * lcs / total if total else 1.0
-
-
-def _partial_int(a: str, b: str) -> float:
-    n, best = len(a), 0.0
-    windows = [b[s : s + n] for s in range(len(b))] + [b[:k] for k in range(1, n)]
-    for w in set(windows):
-        if 2.0 * min(n, len(w)) / (n + len(w)) > best:
-            best = max(best, _ratio(_lcs_int(a, w), n + len(w)))
-    return best
+    total = v + u
+    if v.shape[-1] > 1:
+        carry = total[..., 0] < u[..., 0]
+        for k in range(1, v.shape[-1]):
+            more = total[..., k] + carry
+            carry = (total[..., k] < u[..., k]) | (more < carry)
+            total[..., k] = more
+    return total | (v - u)
 
 
 def _many(pairs: list[tuple[str, str]], partial: bool) -> np.ndarray:
@@ -76,8 +59,6 @@ def _many(pairs: list[tuple[str, str]], partial: bool) -> np.ndarray:
             out[i] = 1.0 if a == b else 0.0
         elif a == b:
             out[i] = 1.0
-        elif min(len(a), len(b)) > WORD:
-            out[i] = _partial_both(a, b) if partial else _ratio(_lcs_int(a, b), len(a) + len(b))
         else:
             wide.append(i)
     # pairs of like length together, so that little is padded
@@ -96,18 +77,13 @@ def _many(pairs: list[tuple[str, str]], partial: bool) -> np.ndarray:
     return out
 
 
-def _partial_both(a: str, b: str) -> float:
-    a, b = sorted((a, b), key=len)
-    return max(_partial_int(a, b), _partial_int(b, a)) if len(a) == len(b) else _partial_int(a, b)
-
-
 def _common(v: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(~v).astype(np.int64)
+    return np.bitwise_count(~v).sum(axis=-1, dtype=np.int64)
 
 
 def _whole(s: np.ndarray, g: np.ndarray, ns: np.ndarray, ng: np.ndarray) -> np.ndarray:
     m = _hits(s, g)
-    v = np.full(len(s), np.iinfo(np.uint64).max, dtype=np.uint64)
+    v = np.full((len(s), m.shape[2]), np.iinfo(np.uint64).max, dtype=np.uint64)
     for k in range(m.shape[1]):
         v = _step(v, m[:, k])
     return 2.0 * _common(v) / (ns + ng)
@@ -115,12 +91,12 @@ def _whole(s: np.ndarray, g: np.ndarray, ns: np.ndarray, ng: np.ndarray) -> np.n
 
 def _windows(s: np.ndarray, g: np.ndarray, ns: np.ndarray, ng: np.ndarray) -> np.ndarray:
     m, width, size = _hits(s, g), g.shape[1], s.shape[1]
-    padded = np.concatenate([m, np.zeros((len(m), size), dtype=np.uint64)], axis=1)
-    v = np.full((len(s), width), np.iinfo(np.uint64).max, dtype=np.uint64)
+    padded = np.concatenate([m, np.zeros((len(m), size, m.shape[2]), dtype=np.uint64)], axis=1)
+    v = np.full((len(s), width, m.shape[2]), np.iinfo(np.uint64).max, dtype=np.uint64)
     best = np.zeros(len(s))
     for k in range(size):
         # windows of the shorter text's length at every start; beyond it they stand still
-        v = np.where((k < ns)[:, None], _step(v, padded[:, k : k + width]), v)
+        v = np.where((k < ns)[:, None, None], _step(v, padded[:, k : k + width]), v)
         # so far the first window is a prefix of the longer text
         best = np.maximum(best, np.where(k < ns, 2.0 * _common(v[:, 0]) / (ns + np.minimum(k + 1, ng)), 0.0))
     start = np.arange(width)
@@ -205,40 +181,58 @@ def weighted_ratios(pairs: list[tuple[str, str]]) -> np.ndarray:
 
 
 def jaro_winklers(pairs: list[tuple[str, str]]) -> np.ndarray:
-    return np.array([_jaro_winkler(a, b) for a, b in pairs])
-
-
-def _jaro_winkler(a: str, b: str) -> float:
     """Jaro similarity; above 0.7 a tenth of what is missing is added for each of up to four equal leading characters.
 
     Two empty texts: 1; one empty: 0.
     """
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used, left = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                left.append(c)
-                break
-    m = len(left)
-    if not m:
-        return 0.0
-    right = [c for c, u in zip(b, used, strict=True) if u]
-    swapped = sum(x != y for x, y in zip(left, right, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
-    if jaro > 0.7:
-        prefix = 0
-        for x, y in zip(a[:4], b[:4], strict=False):
-            if x != y:
-                break
-            prefix += 1
-        jaro += prefix * 0.1 * (1 - jaro)
-    return jaro
+    out = np.array([1.0 if a == b else 0.0 for a, b in pairs])
+    some = sorted((i for i, (a, b) in enumerate(pairs) if a and b and a != b), key=lambda i: max(map(len, pairs[i])))
+    for lo in range(0, len(some), _ROWS):
+        at = some[lo : lo + _ROWS]
+        left, right = [pairs[i][0] for i in at], [pairs[i][1] for i in at]
+        out[at] = _jaro_winkler(_codes(left, max(map(len, left))), _codes(right, max(map(len, right))), np.array([len(x) for x in left]), np.array([len(x) for x in right]))
+    return out
+
+
+def _between(lo: np.ndarray, hi: np.ndarray, words: int) -> np.ndarray:
+    """Bits lo to hi (exclusive) of each row, in words."""
+    ones = np.uint64(np.iinfo(np.uint64).max)
+    first = np.arange(words) * WORD
+
+    def below(n: np.ndarray) -> np.ndarray:
+        k = np.clip(n[:, None] - first, 0, WORD)
+        return np.where(k == 0, np.uint64(0), ones >> (WORD - np.maximum(k, 1)).astype(np.uint64))
+
+    return below(hi) & ~below(lo)
+
+
+def _jaro_winkler(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    places = _hits(b, a)
+    n, words = len(a), places.shape[2]
+    reach = np.maximum(0, np.maximum(na, nb) // 2 - 1)
+    free = _between(np.zeros(n, dtype=np.int64), nb, words)
+    matched = np.zeros(a.shape, dtype=bool)
+    for i in range(a.shape[1]):
+        can = places[:, i] & free & _between(np.clip(i - reach, 0, nb), np.clip(i + reach + 1, 0, nb), words)
+        open_ = np.ones(n, dtype=bool)
+        for k in range(words):  # the lowest free place, in the first word that has one
+            low = np.where(open_, can[:, k] & (~can[:, k] + np.uint64(1)), np.uint64(0))
+            free[:, k] ^= low
+            open_ &= low == 0
+        matched[:, i] = ~open_
+    used = np.unpackbits((_between(np.zeros(n, dtype=np.int64), nb, words) ^ free).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, : b.shape[1]].astype(bool)
+    m = matched.sum(axis=1)
+    width = max(1, int(m.max()))
+    # matched characters of both texts in order, to the left
+    first = np.take_along_axis(a, np.argsort(~matched, axis=1, kind="stable"), axis=1)[:, :width]
+    second = np.take_along_axis(b, np.argsort(~used, axis=1, kind="stable"), axis=1)[:, :width]
+    swapped = ((first != second) & (np.arange(first.shape[1]) < m[:, None])).sum(axis=1) // 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / na + m / nb + (m - swapped) / some) / 3, 0.0)
+    size = min(4, a.shape[1], b.shape[1])
+    same = (a[:, :size] == b[:, :size]) & (a[:, :size] != 0)
+    prefix = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+    return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro)
 
 
 KERNELS: dict[str, Callable[[list[tuple[str, str]]], np.ndarray]] = {
