@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import running
+from .prepare import pool_order
+
 
 def resolve_truth(truth: DataFrame, records: DataFrame) -> DataFrame:
     """Distinct (s1_id, target_id) whose sides both exist."""
@@ -28,14 +31,9 @@ def label(candidates: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def query_rank(queries: DataFrame) -> DataFrame:
-    """s1_id with its fraction of the way through the ids' order, from counts of a bounded number of ranges.
-
-    The split of a table by its first rows becomes a filter on ``at``.
-    """
-    n = F.regexp_extract("s1_id", r"(\d+)$", 1).try_cast("bigint")
-    ids = queries.select("s1_id").distinct().withColumn("_n", F.coalesce(n, F.lit(-1)))
-    top = ids.agg(F.max("_n").alias("_top"))
-    return ids.crossJoin(F.broadcast(top)).select("s1_id", (F.col("_n") / F.greatest(F.lit(1), F.col("_top"))).alias("at"))
+    """s1_id with ``row``: its place, from 0, among the queries in the order of their ids (source prefix, number, id)."""
+    ids = queries.select("s1_id").distinct()
+    return running(ids, pool_order("s1_id"), F.lit(1)).withColumnRenamed("before", "row")
 
 
 def of_queries(pairs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -49,5 +47,8 @@ def sample_queries(queries: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def query_slice(queries: DataFrame, lo: float, hi: float) -> DataFrame:
-    """Queries between two fractions of the order of their ids (lo inclusive, hi exclusive, 1 inclusive)."""
-    return query_rank(queries).where((F.col("at") >= lo) & ((F.col("at") < hi) | (F.lit(hi) >= 1.0))).select("s1_id")
+    """Queries from the fraction ``lo`` of all rows to the fraction ``hi``, in the order of their ids; places are rounded down."""
+    ranked = query_rank(queries)
+    n = F.broadcast(queries.select("s1_id").distinct().agg(F.count(F.lit(1)).alias("_n")))  # one row
+    at = lambda x: F.floor(F.lit(x) * F.col("_n") + 1e-9)
+    return ranked.crossJoin(n).where((F.col("row") >= at(lo)) & (F.col("row") < at(hi))).select("s1_id")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import running
+
 
 def _per_query(queries: DataFrame, truth: DataFrame, found: DataFrame) -> DataFrame:
     """s1_id, n_true, n_found, n_hit of every query."""
@@ -94,8 +96,7 @@ def roc_auc(scored: DataFrame, score: str = "score", label: str = "label") -> Da
     Rows are counted per score first; the running count goes over distinct scores only.
     """
     per = scored.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    area = per.withColumn("a", F.col("p") * (below + F.col("n") / 2))
+    area = running(per, [F.col("s")], F.col("n")).withColumn("a", F.col("p") * (F.col("before") + F.col("n") / 2))
     return area.agg(F.round(F.try_divide(F.sum("a"), F.sum("p").cast("double") * F.sum("n")), 6).alias("roc_auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 

@@ -17,24 +17,28 @@ from .features import FEATURES
 
 @dataclass(frozen=True)
 class Trees:
-    """Parameters of the learner; LARGE is the high-capacity variant."""
+    """Parameters of the learner; LARGE is the high-capacity variant.
+
+    Spark bounds a tree by its depth; ``leaves`` lowers the depth so far that no tree can have more leaves.
+    """
 
     rounds: int = 500
     rate: float = 0.05
     depth: int = 7
+    leaves: int = 45
     column_share: float = 0.8
     row_share: float = 1.0
     seed: int = 42
 
 
-LARGE = Trees(rounds=750, rate=0.03, depth=9, column_share=0.7)
+LARGE = Trees(rounds=750, rate=0.03, depth=9, leaves=63, column_share=0.7)
 
 
 def train(labelled: DataFrame, p: Trees = Trees(), validation: str | None = None, tolerance: float = 0.01) -> PipelineModel:
     """Fit on FEATURES and ``label``; with a boolean column ``validation`` training stops when its rows improve no more."""
-    gbt = GBTClassifier(labelCol="label", featuresCol="_features", maxIter=p.rounds, stepSize=p.rate, maxDepth=p.depth, featureSubsetStrategy=str(p.column_share), subsamplingRate=p.row_share, seed=p.seed)
+    gbt = GBTClassifier(labelCol="label", featuresCol="_features", maxIter=p.rounds, stepSize=p.rate, maxDepth=min(p.depth, p.leaves.bit_length() - 1), featureSubsetStrategy=str(p.column_share), subsamplingRate=p.row_share, seed=p.seed)
     if validation:
-        gbt = gbt.setValidationIndicatorCol(validation).setValidationTol(tolerance)
+        gbt = gbt.setParams(validationIndicatorCol=validation, validationTol=tolerance)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features")
     model = gbt.fit(assembler.transform(labelled.withColumn("label", F.col("label").cast("double"))))
     return PipelineModel([assembler, model])

@@ -6,10 +6,15 @@ finding reach the driver.
 
 from __future__ import annotations
 
+import argparse
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinlink.sources import tsv
+
 EXAMPLES = 5
 ERRORS = {
     "no_tab": "row without a tab",
@@ -91,9 +96,9 @@ def _header(spark: SparkSession, path: str, expected: list[str]) -> str | None:
 
 
 def _body(spark: SparkSession, path: str) -> DataFrame:
-    """Lines without the header (of each part)."""
-    lines = spark.read.text(path)
-    return parse(lines.where(~F.lower("value").startswith("source1_entity_id\t")))
+    """Lines without the first of each part, the header."""
+    reader = spark.read.schema("value string").option("header", True).option("enforceSchema", True).option("sep", "\x01").option("quote", "").option("escape", "")
+    return parse(reader.csv(path).where("value is not null"))
 
 
 def validate(spark: SparkSession, matches: str, candidates: str | None, required: DataFrame, known: DataFrame | None = None, check_ids: bool = False) -> tuple[list[str], list[str]]:
@@ -122,3 +127,31 @@ def validate(spark: SparkSession, matches: str, candidates: str | None, required
 
 def exit_code(errors: list[str]) -> int:
     return 1 if errors else 0
+
+
+def main(arguments: list[str] | None = None) -> int:
+    """``python -m kinlink.operators.validate``: prints findings; 0 if there is no error, else 1."""
+    parser = argparse.ArgumentParser(description="Check the format and content of result files.")
+    parser.add_argument("--matching", "-m", default="output/matching_results.tsv")
+    parser.add_argument("--candidate", "-c", default=None, help="by default output/candidate_pairs.tsv, if there is one")
+    parser.add_argument("--test-dir", "-t", default="dataset/test", help="folder of test_source1.tsv, test_source2.tsv, test_source3.tsv")
+    parser.add_argument("--check-ids", action="store_true", help="also look for ids that no target file has")
+    a = parser.parse_args(arguments)
+    spark = SparkSession.builder.getOrCreate()
+    try:
+        source = lambda i: tsv.read_entities(spark, f"{a.test_dir}/test_source{i}.tsv", f"S{i}")
+        required = source(1).select(F.col("entity_id").alias("s1_id"))
+        known = source(2).unionByName(source(3)).select(F.col("entity_id").alias("target_id")) if a.check_ids else None
+        errors, warnings = validate(spark, a.matching, a.candidate or "output/candidate_pairs.tsv", required, known, a.check_ids)
+    except Exception as e:  # missing sources and unreadable files come as Spark's own errors
+        errors, warnings = [f"could not read a file: {str(e).splitlines()[0]}"], []
+    for x in warnings:
+        print(f"WARNING: {x}")
+    for k, x in enumerate(errors, 1):
+        print(f"{k}. {x}")
+    print(f"FAIL: {len(errors)} error(s)" if errors else "PASS")
+    return exit_code(errors)
+
+
+if __name__ == "__main__":
+    sys.exit(main())

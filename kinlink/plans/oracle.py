@@ -222,7 +222,8 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
         "addr_len_diff": "abs(length(addr1) - length(addr2))",
         "addr_len_ratio": "least(length(addr1), length(addr2)) / greatest(length(addr1), length(addr2), 1)",
     }
-    grid = f"grid AS (SELECT t_singleton, t_match FROM (SELECT unnest({decision.TWO_STAGE[0]}::DOUBLE[]) AS t_singleton) a, (SELECT unnest({decision.TWO_STAGE[1]}::DOUBLE[]) AS t_match) b)"
+    grid_of = lambda singles, matches: f"grid AS (SELECT t_singleton, t_match FROM (SELECT unnest({singles}::DOUBLE[]) AS t_singleton) a, (SELECT unnest({matches}::DOUBLE[]) AS t_match) b)"
+    grid = grid_of(*decision.TWO_STAGE)
     swept = (
         "best AS (SELECT s1_id, max(prob) AS best FROM probs GROUP BY 1), "
         "marked AS (SELECT p.s1_id, p.prob, CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS t FROM probs p LEFT JOIN (SELECT DISTINCT * FROM truth) t ON p.s1_id = t.s1_id AND p.target_id = t.target_id), "
@@ -272,6 +273,7 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
     )
     return {
         "source_scan": f"WITH {both} SELECT source, entity_id, business_name, business_address, country FROM ent",
+        "tsv_scan": f"WITH {ent} SELECT source, entity_id, business_name, business_address, country FROM ent",
         "country_counts": f"WITH {both} SELECT source, trim(coalesce(country, '')) AS country, count(*) AS n FROM ent GROUP BY ALL",
         "base_clean": f"WITH {both} SELECT entity_id, {clean('business_name')} AS name_clean, {clean('business_address')} AS addr_clean FROM ent",
         "normalize_name": f"WITH {both} SELECT entity_id, {name_norm('business_name')} AS name_norm, {joined(without(words(phrased(clean('business_name'))), V.LEGAL_WORDS))} AS name_core FROM ent",
@@ -310,6 +312,9 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
         "jaro_winkler": f"WITH {blocked}, {attrs} SELECT s1_id, target_id, {jw('name1', 'name2')} AS name_jw, {jw('addr1', 'addr2')} AS addr_jw FROM attrs",
         "two_stage_decision": f"WITH {blocked}, {prob}, {chosen} SELECT s1_id, target_id FROM chosen",
         "threshold_grid": f"WITH {blocked}, {truth}, {asked}, {prob}, {grid}, {swept} SELECT * FROM swept",
+        "single_threshold_grid": f"WITH {blocked}, {truth}, {asked}, {prob}, {grid_of([0.0], decision.SINGLE)}, {swept} SELECT * FROM swept",
+        "wide_threshold_grid": f"WITH {blocked}, {truth}, {asked}, {prob}, {grid_of(*decision.TWO_STAGE_WIDE)}, {swept} SELECT * FROM swept",
+        "query_slices": f"WITH {ent}, {asked}, n AS (SELECT s1_id, row_number() OVER (ORDER BY {_number('s1_id')}) AS r, count(*) OVER () AS n FROM asked) SELECT s1_id, CASE WHEN r <= floor(0.8 * n + 1e-9) THEN 'train' ELSE 'validate' END AS part FROM n",
         "best_threshold": f"WITH {blocked}, {truth}, {asked}, {prob}, {grid}, {swept} SELECT t_singleton, t_match, macro_f FROM swept ORDER BY macro_f DESC, t_singleton, t_match LIMIT 1",
         "probability_profile": f"WITH {blocked}, {prob}, m AS (SELECT max(prob) AS p FROM probs GROUP BY s1_id) SELECT round(quantile_cont(p, 0.05), 6) AS p05, round(quantile_cont(p, 0.1), 6) AS p10, round(quantile_cont(p, 0.2), 6) AS p20, "
         + ", ".join(f"round(avg(CASE WHEN p < {b} THEN 1.0 ELSE 0.0 END), 6) AS below_{round(b * 100):02d}" for b in (0.05, 0.1, 0.15, 0.2, 0.3, 0.4))
@@ -324,5 +329,7 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
         "hybrid_interleave": f"WITH {bm25}, {tfidf}, places AS (SELECT s1_id, target_id, min(place) AS place FROM (SELECT s1_id, target_id, 2 * rank AS place FROM lex UNION ALL SELECT s1_id, target_id, 2 * rank + 1 FROM den) GROUP BY ALL) "
         "SELECT s1_id, target_id, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY place) AS INTEGER) AS rank FROM places QUALIFY rank <= 8",
         "submission_rows": f"WITH {blocked}, {asked}, {prob}, {chosen} SELECT a.s1_id AS source1_entity_id, coalesce(string_agg(target_id, ',' ORDER BY rank), '') AS matched_entity_ids FROM asked a LEFT JOIN chosen c USING (s1_id) GROUP BY a.s1_id",
+        "candidate_rows": f"WITH {blocked}, {asked} SELECT a.s1_id AS source1_entity_id, coalesce(string_agg(target_id, ',' ORDER BY rank), '') AS candidate_entity_ids FROM asked a LEFT JOIN cand c USING (s1_id) GROUP BY a.s1_id",
+        "outside_candidates": f"WITH {blocked}, {truth} SELECT DISTINCT s1_id FROM truth t WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.s1_id = t.s1_id AND c.target_id = t.target_id)",
         "validate_submission": f"WITH {ent}, {broken} SELECT rule, count(*) AS n, array_to_string(list_sort(list(item))[1:5], ', ') AS examples FROM bad GROUP BY rule",
     }

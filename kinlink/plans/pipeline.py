@@ -5,22 +5,27 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinlink.operators import blocking, decision, features, labels, ranker
 from kinlink.operators.prepare import prepare, spread
 from kinlink.sources import tsv
+from kinlink.sources.shared import cut
 
 
 @dataclass(frozen=True)
 class Inference:
-    """What a run gives: candidates with probabilities, matches, and both as id lists for every S1 record."""
+    """What a run gives: candidates with probabilities, matches, and both as id lists for every S1 record.
+
+    ``counters`` (matched pairs, those ranked first by the blocker, best probability) is filled when ``matches`` or ``match_lists`` is computed.
+    """
 
     scored: DataFrame
     matches: DataFrame
     candidate_lists: DataFrame
     match_lists: DataFrame
+    counters: Observation
 
 
 def candidates(entities: DataFrame, b: blocking.Blocking = blocking.Blocking()) -> tuple[DataFrame, DataFrame]:
@@ -35,9 +40,12 @@ def train(entities: DataFrame, truth: DataFrame, b: blocking.Blocking = blocking
     truth = labels.resolve_truth(truth, records)
     pairs = labels.label(features.features(found, records), truth)
     queries = records.where("source = 'S1'").select(F.col("entity_id").alias("s1_id"))
-    first, last = labels.query_slice(queries, 0.0, share), labels.query_slice(queries, share, 1.0)
-    model = ranker.train(labels.of_queries(pairs, first), trees)
-    scored = ranker.predict(model, labels.of_queries(pairs, last)).select("s1_id", "target_id", "prob")
+    last = labels.query_slice(queries, share, 1.0)
+    # training stops when the later queries improve no more
+    held = last.withColumn("_later", F.lit(True))
+    pairs = cut(pairs.join(held, "s1_id", "left").withColumn("_later", F.coalesce("_later", F.lit(False))))
+    model = ranker.train(pairs, trees, validation="_later")
+    scored = ranker.predict(model, pairs.where("_later")).select("s1_id", "target_id", "prob")
     points = decision.grid(entities.sparkSession, *decision.TWO_STAGE)
     best = decision.best_point(decision.sweep(scored, last, labels.of_queries(truth, last), points)).first()
     return model, {"t_singleton": best["t_singleton"], "t_match": best["t_match"], "val_f05": best["macro_f"]}
@@ -48,6 +56,8 @@ def infer(entities: DataFrame, model: PipelineModel, policy: dict[str, float], b
     records, found = candidates(entities, b)
     scored = ranker.predict(model, features.features(found, records)).select("s1_id", "target_id", "prob")
     scored = scored.join(found.select("s1_id", "target_id", "rank"), ["s1_id", "target_id"])
+    counters = Observation("matches")
     matches = decision.decide(scored, policy["t_match"], policy["t_singleton"])
+    matches = matches.observe(counters, F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("rank") == 1).alias("first_ranked"), F.max("prob").alias("best"))
     queries = records.where("source = 'S1'").select(F.col("entity_id").alias("s1_id"))
-    return Inference(scored, matches, tsv.id_lists(queries, found, "candidate_entity_ids"), tsv.id_lists(queries, matches, "matched_entity_ids"))
+    return Inference(scored, matches, tsv.id_lists(queries, found, "candidate_entity_ids"), tsv.id_lists(queries, matches, "matched_entity_ids"), counters)

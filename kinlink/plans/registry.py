@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from kinlink.functions import text as X
 from kinlink.operators import blocking as B
 from kinlink.operators import decision, dense, features, keys, labels, lexical, metrics, prepare, ranker, validate
 from kinlink.sources import tsv
+from kinlink.sources.shared import cut, shared_dir
 
 from . import fixtures, oracle
 from .fixtures import document_entities, part_entities, part_truth, table
@@ -36,6 +38,12 @@ def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(spark, sf_dir)
 
 
+def tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities written as TSV sources and read back, with the source read off the files' names."""
+    path = f"{shared_dir(spark).rstrip('/')}/tsv-{uuid.uuid4().hex}"
+    return tsv.read_entities(spark, tsv.write_entities(part_entities(spark, sf_dir), path))
+
+
 def country_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tsv.country_counts(_both(spark, sf_dir))
 
@@ -238,6 +246,24 @@ def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.features(c, r)
 
 
+def single_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One threshold for all candidates: no test of the best one."""
+    r, c = _blocked(spark, sf_dir)
+    return decision.sweep(_probabilities(c), _queries(r), part_truth(spark, sf_dir), decision.grid(spark, [0.0], decision.SINGLE))
+
+
+def wide_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = _blocked(spark, sf_dir)
+    return decision.sweep(_probabilities(c), _queries(r), part_truth(spark, sf_dir), decision.grid(spark, *decision.TWO_STAGE_WIDE))
+
+
+def query_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries by their rows: the first four fifths train, the rest validate."""
+    q = part_entities(spark, sf_dir).where("source = 'S1'").select(F.col("entity_id").alias("s1_id"))
+    part = lambda lo, hi, name: labels.query_slice(q, lo, hi).withColumn("part", F.lit(name))
+    return part(0.0, 0.8, "train").unionByName(part(0.8, 1.0, "validate"))
+
+
 def two_stage_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, c = _blocked(spark, sf_dir)
     return _matches(c).select("s1_id", "target_id")
@@ -268,7 +294,7 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of all candidates under a small model of the first four fifths of the queries."""
     r, c = _blocked(spark, sf_dir)
-    pairs = labels.label(features.features(c, r), part_truth(spark, sf_dir)).persist()
+    pairs = cut(labels.label(features.features(c, r), part_truth(spark, sf_dir)))
     first = labels.query_slice(_queries(r), 0.0, 0.8)
     model = ranker.train(labels.of_queries(pairs, first), ranker.Trees(rounds=10, rate=0.3, depth=4))
     return ranker.predict(model, pairs).select("s1_id", "target_id", "label", F.round("prob", 6).alias("prob"))
@@ -307,6 +333,19 @@ def submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tsv.id_lists(_queries(r), _matches(c), "matched_entity_ids")
 
 
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = _blocked(spark, sf_dir)
+    return tsv.id_lists(_queries(r), c, "candidate_entity_ids")
+
+
+def outside_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries whose true matches, written as a match file, are not all in the candidate file."""
+    r, c = _blocked(spark, sf_dir)
+    truth = part_truth(spark, sf_dir).withColumn("rank", F.lit(1))
+    lines = lambda pairs: validate.parse(tsv.id_lists(_queries(r), pairs, "ids").select(F.concat_ws("\t", "source1_entity_id", "ids").alias("value")))
+    return validate.outside_candidates(lines(truth), lines(c))
+
+
 def validate_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in a deliberately broken result file."""
     lines = table(spark, sf_dir, "part").selectExpr(
@@ -321,11 +360,11 @@ def validate_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = [
-    source_scan, country_counts, base_clean, normalize_name, normalize_addr, numbers, char_trigrams, record_tokens, alt_normalize, token_df,
+    source_scan, tsv_scan, country_counts, base_clean, normalize_name, normalize_addr, numbers, char_trigrams, record_tokens, alt_normalize, token_df,
     rare_doc_tokens, rare_query_tokens, composite_keys, key_posting_stats, rare_candidates, composite_candidates, exact_name_blocks, blocked_topk,
     truth_pairs, truth_stats, label_candidates, pair_completeness, blocking_report, macro_f05, entity_scores, singleton_stats, missed_pairs, key_recall,
-    token_overlap_features, soundex_match, jaro_winkler, fuzz_ratios, wratio, pair_features, two_stage_decision, threshold_grid, best_threshold,
-    probability_profile, roc_auc, gbt_scores, bm25_topk, tfidf_topk, embedding_topk, hybrid_interleave, submission_rows, validate_submission,
+    token_overlap_features, soundex_match, jaro_winkler, fuzz_ratios, wratio, pair_features, two_stage_decision, single_threshold_grid, threshold_grid, wide_threshold_grid, best_threshold, query_slices,
+    probability_profile, roc_auc, gbt_scores, bm25_topk, tfidf_topk, embedding_topk, hybrid_interleave, submission_rows, candidate_rows, outside_candidates, validate_submission,
 ]
 
 

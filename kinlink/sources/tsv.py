@@ -14,18 +14,19 @@ CANDIDATE_HEADER = ["source1_entity_id", "candidate_entity_ids"]
 
 def _read(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     reader = spark.read.schema(schema).option("sep", "\t").option("header", True).option("enforceSchema", True)
-    return reader.option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").csv(path)
+    # a record is a line, also inside quotes, so that files can be split
+    return reader.option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
 
 
 def source_tag(file: str = "source") -> str:
-    """Pattern of the number in ``..._source<N>.tsv``."""
+    """Pattern of the number in ``..._source<N>.tsv``, a file or a folder of parts."""
     return rf"{file}(\d)\.tsv"
 
 
 def read_entities(spark: SparkSession, path: str | list[str], source: str | None = None) -> DataFrame:
     """Records of one or more source files: missing fields are empty; ``source`` (S1, S2, S3) is given or read off the file's name."""
     df = _read(spark, path, ENTITY)
-    tag = F.lit(source) if source else F.concat(F.lit("S"), F.regexp_extract(F.col("_metadata.file_name"), source_tag(), 1))
+    tag = F.lit(source) if source else F.concat(F.lit("S"), F.regexp_extract(F.col("_metadata.file_path"), source_tag(), 1))
     return df.select(tag.alias("source"), *[F.coalesce(c, F.lit("")).alias(c) for c in ENTITY.names])
 
 
@@ -58,6 +59,15 @@ def id_lists(queries: DataFrame, pairs: DataFrame, column: str, order: str = "ra
     return queries.select("s1_id").distinct().join(per, "s1_id", "left").select(F.col("s1_id").alias("source1_entity_id"), F.coalesce("_ids", F.lit("")).alias(column))
 
 
+def write_entities(entities: DataFrame, path: str) -> list[str]:
+    """TSV sources below ``path``, a folder of parts for each of S1, S2 and S3; returns their paths."""
+    out = [f"{path.rstrip('/')}/entities_source{i}.tsv" for i in (1, 2, 3)]
+    for i, x in enumerate(out):
+        rows = entities.where(F.col("source") == f"S{i + 1}").select(ENTITY.names)
+        rows.write.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(x)
+    return out
+
+
 def write_lists(lists: DataFrame, path: str, single_file: bool = False) -> None:
     """TSV with a header; one part for each partition, or a single file."""
     out = lists.coalesce(1) if single_file else lists

@@ -205,3 +205,25 @@ def test_training_and_inference(spark, tmp_path):
     assert len(ranker.importances(model)) == 15
     with pytest.raises(FileNotFoundError):
         ranker.load(str(tmp_path / "no-model"))
+
+
+def test_slices_go_by_rows_not_by_numbers(spark):
+    q = spark.createDataFrame([(f"S1-{i}",) for i in (3, 900, 5, 7, 10**6, 8, 11)], "s1_id string")
+    first = [r["s1_id"] for r in labels.query_slice(q, 0.0, 0.5).collect()]
+    assert sorted(first) == ["S1-3", "S1-5", "S1-7"] and labels.query_slice(q, 0.5, 1.0).count() == 4
+
+
+def test_command_line_validator(spark, tmp_path, capsys):
+    write = lambda name, body: (tmp_path / name).write_text("a\tb\tc\td\n".replace("a", "entity_id") + body)
+    write("test_source1.tsv", "S1-1\tx\ty\tUS\nS1-2\tx\ty\tUS\n")
+    write("test_source2.tsv", "S2-1\tx\ty\tUS\n")
+    write("test_source3.tsv", "")
+    good, bad = tmp_path / "good.tsv", tmp_path / "bad.tsv"
+    good.write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-2\t\n")
+    bad.write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S2-7\nsource1_entity_id\tS2-1\n")
+    args = lambda m: ["-m", str(m), "-c", str(tmp_path / "none.tsv"), "-t", str(tmp_path), "--check-ids"]
+    assert validate.main(args(good)) == 0 and "PASS" in capsys.readouterr().out
+    assert validate.main(args(bad)) == 1
+    said = capsys.readouterr().out
+    assert "S2-7" in said and "S1-2" in said and "source1_entity_id" in said.split("not required")[-1]
+    assert validate.main(["-t", str(tmp_path / "nowhere")]) == 1
