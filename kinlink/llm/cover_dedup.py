@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import exchange, textkit
+from .scratch import type_of
 
 #: Perfect difference sets (fixed values): any difference modulo v occurs between two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (1, 5, 11, 24, 25, 27)}
-RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
+RESULT = "n_words long, n_removed long, kept_text string, times long"
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -61,9 +62,8 @@ class _Slice:
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by single spaces, one row for each input row."""
-    spark = docs.sparkSession
-    buckets = exchange.buckets_of(spark)
     slices = exchange.sliced(docs, key, text)
+    buckets = slices.buckets
 
     def anchors(s: int, t: pa.Table, _) -> pa.Table:
         x = _Slice(t, window)
@@ -86,8 +86,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             k = int(lost[first[i + 1]] - lost[first[i]])
             removed.append(k)
             kept.append(b" ".join(words if not k else compress(words, ~gone[first[i] : first[i + 1]])))
-        return pa.table([t["key"].cast(pa.int64()), pa.array(x.w.n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+        return pa.table([t["key"], pa.array(x.w.n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), t["times"]], names=["doc_id", "n_words", "n_removed", "kept_text", "times"])
 
-    first = exchange.answers(exchange.with_slices(slices, anchors, exchange.ASKED), exchange.shared, 1)
-    second = exchange.answers(exchange.with_slices(slices, windows, exchange.ASKED, first), exchange.shared, 1)
-    return exchange.with_slices(slices, remove, RESULT, first.unionByName(second))
+    first = exchange.answers(exchange.with_slices(slices, anchors, exchange.ASKED), {0: (exchange.shared, 1)})
+    second = exchange.answers(exchange.with_slices(slices, windows, exchange.ASKED, first), {1: (exchange.shared, 1)})
+    return exchange.given_back(exchange.with_slices(slices, remove, f"doc_id {type_of(docs, key)}, {RESULT}", first.unionByName(second)), slices)

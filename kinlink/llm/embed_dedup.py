@@ -120,7 +120,7 @@ def link(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector:
     bound_batches(vectors.sparkSession)
     kind = vectors.schema[vector].dataType
     wide = not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType))
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = F.forall("embedding", lambda x: x == 0)
     good = F.coalesce(F.col("embedding").isNotNull() & ~bad & ~zero, F.lit(False))

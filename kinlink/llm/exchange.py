@@ -4,37 +4,70 @@ Texts are dealt by hash into slices of a few megabytes.  A slice sends each dist
 key range into buckets; a bucket answers, for each slice, which of its keys another slice has too.  A key that a third of
 all documents hold so crosses the shuffle once for each slice and never as rows of its own, and a task holds one bucket
 or one slice.  Keys that occur twice inside a slice need no answer.
+
+The number of buckets follows from the bytes of text, and slices grow with the input up to a bound, so both stay of bounded
+size.  Rows that agree in id and text fall into one slice; of more than REPEATS such rows two go there, and results are given
+back as often as the rows occur.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
+from .scratch import bound_batches, stored
 
 U = np.uint64
-SLICE_BYTES = 4 << 20
+#: Bytes of text of a slice: least and most, between them the number of slices that grows no further.
+SLICE_BYTES, MOST_SLICE_BYTES, SLICES = 4 << 20, 16 << 20, 4096
+#: Bytes of text for each bucket: keys and what goes with them take up to four times as much.
+BUCKET_BYTES = 16 << 20
+#: Rows alike in id and text that go through as they are.
+REPEATS = 100
 ASKED = "slice long, bucket long, kind int, keys binary, data binary"
 ANSWER = "slice long, bucket long, kind int, mask binary"
 _ASKED = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("data", pa.binary())])
 _ANSWER = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("mask", pa.binary())])
 
 
-def sliced(docs: DataFrame, key: str, text: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(slice, key, text) with about ``slice_bytes`` of text for each slice."""
-    bound_batches(docs.sparkSession)
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
-    n = max(1, -(-total // slice_bytes))
-    return docs.select(F.pmod(F.xxhash64(key, text), F.lit(n)).alias("slice"), F.col(key).alias("key"), F.col(text).alias("text"))
+@dataclass(frozen=True)
+class Slices:
+    """Texts dealt into slices: (slice, key, text, times), the number of buckets, and whether any row stands for several."""
+
+    rows: DataFrame
+    buckets: int
+    folded: bool
 
 
-def buckets_of(spark) -> int:
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def sliced(docs: DataFrame, key: str, text: str, slice_bytes: int | None = None) -> Slices:
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(key, text).alias("_h"))
+    same = stored(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("times"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")), "rows")
+    total = same.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()["b"]
+    size = slice_bytes or min(MOST_SLICE_BYTES, max(SLICE_BYTES, total // SLICES))
+    n = max(1, -(-total // size))
+    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    hot = same.where(F.col("times") > REPEATS).select("_h", "times")
+    folded = not hot.isEmpty()
+    if folded:
+        pair = F.explode(F.array(F.lit(1).cast("long"), F.col("times") - 1))
+        twice = rows.join(hot, "_h").dropDuplicates(["key", "text"]).withColumn("times", pair)
+        rows = rows.join(hot.select("_h"), "_h", "left_anti").withColumn("times", F.lit(1).cast("long")).unionByName(twice)
+    else:
+        rows = rows.withColumn("times", F.lit(1).cast("long"))
+    return Slices(rows.select(F.pmod("_h", F.lit(n)).alias("slice"), "key", "text", "times"), buckets, folded)
+
+
+def given_back(results: DataFrame, slices: Slices) -> DataFrame:
+    """Results with ``times`` -> each as often as its row occurs."""
+    if slices.folded:
+        results = results.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return results.drop("times")
 
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -59,10 +92,15 @@ def ask(slice_id: int, kind: int, keys: np.ndarray, data: np.ndarray | None, buc
     )
 
 
-def answers(asked: DataFrame, solve: Callable[[np.ndarray, np.ndarray, bytes], np.ndarray], width: int) -> DataFrame:
-    """Per bucket: ``solve(keys, slice of each key, data)`` gives ``width`` bytes for each key, zero where there is nothing to say."""
+#: Solver of a kind of question, and the bytes that it says of each key.
+Solver = tuple[Callable[[np.ndarray, np.ndarray, bytes], np.ndarray], int]
+
+
+def answers(asked: DataFrame, solvers: dict[int, Solver]) -> DataFrame:
+    """Per bucket and kind: ``solve(keys, slice of each key, data)`` gives bytes for each key, zero where there is nothing to say."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key, table):
+        solve, width = solvers[key[1].as_py()]
         raw = [k.as_py() for k in table["keys"]]
         n = np.array([len(k) // 8 for k in raw])
         said = solve(np.frombuffer(b"".join(raw), dtype=U), np.repeat(np.arange(len(raw)), n), b"".join(k.as_py() for k in table["data"]))
@@ -73,17 +111,18 @@ def answers(asked: DataFrame, solve: Callable[[np.ndarray, np.ndarray, bytes], n
         at = pa.array(keep, pa.int64())
         return pa.table([table["slice"].take(at), table["bucket"].take(at), table["kind"].take(at), pa.array([parts[i].tobytes() for i in keep], pa.binary())], schema=_ANSWER)
 
-    return asked.groupBy("bucket").applyInArrow(run, ANSWER)
+    return asked.groupBy("bucket", "kind").applyInArrow(run, ANSWER)
 
 
-def shared(keys: np.ndarray, rows: np.ndarray, data: bytes) -> np.ndarray:
-    """1 for keys that more than one slice sent."""
+def shared(keys: np.ndarray, rows: np.ndarray, data: bytes, many: int | None = None) -> np.ndarray:
+    """1 for keys that more than one slice sent, 2 for keys that more than ``many`` slices sent."""
     order = np.argsort(keys, kind="stable")
     k = keys[order]
-    same = np.zeros(len(k) + 1, dtype=bool)
-    same[1:-1] = k[1:] == k[:-1]
+    new = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.append(new, len(k)))
+    said = (n > 1).astype(np.uint8) + (n > (many or len(k))).astype(np.uint8)
     out = np.zeros(len(k), dtype=np.uint8)
-    out[order] = same[1:] | same[:-1]
+    out[order] = np.repeat(said, n)
     return out
 
 
@@ -97,12 +136,12 @@ def heard(table: pa.Table, kind: int, keys: np.ndarray, buckets: int, width: int
     return out
 
 
-def with_slices(slices: DataFrame, fn: Callable[[int, pa.Table, pa.Table | None], Iterator[pa.Table] | pa.Table], schema: str, heard_: DataFrame | None = None) -> DataFrame:
+def with_slices(slices: Slices, fn: Callable[[int, pa.Table, pa.Table | None], Iterator[pa.Table] | pa.Table], schema: str, heard_: DataFrame | None = None) -> DataFrame:
     """``fn(slice, texts, answers)`` over every slice; a slice without texts gives nothing."""
     if heard_ is None:
-        return slices.groupBy("slice").applyInArrow(lambda key, t: fn(key[0].as_py(), t, None), schema)
+        return slices.rows.groupBy("slice").applyInArrow(lambda key, t: fn(key[0].as_py(), t, None), schema)
 
     def both(key, t: pa.Table, a: pa.Table) -> pa.Table:
         return fn(key[0].as_py(), t, a)
 
-    return slices.groupBy("slice").cogroup(heard_.groupBy("slice")).applyInArrow(both, schema)
+    return slices.rows.groupBy("slice").cogroup(heard_.groupBy("slice")).applyInArrow(both, schema)

@@ -7,7 +7,9 @@
    Jaccard similarity.  Texts with equal words are one class with one signature.
 3. Bands of ROWS samples put classes into buckets.  Every class is compared with the most central class of its buckets (the
    one with most company in all its buckets: an original rather than one of its copies).  So candidate pairs grow with the
-   classes.  Pairs are verified by exact weighted Jaccard similarity and give components.
+   classes.  The classes of one centre are dealt into cells of bounded rows and bytes, and each cell gets the centre's
+   signature and text once, so that no centre gathers its classes in one task.  Signatures first; what passes is verified by
+   exact weighted Jaccard similarity and gives components.
 4. What is left are pairs of a bucket in different components.  Every class outside the component of the bucket's centre
    is compared with all classes of the bucket, in blocks: first by signature; classes with a likely partner then with
    their texts, exactly, inside the block.  Only links leave a block, one for each class and component; so no link between
@@ -16,9 +18,9 @@
 Words: A-Z lower-cased; runs of ASCII letters, digits and non-ASCII characters.
 
 Defined results for odd inputs: null and empty texts, and texts without words, are near nothing: each is its own class.
-Texts of fewer words than a shingle have all their words as one shingle.  Repeated rows are copies.  A null id belongs to
-its text's class and never names it unless all ids are null.  An empty table gives an empty result.  Only the id and text
-columns are read; ``keep_one`` passes all columns through.
+Texts of fewer words than a shingle have all their words as one shingle.  Repeated rows are copies.  Ids are of any type that
+has an order; a null id belongs to its text's class and never names it unless all ids are null (the name is then null).  An
+empty table gives an empty result.  Only the id and text columns are read; ``keep_one`` passes all columns through.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .scratch import bound_batches, stored
+from .scratch import bound_batches, stored, type_of
 
 U = np.uint64
 SHINGLE = 5
@@ -45,9 +47,11 @@ EQUAL = 1e-12
 #: Bytes of text whose shingles are in memory at once, and rows of a block of a large bucket.
 PIECE_BYTES = 512 << 10
 BLOCK = 512
+#: Bytes of text in a cell or block, on average (a longer text stands with few others).
+BLOCK_BYTES = 4 << 20
 #: Parts of the table of document frequencies, and partial sums of each part.
 SEGMENTS, SALTS = 256, 1024
-SIGNED = "doc_id long, raw long, h1 long, h2 long, sig binary"
+SIGNED = "raw long, h1 long, h2 long, bytes long, sig binary"
 
 
 def _words(buf: np.ndarray, offs: np.ndarray) -> textkit.Words:
@@ -154,7 +158,7 @@ def sample(s: Shingles, samples: int = SAMPLES, chunk: int = 1 << 15) -> np.ndar
 
 
 def signatures(docs: DataFrame, key: str, text: str, idf: np.ndarray) -> DataFrame:
-    """doc_id, hash of the raw text, 128-bit hash of its words, and its signature (null without words)."""
+    """doc_id, hash of the raw text, 128-bit hash of its words, bytes of text, and its signature (null without words)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
@@ -166,33 +170,30 @@ def signatures(docs: DataFrame, key: str, text: str, idf: np.ndarray) -> DataFra
                 two = textkit.mix(textkit.span_hash(w.hash, w.first[:-1], w.first[1:], textkit.BYTE_BASE) + U(1))
                 sig = sample(s)
                 packed = pa.array([x.tobytes() if n else None for x, n in zip(sig, w.n, strict=True)], pa.binary())
-                yield pa.record_batch([batch.column(0)[lo:hi].cast(pa.int64()), batch.column(2)[lo:hi], pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), packed], names=["doc_id", "raw", "h1", "h2", "sig"])
+                yield pa.record_batch([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(offs)), packed], names=["doc_id", "raw", "h1", "h2", "bytes", "sig"])
 
-    return docs.select(F.col(key).cast("long"), text, F.xxhash64(text)).mapInArrow(run, SIGNED)
+    return docs.select(key, text, F.xxhash64(text)).mapInArrow(run, f"doc_id {type_of(docs, key)}, {SIGNED}")
 
 
-def weighted_jaccard(pairs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """pairs (a, b, text_a, text_b) -> (a, b, similarity)."""
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
+def _near_centre(idf, threshold: float):
+    """Exact comparison of a cell's texts with its centre's: (a, b) for pairs at the threshold.  Texts are taken in pieces."""
 
-    def run(batches):
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                # each text once, however many pairs it has in the batch
-                texts: dict[bytes, int] = {}
-                side = [[texts.setdefault(x.as_py().encode(), len(texts)) for x in batch.column(c)] for c in (2, 3)]
-                s = Shingles(*textkit.column_bytes(pa.array(list(texts), pa.large_binary())), shared.value)
-                sim = []
-                for i, j in zip(*side, strict=True):
-                    x, y = slice(s.first[i], s.first[i + 1]), slice(s.first[j], s.first[j + 1])
-                    _, p, q = np.intersect1d(s.hash[x], s.hash[y], assume_unique=True, return_indices=True)
-                    low = np.minimum(s.weight[x][p], s.weight[y][q]).sum()
-                    every = s.weight[x].sum() + s.weight[y].sum() - low
-                    sim.append(float(low / every) if every else 0.0)
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    def run(t: pa.Table) -> pa.Table:
+        lead = np.asarray(t["lead"])
+        node, at = np.asarray(t["node"]), np.flatnonzero(~lead)
+        middle = Shingles(*textkit.column_bytes(t["text"].take(pa.array(np.flatnonzero(lead)[:1]))), idf.value)
+        total, got = middle.weight.sum(), [np.zeros(0, dtype=np.int64)]
+        for lo, hi, buf, offs in textkit.pieces(t["text"].take(pa.array(at)).combine_chunks(), PIECE_BYTES):
+            s = Shingles(buf, offs, idf.value)
+            k = np.minimum(np.searchsorted(middle.hash, s.hash), len(middle.hash) - 1)
+            low = np.where(middle.hash[k] == s.hash, np.minimum(middle.weight[k], s.weight), 0.0)
+            low, own = (np.bincount(s.doc, weights=x, minlength=hi - lo) for x in (low, s.weight))
+            got.append(at[lo:hi][low / (total + own - low) >= threshold - EQUAL])
+        found = node[np.concatenate(got)]
+        middle_node = int(node[lead][0])
+        return pa.table([pa.array(np.full(len(found), middle_node, dtype=np.int64)), pa.array(found, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def _likely(t: pa.Table, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -254,12 +255,12 @@ def _linked(idf, threshold: float):
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, raw (hash of the text), class_id (smallest id of the near-duplicate class) for every input row."""
+    """doc_id, raw (hash of the text), root (a number of the near-duplicate class; null without words) and class_id (its smallest id) for every input row."""
     bound_batches(docs.sparkSession)
     idf = inverse_frequencies(docs, text)
     signed = stored(signatures(docs, key, text, idf), "signatures")
-    nodes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "raw")).alias("f"), F.first("sig").alias("sig"))
-    nodes = stored(nodes.select(F.col("h1").alias("node"), "h2", F.col("f.doc_id").alias("first"), F.col("f.raw").alias("raw"), "sig"), "nodes")
+    nodes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "raw", "bytes")).alias("f"), F.first("sig").alias("sig"))
+    nodes = stored(nodes.select(F.col("h1").alias("node"), "h2", F.col("f.doc_id").alias("first"), F.col("f.raw").alias("raw"), F.col("f.bytes").alias("bytes"), "sig"), "nodes")
     band = F.expr(f"substring(sig, band * {4 * ROWS} + 1, {4 * ROWS})")
     keys = nodes.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // ROWS - 1)))).select("node", "band", F.xxhash64("band", band).alias("key"))
     buckets = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -270,20 +271,31 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     texts = _texts(docs, key, text, nodes.join(met.select("node").distinct(), "node"))
 
     sig = nodes.select("node", "sig")
-    star = met.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    star = star.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
+    star = met.where("node <> centre").select("centre", "node").distinct().join(nodes.select("node", "bytes"), "node")
+    sizes = star.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    cells = sizes.select("centre", _blocks(F.col("n"), F.col("bytes")).alias("cells"))
+    star = stored(star.join(cells, "centre").select("centre", F.pmod(F.xxhash64("node", "centre"), F.col("cells")).cast("int").alias("cell"), "node"), "star")
+    middle = stored(star.select("centre", "cell").distinct(), "cells")
+    # one row for each cell, so a centre's signature and text travel once for each
+    one = middle.join(sig.toDF("centre", "sig_a"), "centre")
+    two = star.join(sig.toDF("node", "sig_b"), "node")
     same = F.expr(f"size(filter(sequence(0, {SAMPLES - 1}), i -> substring(sig_a, 4 * i + 1, 4) = substring(sig_b, 4 * i + 1, 4)))")
-    star = star.where(same >= AGREE).select("a", "b").join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    links = stored(weighted_jaccard(star, idf).where(F.col("similarity") >= threshold - EQUAL).select("a", "b"), "links")
+    near = stored(two.join(one, ["centre", "cell"]).where(same >= AGREE).select("centre", "cell", "node"), "near")
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    leads = near.select("centre", "cell").distinct().join(texts.toDF("centre", "text"), "centre").select("centre", "cell", F.col("centre").alias("node"), "text", F.lit(True).alias("lead"))
+    members = near.join(texts, "node").select("centre", "cell", "node", "text", F.lit(False).alias("lead"))
+    links = stored(members.unionByName(leads).groupBy("centre", "cell").applyInArrow(_near_centre(shared, threshold), "a long, b long"), "links")
     comp = stored(components(links), "components")
 
     # pairs of a bucket in different components
     inside = met.join(comp.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lead = inside.where("node = centre").select("band", "key", F.col("comp").alias("lead"))
     inside = inside.join(lead, ["band", "key"]).withColumn("minor", F.col("comp") != F.col("lead"))
-    open_ = inside.where("minor").groupBy("band", "key").agg(F.count(F.lit(1)).alias("minors"))
+    inside = inside.join(nodes.select("node", "bytes"), "node")
+    minor = lambda c: F.when(F.col("minor"), c)
+    open_ = inside.groupBy("band", "key").agg(F.count(minor(F.lit(1))).alias("minors"), F.sum(minor(F.col("bytes"))).alias("minor_bytes"), F.sum("bytes").alias("all_bytes")).where("minors > 0")
     inside = inside.join(open_, ["band", "key"]).join(sig, "node")
-    blocks, rows = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("minors") / BLOCK).cast("int")
+    blocks, rows = _blocks(F.col("n"), F.col("all_bytes")), _blocks(F.col("minors"), F.col("minor_bytes"))
     # a minor row meets every block of the bucket, and every row every block of minor rows
     cell = ["band", "key", "one", "two", "node", "comp", "sig"]
     own_one, own_two = F.pmod(F.xxhash64("node"), rows).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
@@ -292,21 +304,25 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     schema = "band int, key long, one int, two int, node long, comp long, minor boolean, sig binary"
     needy = stored(left.unionByName(right).groupBy("band", "key", "one", "two").applyInArrow(_needy, schema), "needy")
     if not needy.isEmpty():
-        shared = docs.sparkSession.sparkContext.broadcast(idf)
         more = needy.join(texts, "node").groupBy("band", "key", "one", "two").applyInArrow(_linked(shared, threshold), "a long, b long")
         comp = components(links.unionByName(stored(more, "more")))
 
     named = nodes.select("node", "h2", "first").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = named.join(ids, "root").select(F.col("node").alias("h1"), "h2", "class_id")
+    named = named.join(ids, "root").select(F.col("node").alias("h1"), "h2", "root", "class_id")
     out = signed.select("doc_id", "raw", F.when(F.col("sig").isNotNull(), F.col("h1")).alias("h1"), "h2").join(named, ["h1", "h2"], "left")
-    return out.select("doc_id", "raw", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.select("doc_id", "raw", "root", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _blocks(n: Column, size: Column) -> Column:
+    """Blocks for n rows with so many bytes of text together."""
+    return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
 
 
 def _texts(docs: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
     """(node, text) of the document that stands for each node."""
     needed = stored(nodes.select("node", F.col("first").alias("_k"), F.col("raw").alias("_r")), "needed")
-    texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_raw"))
+    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_raw"))
     # a merge join at every size: texts move once, needed or not
     texts = stored(texts.join(needed.hint("merge"), F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_raw") == F.col("_r"))).select("node", "text"), "found")
     if texts.count() != needed.count():  # repeated rows
@@ -315,13 +331,19 @@ def _texts(docs: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` (all columns) without those whose class has a smaller id: one document of each class stays."""
-    found = stored(classes(docs, key, text, threshold), "classes")
-    gone = found.where("class_id <> doc_id or (doc_id is null and class_id is not null)").select(F.col("doc_id").alias("_k"), F.col("raw").alias("_r")).distinct()
-    out = docs.withColumn("_raw", F.xxhash64(text))
-    out = out.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_k")) & (F.col("_raw") == F.col("_r")), "left_anti")
-    # repeated rows are copies of each other; texts without words stay as they are
-    twice = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Rows of ``docs`` (all columns), one of each class: of the smallest id, and of rows alike in id (all null included) any one.
+
+    Texts without words stay as they are.
+    """
+    found = stored(classes(docs, key, text, threshold).where("root is not null"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "raw")).alias("f")
+    kept = stored(found.groupBy("root").agg(first).select("root", F.col("f.doc_id").alias("_id"), F.col("f.raw").alias("_first")), "kept")
+    same = found.join(kept, "root").withColumn("_stays", F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_first")))
+    mine = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_raw") == F.col("_r"))
+    gone = same.where("not _stays").select(F.col("doc_id").alias("_k"), F.col("raw").alias("_r")).distinct()
+    out = docs.withColumn("_raw", F.xxhash64(text)).join(gone, mine, "left_anti")
+    # rows alike in id and text
+    twice = stored(same.where("_stays").groupBy(F.col("doc_id").alias("_k"), F.col("raw").alias("_r")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
     if not twice.isEmpty():
-        out = out.dropDuplicates([key, "_raw"])
+        out = out.join(twice, mine, "left_anti").unionByName(out.join(twice, mine, "left_semi").dropDuplicates([key, "_raw"]))
     return out.drop("_raw")

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf, labels, textkit
-from .scratch import bound_batches
+from .scratch import bound_batches, type_of
 
-RESULT = "doc_id long, score double, n_lines int, good_lines int"
+RESULT = "score double, n_lines int, good_lines int"
 THRESHOLD = 0.3
 #: Bin edges of each measure of a line.
 SHARE = (0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.6, 0.9)
@@ -172,9 +172,9 @@ def score(docs: DataFrame, model: crf.Model | None, key: str = "doc_id", text: s
         for batch in batches:
             for lo, hi, buf, offs in textkit.pieces(batch.column(1), 1 << 20):
                 s, n, good = score_batch(shared.value, buf, offs)
-                yield pa.record_batch([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(s), pa.array(n, pa.int32()), pa.array(good, pa.int32())], names=["doc_id", "score", "n_lines", "good_lines"])
+                yield pa.record_batch([batch.column(0)[lo:hi], pa.array(s), pa.array(n, pa.int32()), pa.array(good, pa.int32())], names=["doc_id", "score", "n_lines", "good_lines"])
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, RESULT)
+    return docs.select(F.col(key).alias("doc_id"), text).mapInArrow(run, f"doc_id {type_of(docs, key)}, {RESULT}")
 
 
 def score_batch(m: crf.Model | None, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

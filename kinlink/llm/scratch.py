@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinlink.sources.shared import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver share: ``spark.checkpoint.dir`` of the session.
-
-    Where the setting is absent (tests, a single machine) a temporary folder is set as the checkpoint folder.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="kinlink-")
-        sc.setCheckpointDir(found)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found
-
+__all__ = ["bound_batches", "cut", "fresh_path", "release", "stored", "type_of"]
 
 #: Rows and bytes of text in a batch between the JVM and Python: what a task holds at once on either side.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
+_made: dict[str, SparkSession] = {}
+
 
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES; texts are longer than the defaults expect."""
@@ -36,14 +26,10 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/kinlink-{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A new path below the shared folder; ``release`` deletes what is written there."""
+    path = f"{shared_dir(spark).rstrip('/')}/kinlink-{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -51,3 +37,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*keep: str) -> None:
+    """Delete the working tables made so far, but for the paths ``keep``.
+
+    Results are lazy and read them, so call this when what was asked for is written.  It runs when the driver ends, too.
+    """
+    for path in [p for p in _made if p not in keep]:
+        spark = _made.pop(path)
+        if spark.sparkContext._jsc is not None:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _at_exit() -> None:
+    try:
+        release()
+    except Exception:  # the session may be gone already; the folder's owner then clears it
+        _made.clear()
+
+
+atexit.register(_at_exit)
+
+
+def type_of(df: DataFrame, column: str) -> str:
+    """SQL type of a column, for schemas that carry ids of any type."""
+    return df.schema[column].dataType.simpleString()

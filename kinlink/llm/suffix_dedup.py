@@ -9,7 +9,9 @@ has the same t words before it.  All suffixes of such a stretch are compared, no
 is lost between unlike neighbours.  Repeated windows unite to maximal spans.
 
 Words are runs of non-blank characters, compared by 32-bit codes within equal 64-bit leading runs.  Equal suffixes of one
-slice of the corpus travel once, so one passage in a third of all documents is no hot key.
+slice of the corpus travel once, so one passage in a third of all documents is no hot key.  A leading run that more than MANY
+slices share may stand in as many contexts as there are documents, and its suffixes would fill one bucket: they are split by
+all the words of their windows instead of the leading run (64-bit hashes of whole windows, each once for a slice).
 
 Defined results for odd inputs: null, empty and shorter texts have no span; repeated rows repeat all their windows; an
 empty table gives an empty result; a null id is kept in its spans.  Only the id and text columns are read.
@@ -17,16 +19,20 @@ empty table gives an empty result; a null id is kept in its spans.  Only the id
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import exchange, textkit
+from .scratch import type_of
 
 U = np.uint64
-#: Words in a suffix's leading run.
+#: Words in a suffix's leading run, and the number of slices up to which its suffixes meet in one bucket.
 GRAM = 10
-RESULT = "doc_id long, n_words long, span_start long, span_words long"
+MANY = 64
+RESULT = "n_words long, span_start long, span_words long, times long"
 
 
 def minimisers(w: textkit.Words, min_words: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +77,9 @@ class _Slice:
         self.heads, self.inv, self.count = np.unique(self.w.window_hash(self.at, gram), return_inverse=True, return_counts=True)
 
     def context(self, elsewhere: np.ndarray) -> None:
-        """Records of the suffixes whose leading run is shared; equal records count once."""
-        self.sel = np.flatnonzero(((self.count > 1) | elsewhere)[self.inv])
+        """Records of the suffixes whose leading run is shared (1) and windows of those in many slices (2); equal ones count once."""
+        self.split(np.flatnonzero((elsewhere > 1)[self.inv]))
+        self.sel = np.flatnonzero((((self.count > 1) | (elsewhere > 0)) & (elsewhere < 2))[self.inv])
         at, span = self.at[self.sel], self.size - self.gram
         codes = np.zeros(len(self.w.start) + 2 * self.size, dtype=np.uint32)
         codes[self.size : self.size + len(self.w.start)] = (self.w.hash >> U(32)).astype(np.uint32)
@@ -92,6 +99,13 @@ class _Slice:
         self.rbody = np.concatenate([body[:, 2:].astype(np.uint32), (self.rcount > 1).astype(np.uint32)[:, None]], axis=1)
 
 
+    def split(self, hot: np.ndarray) -> None:
+        """Windows of the suffixes ``hot``: their first words and keys."""
+        n = self.t_max[hot] - self.t_min[hot] + 1
+        self.wat = np.sort(textkit.ranges(self.at[hot] - self.t_max[hot], n))
+        self.wkeys, self.winv, self.wcount = np.unique(self.w.window_hash(self.wat, self.size), return_inverse=True, return_counts=True)
+
+
 def _repeats(size: int, gram: int):
     """Solver of a bucket: for each record the set of t whose window is repeated, as bits."""
     span = size - gram
@@ -125,41 +139,44 @@ def _repeats(size: int, gram: int):
     return solve
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50, gram: int = GRAM) -> DataFrame:
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """One row for each maximal span of words all of whose windows of ``min_words`` words begin elsewhere too.
 
     doc_id, n_words (of the text), span_start (word index) and span_words.  ``min_words`` is at most gram + 63.
     """
     if not gram < min_words <= gram + 63:
         raise ValueError("min_words must lie between gram + 1 and gram + 63")
-    spark = docs.sparkSession
-    buckets = exchange.buckets_of(spark)
     slices = exchange.sliced(docs, key, text)
+    buckets = slices.buckets
 
     def heads(s: int, t: pa.Table, _) -> pa.Table:
         return exchange.ask(s, 0, _Slice(t, min_words, gram).heads, None, buckets)
 
     def suffixes(s: int, t: pa.Table, a: pa.Table) -> pa.Table:
         x = _Slice(t, min_words, gram)
-        x.context(exchange.heard(a, 0, x.heads, buckets, 1)[:, 0] > 0)
-        return exchange.ask(s, 1, x.rkeys, x.rbody, buckets)
+        x.context(exchange.heard(a, 0, x.heads, buckets, 1)[:, 0])
+        return pa.concat_tables([exchange.ask(s, 1, x.rkeys, x.rbody, buckets), exchange.ask(s, 2, x.wkeys, None, buckets)])
 
     def spans(s: int, t: pa.Table, a: pa.Table) -> pa.Table:
         x = _Slice(t, min_words, gram)
-        x.context(exchange.heard(a, 0, x.heads, buckets, 1)[:, 0] > 0)
+        x.context(exchange.heard(a, 0, x.heads, buckets, 1)[:, 0])
         bits = np.ascontiguousarray(exchange.heard(a, 1, x.rkeys, buckets, 8)).view(U).reshape(-1)[x.rinv] if len(x.sel) else np.zeros(0, U)
         t_of = np.arange(64, dtype=U)
         k, shift = np.nonzero((bits[:, None] >> t_of) & U(1))
+        again = x.wat[((x.wcount > 1) | (exchange.heard(a, 2, x.wkeys, buckets, 1)[:, 0] > 0))[x.winv]]
         n, first = len(x.w.start), x.w.first
-        inside = textkit.cover(n, x.at[x.sel][k] - shift, min_words)
+        inside = textkit.cover(n, np.concatenate([x.at[x.sel][k] - shift, again]), min_words)
         doc = x.w.doc
         begin = inside.copy()
         begin[1:] &= ~inside[:-1] | (doc[1:] != doc[:-1])
         b = np.flatnonzero(begin)
         length = np.add.reduceat(inside, b, dtype=np.int64) if len(b) else b
         d = doc[b]
-        return pa.table([t["key"].cast(pa.int64()).take(pa.array(d, pa.int64())), pa.array(x.w.n[d], pa.int64()), pa.array(b - first[d], pa.int64()), pa.array(length, pa.int64())], names=["doc_id", "n_words", "span_start", "span_words"])
-
-    first = exchange.answers(exchange.with_slices(slices, heads, exchange.ASKED), exchange.shared, 1)
-    second = exchange.answers(exchange.with_slices(slices, suffixes, exchange.ASKED, first), _repeats(min_words, gram), 8)
-    return exchange.with_slices(slices, spans, RESULT, first.unionByName(second))
+        row = pa.array(d, pa.int64())
+        return pa.table([t["key"].take(row), pa.array(x.w.n[d], pa.int64()), pa.array(b - first[d], pa.int64()), pa.array(length, pa.int64()), t["times"].take(row)], names=["doc_id", "n_words", "span_start", "span_words", "times"])
+
+    often = partial(exchange.shared, many=many)
+    first = exchange.answers(exchange.with_slices(slices, heads, exchange.ASKED), {0: (often, 1)})
+    second = exchange.answers(exchange.with_slices(slices, suffixes, exchange.ASKED, first), {1: (_repeats(min_words, gram), 8), 2: (exchange.shared, 1)})
+    out = exchange.with_slices(slices, spans, f"doc_id {type_of(docs, key)}, {RESULT}", first.unionByName(second))
+    return exchange.given_back(out, slices)

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf, labels, textkit
-from .scratch import bound_batches
+from .scratch import bound_batches, type_of
 
 U = np.uint64
 BITS = 18
-RESULT = "doc_id long, score double, predicted int, spans array<array<int>>"
+RESULT = "score double, predicted int, spans array<array<int>>"
 #: Bytes of the leading parts of a word that are features beside the word itself.
 PREFIXES = (4, 5, 6)
 
@@ -129,9 +129,9 @@ def score(docs: DataFrame, model: crf.Model | None, key: str = "doc_id", text: s
                     marg = m.marginals(_emission(m.weights, feat), starts)
                     s = crf.predict(m.calibration, _summary(marg, w))
                     spans = _spans(marg >= 0.5, w)
-                yield pa.record_batch([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "score", "predicted", "spans"])
+                yield pa.record_batch([batch.column(0)[lo:hi], pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "score", "predicted", "spans"])
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, RESULT)
+    return docs.select(F.col(key).alias("doc_id"), text).mapInArrow(run, f"doc_id {type_of(docs, key)}, {RESULT}")
 
 
 def _spans(on: np.ndarray, w: textkit.Words) -> list[list[list[int]]]:

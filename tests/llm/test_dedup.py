@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kinlink.llm import components, cover_dedup, embed_dedup, minhash, suffix_dedup, textkit
+from kinlink.llm import components, cover_dedup, embed_dedup, exchange, minhash, suffix_dedup, textkit
 
 
 def corpus(seed, n=60):
@@ -76,6 +76,42 @@ def test_repeated_passages(spark, size, gram):
     assert got == sorted(want)
 
 
+def spans_of(rows, size):
+    out = []
+    for d, w, m in repeated(rows, size):
+        edge = [0, *m, 0]
+        starts, ends = ([i for i in range(len(edge) - 1) if (edge[i], edge[i + 1]) == x] for x in ((0, 1), (1, 0)))
+        out += [repr((d, len(w), a, b - a)) for a, b in zip(starts, ends, strict=True)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("many", [1, 3, 64])
+def test_a_frequent_run_in_many_contexts(spark, monkeypatch, many):
+    """A run of words in every text, with different words around, and passages that hold it; many small slices."""
+    monkeypatch.setattr(exchange, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(exchange, "MOST_SLICE_BYTES", 2000)
+    r = random.Random(8)
+    run = [f"r{i}" for i in range(12)]
+    long = [f"p{i}" for i in range(20)] + run + [f"q{i}" for i in range(20)]
+    docs = []
+    for i in range(120):
+        w = [f"w{r.randint(0, 10**6)}" for _ in range(30)]
+        w[15:15] = long[r.randint(0, 9) :][: r.randint(35, 52)] if i % 3 == 0 else run
+        docs.append((i, " ".join(w)))
+    got = suffix_dedup.repeated_passages(frame(spark, docs), min_words=24, gram=6, many=many)
+    assert sorted(repr(tuple(x)) for x in got.collect()) == spans_of(docs, 24)
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """More rows alike in id and text than go through as they are."""
+    monkeypatch.setattr(exchange, "REPEATS", 3)
+    text = [" ".join(f"{a}{i}" for i in range(60)) for a in "xyz"]
+    docs = [(1, text[0])] * 50 + [(None, text[1])] * 9 + [(3, None)] * 7 + [(4, text[2] + " " + text[0]), (5, text[2][:100])] + [(6, text[2])] * 2
+    got = sorted(map(repr, (tuple(x) for x in cover_dedup.substring_dedup(frame(spark, docs)).collect())))
+    assert got == sorted(repr((d, len(w), sum(m), b" ".join(x for x, k in zip(w, m, strict=True) if not k).decode())) for d, w, m in repeated(docs, 35))
+    assert sorted(repr(tuple(x)) for x in suffix_dedup.repeated_passages(frame(spark, docs)).collect()) == spans_of(docs, 50)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "x")]).limit(0)
     assert cover_dedup.substring_dedup(none).count() == 0 and suffix_dedup.repeated_passages(none).count() == 0
@@ -140,6 +176,28 @@ def test_keep_one_leaves_one_of_each_class(spark):
     assert sorted(rows) == sorted(classes)
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    words = " ".join(f"x{i}" for i in range(60))
+    near = words + " more"
+    rows = [(None, words), (None, words), (None, near), (7, "alone here now"), (8, words.replace("x", "y")), (8, near.replace("x", "y")), (8, words.replace("x", "y")), (9, ""), (9, ""), (None, None)]
+    kept = [(r["doc_id"], r["text"]) for r in minhash.keep_one(frame(spark, rows)).collect()]
+    assert len([1 for d, t in kept if t and t.startswith("x")]) == 1 and len([1 for d, t in kept if t and t.startswith("y")]) == 1
+    assert sorted((d is None, d, t) for d, t in kept if not t or t.startswith("alone")) == [(False, 7, "alone here now"), (False, 9, ""), (False, 9, ""), (True, None, None)]
+
+
+def test_ids_of_any_type(spark):
+    docs = [(f"d{i}", t) for i, (_, t) in enumerate(near_corpus(5))]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    numbers = {f"d{i}": i for i in range(len(docs))}
+    ids = spark.createDataFrame([(numbers[d], t) for d, t in docs], "doc_id long, text string")
+    kept = lambda f: {r["text"] for r in minhash.keep_one(f).collect()}
+    assert len(kept(df)) == len(kept(ids))
+    for run in (lambda f: cover_dedup.substring_dedup(f, window=20), lambda f: suffix_dedup.repeated_passages(f, min_words=20, gram=8)):
+        assert sorted((numbers[r[0]], *r[1:]) for r in run(df).collect()) == sorted(map(tuple, run(ids).collect()))
+    x = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.01]), (None, None)], "vec_id string, embedding array<float>")
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.link(x).collect()} == {("b", 1, "a"), ("a", 1, "a"), (None, 0, None)}
+
+
 def test_samples_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     idf = rng.uniform(1, 6, 1 << minhash.SLOT_BITS).astype(np.float32)
