@@ -74,7 +74,11 @@ class _Slice:
         # windows of one suffix are neighbours: they begin from t_max down to t_min words before it
         self.t_max = self.at - self.wins[self.first] if len(self.at) else self.at
         self.t_min = self.t_max - per + 1
-        self.heads, self.inv, self.count = np.unique(self.w.window_hash(self.at, gram), return_inverse=True, return_counts=True)
+        self.heads, self.inv, self.count = np.unique(self._key(self.at), return_inverse=True, return_counts=True)
+
+    def _key(self, at: np.ndarray) -> np.ndarray:
+        """Keys of leading runs: hashed once more, as chosen runs have small hashes and would crowd the first buckets."""
+        return textkit.mix(self.w.window_hash(at, self.gram))
 
     def context(self, elsewhere: np.ndarray) -> None:
         """Records of the suffixes whose leading run is shared (1) and windows of those in many slices (2); equal ones count once."""
@@ -89,7 +93,7 @@ class _Slice:
         right[np.arange(self.size) >= (self.size - self.t_min[self.sel])[:, None]] = 0
         left[np.arange(span) >= self.t_max[self.sel][:, None]] = 0
         bounds = np.stack([self.t_min[self.sel], self.t_max[self.sel]], axis=1).astype(np.uint32)
-        full = np.concatenate([_halves(self.w.window_hash(at, self.gram)), right, left, bounds], axis=1)
+        full = np.concatenate([_halves(self._key(at)), right, left, bounds], axis=1)
         if len(full):
             rows, self.rinv, self.rcount = np.unique(_sortable(full, "V"), return_inverse=True, return_counts=True)
             body = np.frombuffer(rows.tobytes(), dtype=">u4").reshape(len(rows), -1)
