@@ -267,14 +267,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     met = stored(keys.join(buckets, ["band", "key"]), "buckets")
     company = met.groupBy("node").agg(F.sum("n").alias("company"))
     centre = met.join(company, "node").groupBy("band", "key").agg(F.max(F.struct("company", "node")).alias("c")).select("band", "key", F.col("c.node").alias("centre"))
-    met = stored(met.join(centre, ["band", "key"]), "centres")
+    met = stored(met.join(centre, ["band", "key"]), "met")
     texts = _texts(docs, key, text, nodes.join(met.select("node").distinct(), "node"))
 
     sig = nodes.select("node", "sig")
     star = met.where("node <> centre").select("centre", "node").distinct().join(nodes.select("node", "bytes"), "node")
     sizes = star.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    cells = sizes.select("centre", _blocks(F.col("n"), F.col("bytes")).alias("cells"))
-    star = stored(star.join(cells, "centre").select("centre", F.pmod(F.xxhash64("node", "centre"), F.col("cells")).cast("int").alias("cell"), "node"), "star")
+    # only centres of several cells, at most one for BLOCK classes; the planner sees the table's true size
+    many = stored(sizes.select("centre", _blocks(F.col("n"), F.col("bytes")).alias("cells")).where("cells > 1"), "centres")
+    cell = F.pmod(F.xxhash64("node", "centre"), F.coalesce("cells", F.lit(1))).cast("int")
+    star = stored(star.join(many, "centre", "left").select("centre", cell.alias("cell"), "node"), "star")
     middle = stored(star.select("centre", "cell").distinct(), "cells")
     # one row for each cell, so a centre's signature and text travel once for each
     one = middle.join(sig.toDF("centre", "sig_a"), "centre")
