@@ -30,9 +30,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontam.phrase_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    """Exact phrases, and beside them ``n_near``: items whose four rarest terms lie within 30 words of each other's rarest."""
+    docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    index = decontam.index_of(docs, "doc_id", "text")
+    out = decontam.phrase_matches(docs, items, index=index)
+    near = decontam.proximity_matches(docs, items, index=index).groupBy("segment", "ord").agg(F.count_distinct("item_id").alias("n_near"))
+    out = out.join(near, ["segment", "ord"], "left")
     digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontam.contaminated().alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontam.contaminated().alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,15 +105,22 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CA
 
 OP4_SQL = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_ALNUM}'), []) AS w FROM documents),
-b AS (SELECT item_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_ALNUM}'), []) AS w FROM benchmark),
+b AS MATERIALIZED (SELECT row_number() OVER () AS ir, item_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_ALNUM}'), []) AS w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT size FROM iw),
 dw AS (SELECT r, i, size, array_to_string(w[i : i + size - 1], ' ') AS k FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes)),
 hits AS MATERIALIZED (SELECT r, i, size, item_id FROM dw JOIN iw USING (size, k)),
 covered AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + size)) AS p FROM hits) GROUP BY r),
-found AS (SELECT r, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+found AS (SELECT r, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r),
+terms AS (SELECT ir, item_id, term, min(p) AS first FROM (SELECT ir, item_id, unnest(w) AS term, unnest(range(len(w))) AS p FROM b) GROUP BY ALL),
+places AS MATERIALIZED (SELECT r, p, term FROM (SELECT r, unnest(w) AS term, unnest(range(len(w))) AS p FROM d) WHERE term IN (SELECT term FROM terms)),
+df AS (SELECT term, count(DISTINCT r) AS n FROM places GROUP BY term),
+rare AS MATERIALIZED (SELECT ir, item_id, term, row_number() OVER (PARTITION BY ir ORDER BY coalesce(n, 0), first) AS k FROM terms LEFT JOIN df USING (term) QUALIFY k <= 4),
+lead AS (SELECT ir, item_id, r, p FROM rare JOIN places USING (term) WHERE k = 1),
+beside AS (SELECT l.ir, l.r, l.p, count(DISTINCT o.k) AS m FROM lead l JOIN rare o ON o.ir = l.ir AND o.k > 1 JOIN places x ON x.r = l.r AND x.term = o.term AND x.p BETWEEN l.p - 30 AND l.p + 30 GROUP BY ALL),
+near AS (SELECT r, count(DISTINCT item_id) AS n FROM lead l LEFT JOIN beside s USING (ir, r, p) WHERE coalesce(m, 0) = (SELECT max(k) - 1 FROM rare o WHERE o.ir = l.ir) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items, sha256(coalesce(f.ids, '')) AS items_sha256,
-  coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN covered c USING (r) LEFT JOIN found f USING (r)
+  coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated, coalesce(e.n, 0) AS n_near FROM d LEFT JOIN covered c USING (r) LEFT JOIN found f USING (r) LEFT JOIN near e USING (r)
 """
 
 OP7_SQL = f"""
