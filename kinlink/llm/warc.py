@@ -4,29 +4,30 @@ Writing: a page's payload is its HTML in UTF-8.  Of equal payloads of at least `
 becomes a ``response``; the others become ``revisit`` records that refer to it and hold no payload.
 
 Reading: every place in a file where the magic line stands is a candidate record, wherever the splits fall.  The scan
-emits for each candidate its offset and, from its Content-Length, that of its successor.  A candidate is a record only if
-the chain from the file's first byte leads to it, so a magic line inside a payload is rejected.  Candidates whose
-successor is the next candidate form runs (one scan in file order over narrow rows); pointer jumping over the runs doubles
-the reach in each round until nothing is added.  Payloads never leave the scan unless a magic line cuts them.
-
-Defined results for odd inputs: null or empty HTML is a payload of 0 bytes; a null URL gives a record without target URI; a
-null page id is written as ``null`` and orders last; of repeated rows with the smallest id one is the response.  An empty
-table gives no archive rows.  A truncated last record (no complete block) ends the chain before it.  Extra columns are
-ignored.
+emits for each candidate its offset and, from its Content-Length, that of its successor.  Offsets are sums inside a split, moved
+by the total of the splits before it (one row for each split), so an archive of any size is no task of its own.  A candidate
+is a record only if the chain from the file's first byte leads to it, so a magic line inside a payload is rejected.
+Candidates of a split whose successor is the next candidate form a run; pointer jumping over the runs, from the file's start
+on, doubles the reach in each round until nothing is added.  Payloads never leave the scan unless a magic line cuts them.
+
+Defined results for odd inputs: null or empty HTML is a payload of 0 bytes; a null URL gives a record without target URI; page ids
+are of any type that has text (percent-encoded in the record id), a null one gives a record id of no page and orders last; of
+repeated rows with the smallest id one is the response.  An empty table gives no archive rows.  A truncated last record (no
+complete block) ends the chain before it.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-from .scratch import cut, stored
+from .scratch import cut, stored, type_of
 
 MAGIC = "WARC/1.1\r\n"
 GAP = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + GAP
-ID_PREFIX = "urn:kinlink:page:"
+ID_PREFIX, NO_ID = "urn:kinlink:page:", "urn:kinlink:no-page"
 #: Digits of base 32 as ``conv`` writes them, and the alphabet of the digest (fixed values).
 CONV_DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -64,7 +65,7 @@ def write_warc(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z"
 
     revisit = F.col("record_type") == "revisit"
     block = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(HTTP), F.col("html")))
-    urn = lambda c: F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<"), F.coalesce(F.concat(F.lit(ID_PREFIX), F.url_encode(F.col(c).cast("string"))), F.lit(NO_ID)), F.lit(">"))
     head = F.concat(
         F.lit(MAGIC),
         line("WARC-Type", F.col("record_type")),
@@ -85,8 +86,9 @@ def _field(name: str) -> Column:
     return F.regexp_extract("head", rf"(?im)^{name}:[ \t]*(.*?)[ \t\r]*$", 1)
 
 
-def _page_number(text: Column) -> Column:
-    return F.regexp_extract(text, rf"<{ID_PREFIX}(-?\d+)>", 1).try_cast("bigint")
+def _page(text: Column) -> Column:
+    """The page id in a record id, as text."""
+    return F.when(text.rlike(f"<{ID_PREFIX}"), F.url_decode(F.regexp_extract(text, rf"<{ID_PREFIX}([^>]*)>", 1)))
 
 
 def _parse(df: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def _parse(df: DataFrame) -> DataFrame:
     df = df.withColumn("head", F.substring_index("value", GAP, 1)).withColumn("head_bytes", F.octet_length("head").cast("long"))
     df = df.withColumn("block_bytes", F.when(F.col("head_bytes") < F.octet_length("value"), _field("Content-Length").try_cast("bigint")))
     df = df.withColumn("record_type", F.lower(_field("WARC-Type"))).withColumn("digest", F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", ""))
-    df = df.withColumn("page_id", _page_number(_field("WARC-Record-ID"))).withColumn("refers_to", _page_number(_field("WARC-Refers-To")))
+    df = df.withColumn("page_id", _page(_field("WARC-Record-ID"))).withColumn("refers_to", _page(_field("WARC-Refers-To")))
     block = F.expr("substring(cast(value as binary), cast(head_bytes + 5 as int), cast(block_bytes as int))")
     df = df.withColumn("block", block)
     http = "octet_length(substring_index(cast(block as string), '\\r\\n\\r\\n', 1))"
@@ -106,36 +108,56 @@ def _candidates(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
 
 
+def _over_splits(per_split: DataFrame, value: Column) -> DataFrame:
+    """(file, split, ahead): ``value`` over the splits before each split of a file; one row for each split."""
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    return per_split.select("file", "split", value.over(before).alias("ahead"))
+
+
+def _inside() -> WindowSpec:
+    """Order of the candidates of a split."""
+    return Window.partitionBy("file", "split").orderBy("at")
+
+
 def chain(cand: DataFrame) -> DataFrame:
-    """Reached records among ``cand`` (file, split, at, bytes of the chunk, span of the record from its first header byte).
+    """Candidates (file, split, at, bytes of the chunk, span of the record from its first header byte) with ``offset`` and ``record``.
 
-    Adds ``offset`` and ``owner``: the offset of the record in which a chunk lies (null: in none).
+    ``record``: whether the chain of records from the file's first byte reaches the candidate.
     """
-    order = Window.partitionBy("file").orderBy("split", "at")
     step = len(MAGIC)
-    c = cand.withColumn("offset", F.coalesce(F.sum(F.col("bytes") + step).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - step)
+    size = F.col("bytes") + step
+    totals = _over_splits(cand.groupBy("file", "split").agg(F.sum(size).alias("total")), F.sum("total"))
+    c = cand.withColumn("inside", F.coalesce(F.sum(size).over(_inside().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    c = c.join(totals, ["file", "split"]).withColumn("offset", F.coalesce("ahead", F.lit(0)) + F.col("inside") - step).drop("ahead", "inside")
     c = c.withColumn("next", F.when(F.col("offset") >= 0, F.col("offset") + step + F.col("span")))
-    c = c.withColumn("breaks", F.when(F.lag("next").over(order) == F.col("offset"), 0).otherwise(1))
-    c = stored(c.withColumn("run", F.sum("breaks").over(order)), "candidates")
-    # the last candidate of a run jumps elsewhere: into another run, or to the end of the file
+    # a run is named by its first candidate
+    begins = F.when(F.lag("next").over(_inside()) == F.col("offset"), None).otherwise(F.col("at"))
+    c = c.withColumn("begins", begins)
+    c = stored(c.withColumn("run", F.last("begins", ignorenulls=True).over(_inside().rowsBetween(Window.unboundedPreceding, 0))).drop("begins"), "candidates")
+    # the last candidate of a run points into another run, or to the end of the file
     ends = c.where("next is not null").groupBy("file", "run").agg(F.max(F.struct("offset", "next")).alias("e")).select("file", "run", F.col("e.next").alias("entry"))
     jump = ends.join(c.select("file", F.col("offset").alias("entry"), F.col("run").alias("to")), ["file", "entry"]).select("file", "run", "to", "entry")
-    reach = c.where("offset = 0").select("file", "run", F.col("offset").alias("from"))
     jump = stored(jump.where("run <> to"), "jumps")
-    if not jump.isEmpty():
-        have = -1
-        while True:
-            hop = reach.join(jump, ["file", "run"]).select("file", F.col("to").alias("run"), F.col("entry").alias("from"))
-            reach = cut(reach.unionByName(hop).distinct())
-            now = reach.count()
-            if now == have:
-                break
-            have = now
-            on = jump.select("file", F.col("run").alias("to"), F.col("to").alias("to2"), F.col("entry").alias("entry2"))
-            jump = cut(jump.join(on, ["file", "to"]).select("file", "run", F.col("to2").alias("to"), F.col("entry2").alias("entry")))
-    c = c.join(reach, ["file", "run"], "left")
-    c = c.withColumn("record", F.col("offset") >= F.col("from"))
-    return c.withColumn("owner", F.last(F.when(F.col("record"), F.col("offset")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    reach = cut(c.where("offset = 0").select("file", "run", F.col("offset").alias("from")))
+    have = reach.count()
+    while True:
+        hop = reach.join(jump, ["file", "run"]).select("file", F.col("to").alias("run"), F.col("entry").alias("from"))
+        reach = cut(reach.unionByName(hop).distinct())
+        now = reach.count()
+        if now == have:
+            break
+        have = now
+        on = jump.select("file", F.col("run").alias("to"), F.col("to").alias("to2"), F.col("entry").alias("entry2"))
+        jump = cut(jump.join(on, ["file", "to"]).select("file", "run", F.col("to2").alias("to"), F.col("entry2").alias("entry")))
+    return c.join(reach, ["file", "run"], "left").withColumn("record", F.coalesce(F.col("offset") >= F.col("from"), F.lit(False))).drop("from", "run", "next")
+
+
+def _with_owner(found: DataFrame) -> DataFrame:
+    """``found`` (of ``chain``) with ``owner``: the offset of the record in which a chunk lies (null: in none)."""
+    own = F.when(F.col("record"), F.col("offset"))
+    carried = _over_splits(found.groupBy("file", "split").agg(F.max(own).alias("last")), F.max("last"))
+    here = F.last(own, ignorenulls=True).over(_inside().rowsBetween(Window.unboundedPreceding, 0))
+    return found.withColumn("_here", here).join(carried, ["file", "split"]).withColumn("owner", F.coalesce("_here", "ahead")).drop("_here", "ahead")
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -155,7 +177,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     if not cut_up.isEmpty():
         # payloads with a magic line inside: their chunks are brought together, in order
         owners = cut_up.select("file", F.col("offset").alias("owner"), F.col("span").alias("need"))
-        parts = found.join(owners, ["file", "owner"]).select("file", "at", "owner", "offset", "need").join(raw.select("file", "at", "value"), ["file", "at"])
+        parts = _with_owner(found).join(owners, ["file", "owner"]).select("file", "at", "owner", "offset", "need").join(raw.select("file", "at", "value"), ["file", "at"])
         whole = parts.groupBy("file", "owner", "need").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("p"))
         whole = whole.withColumn("value", F.array_join(F.transform("p", lambda x: x["value"]), MAGIC))
         again = _parse(whole.where(F.octet_length("value") >= F.col("need"))).withColumns({"offset": F.col("owner"), "payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32(F.col("payload"))})
@@ -172,6 +194,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def roundtrip(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
-    """Write the pages below ``path`` and read them back."""
+    """Write the pages below ``path`` and read them back; ids get the pages' type again."""
     write_warc(plan_records(pages, min_bytes), path)
-    return resolve(read_warc(pages.sparkSession, path))
+    kind = type_of(pages, "page_id")
+    return resolve(read_warc(pages.sparkSession, path)).withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})

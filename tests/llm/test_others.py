@@ -113,7 +113,7 @@ def archive_rows(rows):
         groups[(h or "").encode()].append(p)
     out = []
     for k, ids in groups.items():
-        ids.sort(key=lambda x: (x is None, x or 0))
+        ids.sort(key=lambda x: (x is None, x if x is not None else 0))
         digest = base64.b32encode(hashlib.sha1(k).digest()).decode()
         out += [repr((p, len(k), digest, "revisit" if i else "response", ids[0] if i else None)) for i, p in enumerate(ids)]
     return sorted(out)
@@ -141,6 +141,31 @@ def test_archives_with_magic_inside_payloads(spark):
     assert {r["record_type"] for r in small} == {"response"}
 
 
+def test_archives_with_text_ids(spark):
+    pages = [("b>\n é", None, "x"), ("a", None, "x"), ("", "u", "y"), (None, "u", "y"), ("null", "u", "")]
+    df = spark.createDataFrame(pages, "page_id string, url string, html string")
+    got = warc.roundtrip(df, fresh_path(spark, "warc"))
+    assert sorted(map(repr, (tuple(r) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()))) == archive_rows([(p, h) for p, _, h in pages])
+
+
+def test_records_across_many_splits(spark):
+    """One archive in many splits: pointer jumping joins the runs of the splits; candidates off the chain stay out."""
+    fake = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    pages = [(i, None, ("p" * (i % 37) + fake) if i % 5 == 0 else str(i) * 9) for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        path = fresh_path(spark, "warc")
+        got = warc.roundtrip(df, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+        assert sorted(repr(tuple(r)) for r in got) == archive_rows([(p, h) for p, _, h in pages])
+        assert warc._candidates(spark, path).select("split").distinct().count() > 30
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
 def decontaminated(docs, items, size=13):
     words = lambda x: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").encode().lower())
     wins = collections.defaultdict(set)
