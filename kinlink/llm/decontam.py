@@ -279,7 +279,7 @@ def _united(many: DataFrame) -> DataFrame:
 
 def index_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The corpus' index, stored in the shared folder."""
-    return stored(build_index(docs, key, text), "index")
+    return stored(build_index(docs, key, text), "index", 2 * SEGMENT_BYTES)
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS, index: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from . import cover_dedup, decontam, embed_dedup, minhash, mixing, quality, sharding, suffix_dedup, toxicity, warc
 from .scratch import fresh_path
 
+#: Bytes of a shard: in the pipeline, and in ``op8_sharding``, where even the smallest table at hand then splits.
 SHARD_BYTES = 32 << 20
+OP8_BYTES = 256 << 10
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,7 +59,7 @@ def op7_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = sharding.shard(docs, "doc_id", "text", SHARD_BYTES)
+    out = sharding.shard(docs, "doc_id", "text", OP8_BYTES)
     return out.select("doc_id", "row_bytes", "shard_depth", "shard_id")
 
 
@@ -68,7 +70,7 @@ def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = mixing.assign(docs, "text", "source", "doc_id")
-    return out.select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.size("shards").cast("long").alias("n_copies"))
 
 
 def queries() -> dict:
@@ -141,8 +143,8 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.m, vec_id))
 """
 
 def oracle_sql() -> dict[str, str]:
-    """Learned scores (1, 5), sampled signatures (6) and the hashed order of the mix (10) are beyond SQL; tests hold them against brute force."""
-    return {"op2_suffix_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_decontam": OP4_SQL, "op7_cover_dedup": OP7_SQL, "op8_sharding": OP8_SQL, "op9_embed_dedup": OP9_SQL}
+    """Learned scores (1, 5) and sampled signatures (6) are beyond SQL; tests hold them against brute force."""
+    return {"op10_mixing": OP10_SQL, "op2_suffix_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_decontam": OP4_SQL, "op7_cover_dedup": OP7_SQL, "op8_sharding": OP8_SQL, "op9_embed_dedup": OP9_SQL}
 
 
 #: Levels 0 to 24 of the directory over md5 prefixes; enough for the tables that the SQL is run on.
@@ -152,7 +154,28 @@ WITH r AS (
     CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '\\N')), 1, 15) AS BIGINT) AS h FROM documents),
 lv AS (SELECT CAST(range AS INTEGER) AS d FROM range(25)),
 b AS (SELECT d, h >> (60 - d) AS p, sum(row_bytes) AS bytes, count(*) AS n FROM r, lv GROUP BY ALL),
-f AS (SELECT doc_id, row_bytes, h, min(b.d) AS depth FROM r, b WHERE b.p = h >> (60 - b.d) AND (bytes <= {SHARD_BYTES} OR n <= 1) GROUP BY ALL)
+f AS (SELECT doc_id, row_bytes, h, min(b.d) AS depth FROM r, b WHERE b.p = h >> (60 - b.d) AND (bytes <= {OP8_BYTES} OR n <= 1) GROUP BY ALL)
 SELECT doc_id, row_bytes, depth AS shard_depth,
   CAST(depth AS VARCHAR) || ':' || CAST(h >> (60 - depth) AS VARCHAR) AS shard_id FROM f
 """
+
+#: Blocks of a source in the order of their hashes; whole rounds, then a prefix; the block in which the quota ends is cut in hash order.
+OP10_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(coalesce(regexp_extract_all(text, '{_SPACED}'), [])) AS BIGINT) AS size,
+  CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, greatest(8, CAST(ceil(count(*) / 1000) AS BIGINT)) AS nb FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS w, 2.0::DOUBLE * source_size AS top FROM s),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE * 1.5::DOUBLE - coalesce(sum(top) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+  row_number() OVER o AS k FROM w WINDOW o AS (ORDER BY top / w, source IS NULL, source)),
+g AS (SELECT source, source_size, nb, CASE WHEN top <= w * level THEN top ELSE w * (SELECT arg_min(level, k) FROM l WHERE NOT top <= w * level) END AS target FROM l),
+q AS (SELECT *, CAST(round(target) AS BIGINT) AS words FROM g),
+r AS MATERIALIZED (SELECT d.*, source_size, target, words, h % nb AS blk FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+b AS (SELECT source, blk, sum(size)::BIGINT AS bsize, any_value(source_size) AS ss, any_value(words) AS words FROM r GROUP BY source, blk),
+f AS (SELECT source, blk, CASE WHEN ss > 0 THEN words // ss ELSE 0 END AS passes, CASE WHEN ss > 0 THEN words % ss ELSE 0 END AS rest,
+  bsize, coalesce(sum(bsize) OVER (PARTITION BY source ORDER BY md5('19|' || blk), blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM b),
+e AS (SELECT source, blk, passes, bsize, least(bsize, greatest(0, rest - ahead)) AS extra FROM f),
+t AS (SELECT r.*, passes, CASE WHEN extra = 0 THEN 0 WHEN extra = bsize THEN size
+  ELSE least(size, greatest(0, extra - coalesce(sum(size) OVER (PARTITION BY r.source, r.blk ORDER BY h, doc_id, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) END AS part
+  FROM r JOIN e ON r.source IS NOT DISTINCT FROM e.source AND r.blk = e.blk)
+SELECT doc_id, size, source_size, target, CAST(passes * size + part AS BIGINT) AS taken, CASE WHEN size = 0 THEN 0 ELSE CAST(passes + CAST(part > 0 AS INTEGER) AS BIGINT) END AS n_copies FROM t
+"""

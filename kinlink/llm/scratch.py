@@ -32,10 +32,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: its true size is then known to the planner."""
+def stored(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: its true size is then known to the planner.
+
+    ``group_bytes``: size of a row group where rows are of megabytes; tasks hold a group at once.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    write = df.write
+    if group_bytes:
+        write = write.option("parquet.block.size", group_bytes).option("parquet.block.size.row.check.min", 2).option("parquet.block.size.row.check.max", 8)
+    write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
