@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .scratch import bound_batches, stored, type_of
+from .scratch import bound_batches, shield, stored, type_of
 
 U = np.uint64
 #: Words of test items in one broadcast block, and bytes of text of a segment.
@@ -311,7 +311,8 @@ def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     # few documents are contaminated; the planner sees the true size of their table
     gone = stored(found.where(contaminated()).select(F.col("doc_id").alias("_k"), F.col("doc_row").alias("_r")).distinct(), "contaminated")
     row = F.xxhash64(key, text)
-    return docs.withColumn("_row", row).join(gone, (F.col("_row") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_k")), "left_anti").drop("_row")
+    docs, back = shield(docs, key, text)
+    return docs.withColumn("_row", row).join(gone, (F.col("_row") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_k")), "left_anti").drop("_row").withColumnsRenamed(back)
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", terms: int = 4, within: int = 30, block_words: int = BLOCK_WORDS, index: DataFrame | None = None) -> DataFrame:

@@ -3,12 +3,15 @@
 Equal vectors are one class with a multiplicity, so copies cost one row.  Classes are hashed by the signs of random
 projections; classes that share all signs of a table meet in a bucket.  The number of signs follows the number of classes
 (buckets of about BUCKET rows for unlike vectors) and the number of tables follows from the wanted recall at the
-threshold.  A bucket's rows are dealt into blocks of about BLOCK rows and pairs of blocks are compared, in double
-precision; so a bucket of any size spreads over many tasks of bounded memory.  A pair counts in the first table in which it
-meets.  A block pair returns link counts and a spanning forest, never its links.
+threshold.  A bucket's rows are dealt into blocks of about BLOCK rows and pairs of blocks are compared; so a bucket of any size
+spreads over many tasks of bounded memory.  A pair counts in the first table in which it meets.
+
+A class goes to its buckets as a sketch of about SKETCH signs.  Only classes with a likely partner there - so many equal signs that
+a pair at the threshold has fewer with probability LOST - are compared again, with their vectors, in double precision.  So vectors
+move for likely pairs, not for every table.  A block pair returns link counts and a spanning forest, never its links.
 
 Defined results for odd inputs: null vectors, zero vectors and vectors with null or non-finite components link with nothing;
-so do vectors of different length.  Repeated ids are rows of their own: each is returned, a component is named by its
+so do vectors of different length.  Ids are of any type that has an order.  Repeated ids are rows of their own: each is returned, a component is named by its
 smallest id.  Rows with a null id are returned and belong to a component by their vector.  An empty table gives an empty
 result; extra columns are ignored.
 """
@@ -28,6 +31,7 @@ from .scratch import bound_batches, stored
 
 BUCKET, BLOCK = 16, 2048
 RECALL = 0.995
+SKETCH, LOST = 192, 1e-6
 
 
 def geometry(n: int, cosine: float, recall: float = RECALL) -> tuple[int, int]:
@@ -37,6 +41,16 @@ def geometry(n: int, cosine: float, recall: float = RECALL) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
+def likely(signs: int, cosine: float, lost: float = LOST) -> int:
+    """Equal signs of ``signs`` that a pair at the threshold falls short of with a probability of at most ``lost``."""
+    p, below, k = 1 - math.acos(min(1.0, cosine)) / math.pi, 0.0, 0
+    while True:
+        below += math.comb(signs, k) * p**k * (1 - p) ** (signs - k)
+        if below > lost or k == signs:
+            return k
+        k += 1
+
+
 def _sign_type(bits: int):
     return np.dtype(np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64)
 
@@ -48,15 +62,20 @@ def _hash(classes: DataFrame, bits: int, tables: int, seed: int, wide: bool) ->
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            out, signs = [], []
-            for row in batch.column(2):
-                v = np.array(row.as_py(), dtype=np.float64)
-                d = len(v)
+            rows = batch.column(2)
+            n = np.diff(np.asarray(rows.offsets))
+            edge = np.concatenate([[0], np.cumsum(n)])
+            flat = np.asarray(rows.flatten(), dtype=np.float64)
+            out, signs = [b""] * len(rows), [b""] * len(rows)
+            for d in set(n.tolist()):
+                at = np.flatnonzero(n == d)
+                x = flat[edge[at][:, None] + np.arange(d)]
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, d]).standard_normal((bits * tables, d))
-                out.append(v.astype(store).tobytes())
-                on = (planes[d] @ (v / np.abs(v).max()) >= 0).reshape(tables, bits)
-                signs.append((on.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).astype(kind).tobytes())
+                on = ((x / np.abs(x).max(axis=1, keepdims=True)) @ planes[d].T >= 0).reshape(len(at), tables, bits)
+                packed = (on.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).astype(kind)
+                for i, v, s in zip(at.tolist(), x.astype(store), packed, strict=True):
+                    out[i], signs[i] = v.tobytes(), s.tobytes()
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(signs, pa.binary())], names=["class", "m", "vec", "signs"])
 
     return classes.select("class", "m", "embedding").mapInArrow(run, "class long, m long, vec binary, signs binary")
@@ -67,6 +86,36 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _needy(tables: int, bits: int, agree: int):
+    """Rows of a cell that have a likely partner which they meet in no earlier table of the sketch."""
+    kind = _sign_type(bits)
+
+    def run(key, t):
+        table, one, two = key[0].as_py(), key[2].as_py(), key[3].as_py()
+        t = t.take(np.argsort(np.asarray(t["bucket"]), kind="stable")).combine_chunks()
+        ids, side, bucket = (np.asarray(t[c]) for c in ("class", "block", "bucket"))
+        sketch = np.frombuffer(b"".join(x.as_py() for x in t["sketch"]), dtype=kind).reshape(-1, tables)
+        need = np.zeros(len(ids), dtype=bool)
+        edge = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1, append=bucket[-1] + 1))
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            if hi - lo < 2:
+                continue
+            on = ((sketch[lo:hi, :, None] >> np.arange(bits, dtype=kind)) & kind.type(1)).reshape(hi - lo, -1).astype(np.float32) * 2 - 1
+            left, right = (np.arange(hi - lo),) * 2 if one == two else (np.flatnonzero(side[lo:hi] == one), np.flatnonzero(side[lo:hi] == two))
+            for at in range(0, len(left), 512):
+                a, b = np.nonzero(on[left[at : at + 512]] @ on[right].T >= 2 * agree - on.shape[1])
+                a, b = lo + left[at + a], lo + right[b]
+                a, b = a[ids[a] != ids[b]], b[ids[a] != ids[b]]
+                first = min(table, tables)
+                if first:
+                    new = ~(sketch[a, :first] == sketch[b, :first]).any(axis=1)
+                    a, b = a[new], b[new]
+                need[a] = need[b] = True
+        return t.filter(pa.array(need)).drop_columns(["sketch"])
+
+    return run
+
+
 def _compare(cosine: float, tables: int, bits: int, wide: bool):
     """Buckets of one table, or two blocks of a large bucket: link counts of each class, and a spanning forest of the links."""
     kind, store = _sign_type(bits), np.float64 if wide else np.float32
@@ -140,8 +189,12 @@ def link(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector:
     # small buckets travel some at a time; a block of a large one meets itself and every other block once
     met = met.withColumn("cell", F.when(F.col("blocks") > 1, F.col("bucket")).otherwise(F.pmod("bucket", F.lit(-(-n // BLOCK) or 1))))
     met = met.withColumn("p", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(block, o) as one, greatest(block, o) as two))")))
-    met = met.select("table", "cell", "p.one", "p.two", "bucket", "class", "m", "vec", "signs", "block")
-    out = met.groupBy("table", "cell", "one", "two").applyInArrow(_compare(cosine, tables, bits, wide), "class long, links long, root long")
+    seen = min(tables, -(-SKETCH // bits))
+    met = met.select("table", "cell", "p.one", "p.two", "bucket", "class", "block", F.expr(f"substring(signs, 1, {seen * width})").alias("sketch"))
+    cell = ["table", "cell", "one", "two"]
+    need = met.groupBy(*cell).applyInArrow(_needy(seen, bits, likely(seen * bits, cosine)), met.drop("sketch").schema)
+    need = stored(need, "likely").join(hashed, "class").select(*cell, "bucket", "class", "m", "vec", "signs", "block")
+    out = need.groupBy(*cell).applyInArrow(_compare(cosine, tables, bits, wide), "class long, links long, root long")
     out = stored(out, "links")
     degree = out.groupBy("class").agg(F.sum("links").alias("links"))
     comp = components(out.select(F.col("class").alias("a"), F.col("root").alias("b")))

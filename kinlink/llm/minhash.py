@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .scratch import bound_batches, stored, type_of
+from .scratch import bound_batches, shield, stored, type_of
 
 U = np.uint64
 SHINGLE = 5
@@ -337,6 +337,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
 
     Texts without words stay as they are.
     """
+    docs, back = shield(docs, key, text)
     found = stored(classes(docs, key, text, threshold).where("root is not null"), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "raw")).alias("f")
     kept = stored(found.groupBy("root").agg(first).select("root", F.col("f.doc_id").alias("_id"), F.col("f.raw").alias("_first")), "kept")
@@ -348,4 +349,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     twice = stored(same.where("_stays").groupBy(F.col("doc_id").alias("_k"), F.col("raw").alias("_r")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
     if not twice.isEmpty():
         out = out.join(twice, mine, "left_anti").unionByName(out.join(twice, mine, "left_semi").dropDuplicates([key, "_raw"]))
-    return out.drop("_raw")
+    return out.drop("_raw").withColumnsRenamed(back)

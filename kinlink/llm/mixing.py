@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import stored, type_of
+from .scratch import shield, stored, type_of
 
 #: Words of a piece of a shard that one task shuffles.
 PIECE_WORDS = 1_000_000
@@ -186,9 +186,9 @@ OWN = ("size", "source_size", "target", "taken", "shards")
 
 def assign(df: DataFrame, text: str, source: str, key: str, recipe: Recipe = Recipe()) -> DataFrame:
     """Every input row, without its text, with ``size``, ``source_size``, ``target``, ``taken`` (words) and ``shards`` (of the copies drawn)."""
-    df = _without_own(df, text, source, key)
+    df, back = shield(_without_own(df, text, source, key), text, source, key)
     _, narrow, _ = _with_goal(df, text, source, key, recipe)
-    return _placed(narrow, _draw(narrow, source, recipe), source, key, [c for c in df.columns if c != text])
+    return _placed(narrow, _draw(narrow, source, recipe), source, key, [c for c in df.columns if c != text]).withColumnsRenamed(back)
 
 
 def _without_own(df: DataFrame, text: str, source: str, key: str) -> DataFrame:
@@ -214,6 +214,7 @@ def mix(df: DataFrame, text: str, source: str, key: str, recipe: Recipe = Recipe
 
     The copy in which a source's quota ends carries its first words only, up to the quota (at most one row per source).
     """
+    df, back = shield(df, text, source, key)
     names = [c for c in df.columns if c != "shard"]
     hidden = {c: f"_own_{c}" for c in OWN if c in df.columns and c not in (text, source, key)}
     df = df.withColumnsRenamed(hidden)
@@ -229,4 +230,4 @@ def mix(df: DataFrame, text: str, source: str, key: str, recipe: Recipe = Recipe
     a = a.withColumn(text, F.when(left < F.col("size"), lead).otherwise(F.col(text)))
     a = a.withColumn("_o", F.xxhash64(F.lit(recipe.seed + 3), F.col(key).cast("string"), "_i"))
     a = a.repartition("_shard", F.pmod("_o", F.lit(pieces))).sortWithinPartitions("_shard", "_o")
-    return a.select(*[F.col(hidden.get(c, c)).alias(c) for c in names], F.col("_shard").alias("shard"))
+    return a.select(*[F.col(hidden.get(c, c)).alias(c) for c in names], F.col("_shard").alias("shard")).withColumnsRenamed(back)

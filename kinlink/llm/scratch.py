@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinlink.sources.shared import cut, shared_dir
 
-__all__ = ["bound_batches", "cut", "fresh_path", "release", "stored", "type_of"]
+__all__ = ["bound_batches", "cut", "fresh_path", "release", "shield", "stored", "type_of"]
 
 #: Rows and bytes of text in a batch between the JVM and Python: what a task holds at once on either side.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -67,6 +67,15 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+def shield(df: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns that could clash with an operator's working columns (a leading underscore) renamed, and the way back.
+
+    ``own``: columns that the operator is told to use, which keep their names.
+    """
+    names = {c: f"in-{c}" for c in df.columns if c.startswith("_") and c not in own}
+    return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 def type_of(df: DataFrame, column: str) -> str:
     """SQL type of a column, for schemas that carry ids of any type."""
     return df.schema[column].dataType.simpleString()

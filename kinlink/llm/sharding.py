@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import cut, stored
+from .scratch import cut, shield, stored
 
 #: Bits of a row's hash: fifteen hex digits of an MD5.
 HASH_BITS = 60
@@ -74,6 +74,7 @@ def directory(rows: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame]],
 
 def shard(df: DataFrame, key: str, payload: str, limit_bytes: int) -> DataFrame:
     """Add ``shard_id`` (``depth:prefix`` and, for overflow pages, ``:page``), ``shard_depth`` and ``row_bytes`` to every row."""
+    df, back = shield(df, key, payload)
     own = ["shard_id", "shard_depth", "row_bytes"]
     base = df.drop(*[c for c in own if c not in (key, payload)])
     names = base.columns
@@ -89,7 +90,7 @@ def shard(df: DataFrame, key: str, payload: str, limit_bytes: int) -> DataFrame:
     rows = rows.withColumn("_id", F.concat_ws(":", F.col("_depth").cast("string"), F.when(F.col("_depth") > 0, prefix).otherwise(F.lit(0)).cast("string")))
     if left is not None:
         rows = _overflow(rows, limit_bytes)
-    return rows.select(*[F.col(c) for c in names if c not in own], F.col("_id").alias("shard_id"), F.coalesce("_depth", F.lit(HASH_BITS)).alias("shard_depth"), F.col("_size").alias("row_bytes"))
+    return rows.select(*[F.col(c) for c in names if c not in own], F.col("_id").alias("shard_id"), F.coalesce("_depth", F.lit(HASH_BITS)).alias("shard_depth"), F.col("_size").alias("row_bytes")).withColumnsRenamed(back)
 
 
 def _overflow(rows: DataFrame, limit: int) -> DataFrame:
