@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.llm import decontam, minhash, mixing, quality, queries, sharding
-from kinlink.llm.scratch import fresh_path
+from kinlink.llm.scratch import fresh_path, release
 
-#: The stages hold models and random-looking hashes that SQL cannot express; tests compare each with a brute-force version.
+#: The first stages hold a model and sampled signatures that SQL cannot express; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
 
 
@@ -56,10 +56,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared folder and reread."""
+    """All stages over ``documents``; each is written to the shared folder and reread, and then its working tables go."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(path)
     return docs
