@@ -46,7 +46,7 @@ def stored(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFram
 
 
 def release(*keep: str) -> None:
-    """Delete the working tables made so far, but for the paths ``keep``.
+    """Delete the working tables made so far, but for the paths ``keep``, which from now on are the caller's.
 
     Results are lazy and read them, so call this when what was asked for is written.  It runs when the driver ends, too.
     """
