@@ -38,7 +38,7 @@ from .scratch import bound_batches, shield, stored, type_of
 U = np.uint64
 #: Words of test items in one broadcast block, and bytes of text of a segment.
 BLOCK_WORDS = 500_000
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 20
 #: Numbers without a word between two documents of a segment: more than a phrase or a neighbourhood is long.
 MARGIN = 64
 INDEX = "segment long, ids array<{id}>, rows binary, n_words binary, terms binary, docs binary, counts binary, places binary"
@@ -128,7 +128,7 @@ def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
                 )
                 number += 1
 
-    return docs.select(F.col(key), text, F.xxhash64(key, text)).mapInArrow(index, INDEX.format(id=type_of(docs, key)))
+    return docs.select(F.col(key), text, F.xxhash64(key, text)).mapInArrow(textkit.frugal(index), INDEX.format(id=type_of(docs, key)))
 
 
 def _bases(n: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def term_counts(index: DataFrame, vocab: np.ndarray) -> np.ndarray:
 
     out = np.zeros(len(vocab), dtype=np.int64)
     if len(vocab):
-        for term, n in index.select("terms", "docs").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+        for term, n in index.select("terms", "docs").mapInArrow(textkit.frugal(count), "term long, n long").groupBy("term").agg(F.sum("n")).collect():
             out[term] = n
     return out
 
@@ -262,7 +262,7 @@ def match(index: DataFrame, q: Phrases) -> DataFrame:
                     names=MATCH_NAMES,
                 )
 
-    return index.mapInArrow(run, MATCHES.format(id=_ids_type(index)))
+    return index.mapInArrow(textkit.frugal(run), MATCHES.format(id=_ids_type(index)))
 
 
 def _united(many: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def _united(many: DataFrame) -> DataFrame:
 
 def index_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The corpus' index, stored in the shared folder."""
-    return stored(build_index(docs, key, text), "index", 2 * SEGMENT_BYTES)
+    return stored(build_index(docs, key, text), "index", 4 * SEGMENT_BYTES)
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS, index: DataFrame | None = None) -> DataFrame:

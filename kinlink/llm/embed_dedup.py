@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textkit
 from .components import components
 from .scratch import bound_batches, stored
 
@@ -192,9 +193,9 @@ def link(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector:
     seen = min(tables, -(-SKETCH // bits))
     met = met.select("table", "cell", "p.one", "p.two", "bucket", "class", "block", F.expr(f"substring(signs, 1, {seen * width})").alias("sketch"))
     cell = ["table", "cell", "one", "two"]
-    need = met.groupBy(*cell).applyInArrow(_needy(seen, bits, likely(seen * bits, cosine)), met.drop("sketch").schema)
+    need = met.groupBy(*cell).applyInArrow(textkit.frugal(_needy(seen, bits, likely(seen * bits, cosine))), met.drop("sketch").schema)
     need = stored(need, "likely").join(hashed, "class").select(*cell, "bucket", "class", "m", "vec", "signs", "block")
-    out = need.groupBy(*cell).applyInArrow(_compare(cosine, tables, bits, wide), "class long, links long, root long")
+    out = need.groupBy(*cell).applyInArrow(textkit.frugal(_compare(cosine, tables, bits, wide)), "class long, links long, root long")
     out = stored(out, "links")
     degree = out.groupBy("class").agg(F.sum("links").alias("links"))
     comp = components(out.select(F.col("class").alias("a"), F.col("root").alias("b")))

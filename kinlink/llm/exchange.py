@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit
 from .scratch import bound_batches, stored
 
 U = np.uint64
@@ -111,7 +112,7 @@ def answers(asked: DataFrame, solvers: dict[int, Solver]) -> DataFrame:
         at = pa.array(keep, pa.int64())
         return pa.table([table["slice"].take(at), table["bucket"].take(at), table["kind"].take(at), pa.array([parts[i].tobytes() for i in keep], pa.binary())], schema=_ANSWER)
 
-    return asked.groupBy("bucket", "kind").applyInArrow(run, ANSWER)
+    return asked.groupBy("bucket", "kind").applyInArrow(textkit.frugal(run), ANSWER)
 
 
 def shared(keys: np.ndarray, rows: np.ndarray, data: bytes, many: int | None = None) -> np.ndarray:
@@ -139,9 +140,9 @@ def heard(table: pa.Table, kind: int, keys: np.ndarray, buckets: int, width: int
 def with_slices(slices: Slices, fn: Callable[[int, pa.Table, pa.Table | None], Iterator[pa.Table] | pa.Table], schema: str, heard_: DataFrame | None = None) -> DataFrame:
     """``fn(slice, texts, answers)`` over every slice; a slice without texts gives nothing."""
     if heard_ is None:
-        return slices.rows.groupBy("slice").applyInArrow(lambda key, t: fn(key[0].as_py(), t, None), schema)
+        return slices.rows.groupBy("slice").applyInArrow(textkit.frugal(lambda key, t: fn(key[0].as_py(), t, None)), schema)
 
-    def both(key, t: pa.Table, a: pa.Table) -> pa.Table:
+    def both(key, t, a):
         return fn(key[0].as_py(), t, a)
 
-    return slices.rows.groupBy("slice").cogroup(heard_.groupBy("slice")).applyInArrow(both, schema)
+    return slices.rows.groupBy("slice").cogroup(heard_.groupBy("slice")).applyInArrow(textkit.frugal(both), schema)

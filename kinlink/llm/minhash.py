@@ -84,7 +84,7 @@ def inverse_frequencies(docs: DataFrame, text: str) -> np.ndarray:
 
     # a task sends its table as SEGMENTS packed parts, which are added in two steps
     schema = "segment long, salt long, counts binary"
-    parts = docs.select(text).mapInArrow(count, schema).groupBy("segment", "salt").applyInArrow(add, schema).groupBy("segment").applyInArrow(add, schema)
+    parts = docs.select(text).mapInArrow(textkit.frugal(count), schema).groupBy("segment", "salt").applyInArrow(add, schema).groupBy("segment").applyInArrow(add, schema)
     got = {r["segment"]: np.frombuffer(r["counts"], dtype=np.int64) for r in parts.collect()}
     n = int(got[SEGMENTS][0]) if got else 0
     df = np.concatenate([got[k] for k in range(SEGMENTS)]) if got else np.zeros(size)
@@ -172,7 +172,7 @@ def signatures(docs: DataFrame, key: str, text: str, idf: np.ndarray) -> DataFra
                 packed = pa.array([x.tobytes() if n else None for x, n in zip(sig, w.n, strict=True)], pa.binary())
                 yield pa.record_batch([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(offs)), packed], names=["doc_id", "raw", "h1", "h2", "bytes", "sig"])
 
-    return docs.select(key, text, F.xxhash64(text)).mapInArrow(run, f"doc_id {type_of(docs, key)}, {SIGNED}")
+    return docs.select(key, text, F.xxhash64(text)).mapInArrow(textkit.frugal(run), f"doc_id {type_of(docs, key)}, {SIGNED}")
 
 
 def _near_centre(idf, threshold: float):
@@ -267,6 +267,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     met = stored(keys.join(buckets, ["band", "key"]), "buckets")
     company = met.groupBy("node").agg(F.sum("n").alias("company"))
     centre = met.join(company, "node").groupBy("band", "key").agg(F.max(F.struct("company", "node")).alias("c")).select("band", "key", F.col("c.node").alias("centre"))
+    centre = stored(centre, "middles")
     met = stored(met.join(centre, ["band", "key"]), "met")
     texts = _texts(docs, key, text, nodes.join(met.select("node").distinct(), "node"))
 
@@ -286,7 +287,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     leads = near.select("centre", "cell").distinct().join(texts.toDF("centre", "text"), "centre").select("centre", "cell", F.col("centre").alias("node"), "text", F.lit(True).alias("lead"))
     members = near.join(texts, "node").select("centre", "cell", "node", "text", F.lit(False).alias("lead"))
-    links = stored(members.unionByName(leads).groupBy("centre", "cell").applyInArrow(_near_centre(shared, threshold), "a long, b long"), "links")
+    links = stored(members.unionByName(leads).groupBy("centre", "cell").applyInArrow(textkit.frugal(_near_centre(shared, threshold)), "a long, b long"), "links")
     comp = stored(components(links), "components")
 
     # pairs of a bucket in different components
@@ -296,6 +297,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     inside = inside.join(nodes.select("node", "bytes"), "node")
     minor = lambda c: F.when(F.col("minor"), c)
     open_ = inside.groupBy("band", "key").agg(F.count(minor(F.lit(1))).alias("minors"), F.sum(minor(F.col("bytes"))).alias("minor_bytes"), F.sum("bytes").alias("all_bytes")).where("minors > 0")
+    open_ = stored(open_, "open")
     inside = inside.join(open_, ["band", "key"]).join(sig, "node")
     blocks, rows = _blocks(F.col("n"), F.col("all_bytes")), _blocks(F.col("minors"), F.col("minor_bytes"))
     # a minor row meets every block of the bucket, and every row every block of minor rows
@@ -304,9 +306,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     left = inside.where("minor").withColumn("one", own_one).withColumn("two", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*cell, F.lit(True).alias("minor"))
     right = inside.withColumn("two", own_two).withColumn("one", F.explode(F.sequence(F.lit(0), rows - 1))).select(*cell, F.lit(False).alias("minor"))
     schema = "band int, key long, one int, two int, node long, comp long, minor boolean, sig binary"
-    needy = stored(left.unionByName(right).groupBy("band", "key", "one", "two").applyInArrow(_needy, schema), "needy")
+    needy = stored(left.unionByName(right).groupBy("band", "key", "one", "two").applyInArrow(textkit.frugal(_needy), schema), "needy")
     if not needy.isEmpty():
-        more = needy.join(texts, "node").groupBy("band", "key", "one", "two").applyInArrow(_linked(shared, threshold), "a long, b long")
+        more = needy.join(texts, "node").groupBy("band", "key", "one", "two").applyInArrow(textkit.frugal(_linked(shared, threshold)), "a long, b long")
         comp = components(links.unionByName(stored(more, "more")))
 
     named = nodes.select("node", "h2", "first").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))

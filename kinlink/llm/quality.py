@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: crf.Model | None, key: str = "doc_id", text: s
                 s, n, good = score_batch(shared.value, buf, offs)
                 yield pa.record_batch([batch.column(0)[lo:hi], pa.array(s), pa.array(n, pa.int32()), pa.array(good, pa.int32())], names=["doc_id", "score", "n_lines", "good_lines"])
 
-    return docs.select(F.col(key).alias("doc_id"), text).mapInArrow(run, f"doc_id {type_of(docs, key)}, {RESULT}")
+    return docs.select(F.col(key).alias("doc_id"), text).mapInArrow(textkit.frugal(run), f"doc_id {type_of(docs, key)}, {RESULT}")
 
 
 def score_batch(m: crf.Model | None, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,4 +203,4 @@ def keep_good(docs: DataFrame, known: DataFrame, label: str = "quality", text: s
             ok = [score_batch(shared.value, buf, offs)[0] >= threshold for _, _, buf, offs in textkit.pieces(batch.column(at), 1 << 20)]
             yield batch.filter(pa.array(np.concatenate(ok) if ok else np.zeros(0, dtype=bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(textkit.frugal(run), docs.schema)

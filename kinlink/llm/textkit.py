@@ -6,13 +6,17 @@ follows the batch of texts (or the longest text), not the table.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import hashlib
-from collections.abc import Iterator
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+_libc = next((x for x in [ctypes.CDLL(ctypes.util.find_library("c") or None)] if hasattr(x, "malloc_trim")), None)
 #: Odd multipliers of the polynomial hashes, and those of the final mix (fixed values).
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -167,5 +171,30 @@ def ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(total) + skip
 
 
+def _release() -> None:
+    """Give free memory back to the system: workers outlive their tasks, and idle ones share an executor with the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """``run`` (of ``mapInArrow`` or ``applyInArrow``), which then gives free memory back: at the end of a task, or after each group."""
+    if inspect.isgeneratorfunction(run):
+        def of_batches(batches):
+            yield from run(batches)
+            _release()
+
+        return of_batches
+
+    def of_group(*args):
+        out = run(*args)
+        _release()
+        return out
+
+    # Spark goes by the number of arguments
+    return {1: lambda t: of_group(t), 2: lambda k, t: of_group(k, t), 3: lambda k, t, a: of_group(k, t, a)}[len(inspect.signature(run).parameters)]
+
+
 def sha256(text: bytes) -> str:
     return hashlib.sha256(text).hexdigest()

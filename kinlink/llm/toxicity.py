@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: crf.Model | None, key: str = "doc_id", text: s
                     spans = _spans(marg >= 0.5, w)
                 yield pa.record_batch([batch.column(0)[lo:hi], pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "score", "predicted", "spans"])
 
-    return docs.select(F.col(key).alias("doc_id"), text).mapInArrow(run, f"doc_id {type_of(docs, key)}, {RESULT}")
+    return docs.select(F.col(key).alias("doc_id"), text).mapInArrow(textkit.frugal(run), f"doc_id {type_of(docs, key)}, {RESULT}")
 
 
 def _spans(on: np.ndarray, w: textkit.Words) -> list[list[list[int]]]:
