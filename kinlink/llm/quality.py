@@ -80,6 +80,7 @@ class Lines:
         letters = np.maximum(1, among(_LETTER[buf]))
         same = np.zeros(len(w.start), dtype=bool)
         same[1:] = (w.hash[1:] == w.hash[:-1]) if len(w.start) else False
+        same[lo] = False  # a line's first word has none before it
         line = np.repeat(np.arange(len(lo)), words)
         seen = w.hash[textkit.ranges(lo, words)]
         order = np.lexsort((seen, line))
