@@ -36,9 +36,9 @@ from . import textkit
 from .scratch import bound_batches, shield, stored, type_of
 
 U = np.uint64
-#: Words of test items in one broadcast block, and bytes of text of a segment.
+#: Words of test items in one broadcast block, bytes of text of a segment (a row of the index), and of a row group.
 BLOCK_WORDS = 500_000
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES, GROUP_BYTES = 256 << 10, 8 << 20
 #: Numbers without a word between two documents of a segment: more than a phrase or a neighbourhood is long.
 MARGIN = 64
 INDEX = "segment long, ids array<{id}>, rows binary, n_words binary, terms binary, docs binary, counts binary, places binary"
@@ -279,7 +279,7 @@ def _united(many: DataFrame) -> DataFrame:
 
 def index_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The corpus' index, stored in the shared folder."""
-    return stored(build_index(docs, key, text), "index", 4 * SEGMENT_BYTES)
+    return stored(build_index(docs, key, text), "index", GROUP_BYTES)
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS, index: DataFrame | None = None) -> DataFrame:
