@@ -84,6 +84,8 @@ def _number(x: str) -> str:
     return f"substr({x}, 1, 2), coalesce(TRY_CAST(regexp_extract({x}, '([0-9]+)$', 1) AS BIGINT), -1), {x}"
 
 
+FUZZ = ("fuzz_ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio")
+
 #: Soundex digits of a to z (fixed values): 0 parts equal neighbours, 7 does not.
 SOUNDEX = "01230127022455012623017202"
 
@@ -96,6 +98,52 @@ def soundex(w: str) -> str:
     return f"CASE WHEN regexp_matches({w}, '^[a-z]') THEN upper(substr({w}, 1, 1)) || substr(replace(substr({code}, 2), '0', '') || '000', 1, 3) ELSE {w} END"
 
 
+def _common(masks: str) -> str:
+    """Length of the longest common subsequence of a text of ns characters with those whose places in it are the bits of ``masks``."""
+    return f"ns - bit_count(list_reduce(list_prepend(v, {masks}), lambda w, u: ((w + (w & u)) | (w - (w & u))) & v))"
+
+
+def compared() -> str:
+    """Tables whole (x, y, r) and best (x, y, p): ratio, and best ratio of the shorter text with a window of the longer, of the pairs in cmp."""
+    place = "list_reduce(list_transform(string_split(s, ''), lambda d, i: CASE WHEN c = d THEN 1::HUGEINT << (i - 1) ELSE 0::HUGEINT END), lambda p, q: p | q)"
+    return (
+        "uneven AS (SELECT DISTINCT x, y FROM cmp WHERE x <> y AND x <> '' AND y <> ''), "
+        "turned AS (SELECT x, y, x AS s, y AS g FROM uneven WHERE length(x) <= length(y) UNION ALL SELECT x, y, y, x FROM uneven WHERE length(y) <= length(x)), "
+        f"bits AS MATERIALIZED (SELECT x, y, length(s) AS ns, length(g) AS ng, (1::HUGEINT << length(s)) - 1 AS v, list_transform(string_split(g, ''), lambda c: {place}) AS m FROM turned), "
+        f"whole AS MATERIALIZED (SELECT x, y, max(2.0::DOUBLE * ({_common('m')}) / (ns + ng)) AS r FROM bits GROUP BY x, y), "
+        "win AS (SELECT x, y, ns, v, unnest(list_concat(list_transform(range(1, ns), lambda k: m[1:k]), list_transform(range(1, ng + 1), lambda k: m[k:k + ns - 1]))) AS part FROM bits), "
+        f"best AS MATERIALIZED (SELECT x, y, max(2.0::DOUBLE * ({_common('part')}) / (ns + len(part))) AS p FROM win GROUP BY x, y)"
+    )
+
+
+def similar() -> str:
+    """Table sim: the ratios of the distinct pairs (a, b) of names and of addresses in attrs."""
+    put = lambda x: joined(f"list_sort({x})")
+    ratio = lambda x, y, found: f"CASE WHEN {x} = {y} THEN 1.0::DOUBLE WHEN {x} = '' OR {y} = '' THEN 0.0::DOUBLE ELSE {found} END"
+    looked = lambda t, i, x, y: f"LEFT JOIN {t} {t[0]}{i} ON {t[0]}{i}.x = {x} AND {t[0]}{i}.y = {y}"
+    forms = (("a", "b"), ("sa", "sb"), ("ra", "rb"))
+    values = ", ".join(f"{ratio(x, y, f'w{i}.r')} AS r{i}, {ratio(x, y, f'b{i}.p')} AS p{i}" for i, (x, y) in enumerate(forms))
+    joins = " ".join(looked(t, i, x, y) for i, (x, y) in enumerate(forms) for t in ("whole", "best"))
+    gap = "CASE WHEN shared = '' THEN 0 ELSE 1 END"
+    sa, sb = (f"(length(shared) + {gap} + length({x}))" for x in ("ra", "rb"))
+    rest = f"1 - (length(ra) + length(rb)) * (1 - r2) / ({sa} + {sb})"
+    one, two = (f"1 - CAST({gap} + length({x}) AS DOUBLE) / (length(shared) + {n})" for x, n in (("ra", sa), ("rb", sb)))
+    token_set = f"CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0.0::DOUBLE WHEN shared <> '' AND (ra = '' OR rb = '') THEN 1.0::DOUBLE WHEN shared = '' THEN {rest} ELSE greatest({rest}, {one}, {two}) END"
+    apart = "(CAST(greatest(length(a), length(b)) AS DOUBLE) / least(length(a), length(b)))"
+    scale = f"CASE WHEN {apart} <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END"
+    part_set = "CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0.0::DOUBLE WHEN shared <> '' THEN 1.0::DOUBLE ELSE p2 END"
+    wratio = f"CASE WHEN a = '' OR b = '' THEN 0.0::DOUBLE WHEN {apart} < 1.5 THEN greatest(r0, 0.95::DOUBLE * greatest(r1, ts)) ELSE greatest(r0, p0 * {scale}, greatest(p1, {part_set}) * 0.95::DOUBLE * {scale}) END"
+    return (
+        f"txt AS (SELECT a, b, {words('a')} AS la, {words('b')} AS lb FROM (SELECT name1 AS a, name2 AS b FROM attrs UNION SELECT addr1, addr2 FROM attrs)), "
+        f"split AS (SELECT *, list_distinct(la) AS wa, list_distinct(lb) AS wb, {put('la')} AS sa, {put('lb')} AS sb FROM txt), "
+        f"forms AS MATERIALIZED (SELECT a, b, wa, wb, sa, sb, {put('list_intersect(wa, wb)')} AS shared, {put('list_filter(wa, lambda w: NOT list_contains(wb, w))')} AS ra, {put('list_filter(wb, lambda w: NOT list_contains(wa, w))')} AS rb FROM split), "
+        f"cmp AS ({' UNION '.join(f'SELECT {x} AS x, {y} AS y FROM forms' for x, y in forms)}), {compared()}, "
+        f"looked AS (SELECT forms.*, {values} FROM forms {joins}), sets0 AS (SELECT *, {token_set} AS ts FROM looked), "
+        f"sim AS MATERIALIZED (SELECT a, b, r0 AS fuzz_ratio, p0 AS partial_ratio, r1 AS token_sort_ratio, ts AS token_set_ratio, {wratio} AS wratio FROM sets0)"
+    )
+
+
+
 _ALT_SPACE = r"\s+"
 
 
@@ -193,7 +241,7 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
     fbeta = lambda t, f, h: f"CASE WHEN {t} = 0 THEN CASE WHEN {f} = 0 THEN 1.0 ELSE 0.0 END WHEN {h} = 0 THEN 0.0 ELSE 1.25 * ({h} / {f}) * ({h} / {t}) / (0.25 * ({h} / {f}) + {h} / {t}) END"
     prob = "probs AS (SELECT s1_id, target_id, rank, least(1.0, round(CAST(score AS DOUBLE), 4) / 100) AS prob FROM cand)"
     attrs = (
-        "attrs AS (SELECT c.s1_id, c.target_id, a.name_norm AS name1, a.addr_norm AS addr1, a.country AS country1, b.name_norm AS name2, b.addr_norm AS addr2, b.country AS country2, b.source AS source2 "
+        "attrs AS (SELECT c.s1_id, c.target_id, c.score, a.name_norm AS name1, a.addr_norm AS addr1, a.country AS country1, b.name_norm AS name2, b.addr_norm AS addr2, b.country AS country2, b.source AS source2 "
         "FROM cand c JOIN rec a ON c.s1_id = a.entity_id JOIN rec b ON c.target_id = b.entity_id)"
     )
     sets = (
@@ -261,6 +309,13 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
     quality = "round(coalesce(sum(n_hit) / nullif(sum(n_true), 0), 1.0), 6) AS pair_completeness, round(1 - sum(n_found) / (count(*) * (SELECT count(*) FROM ent WHERE source <> 'S1')), 8) AS reduction_ratio, round(sum(n_found) / count(*), 6) AS avg_candidates, CAST(sum(n_found) AS BIGINT) AS candidate_pairs, CAST(sum(n_true) AS BIGINT) AS true_pairs, CAST(sum(n_hit) AS BIGINT) AS recalled_pairs"
     macro = f"round(avg({fbeta('n_true', 'n_found', 'n_hit')}), 6) AS macro_f, round(sum(n_hit) / sum(n_found), 6) AS micro_precision, round(sum(n_hit) / sum(n_true), 6) AS micro_recall, round(avg(CASE WHEN n_true = 0 THEN CASE WHEN n_found = 0 THEN 1.0 ELSE 0.0 END END), 6) AS singleton_accuracy, count(*) FILTER (n_true = 0) AS true_singletons, count(*) FILTER (n_found = 0) AS predicted_singletons, count(*) AS n_queries"
     jw = lambda a, b: f"CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE round(jaro_winkler_similarity({a}, {b}), 6) END"
+    alike = "JOIN sim sn ON sn.a = name1 AND sn.b = name2 JOIN sim sa ON sa.a = addr1 AND sa.b = addr2"
+    exact = lambda a, b: f"(CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE jaro_winkler_similarity({a}, {b}) END)"
+    every = feats | {"blocking_score": "score", "name_wratio": "sn.wratio"}
+    every |= {f"{c}_{n}": f"{t}.{n}" for t, c in (("sn", "name"), ("sa", "addr")) for n in FUZZ}
+    every |= {"name_jaro_winkler": exact("name1", "name2"), "addr_jaro_winkler": exact("addr1", "addr2"), "name_addr_fuzz_prod": "sn.token_set_ratio * sa.token_set_ratio"}
+    every |= {"first_word_jw": f"CASE WHEN w1 = '' OR w2 = '' THEN 0.0::DOUBLE ELSE {exact('w1', 'w2')} END", "name_addr_jw_prod": f"{exact('name1', 'name2')} * {exact('addr1', 'addr2')}"}
+    every["first_word_soundex"] = f"CASE WHEN w1 <> '' AND w2 <> '' AND {soundex('w1')} = {soundex('w2')} THEN 1.0 ELSE 0.0 END"
     matched = "SELECT s1_id, target_id FROM chosen"
     broken = (
         "lines AS (SELECT p_partkey AS k, 'S1-' || (CASE WHEN p_partkey % 50 = 5 THEN p_partkey + 1 ELSE p_partkey END) AS s1_id, p_partkey % 50 <> 1 AS has_tab, "
@@ -310,6 +365,9 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
         "token_overlap_features": f"WITH {blocked}, {attrs}, {sets} SELECT s1_id, target_id, " + ", ".join(f"round({dbl(f'({x})')}, 6) AS {n}" for n, x in feats.items()) + " FROM sets",
         "soundex_match": f"WITH {blocked}, {attrs}, {sets} SELECT s1_id, target_id, CASE WHEN w1 <> '' AND w2 <> '' AND {soundex('w1')} = {soundex('w2')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS first_word_soundex FROM sets",
         "jaro_winkler": f"WITH {blocked}, {attrs} SELECT s1_id, target_id, {jw('name1', 'name2')} AS name_jw, {jw('addr1', 'addr2')} AS addr_jw FROM attrs",
+        "fuzz_ratios": f"WITH {blocked}, {attrs}, {similar()} SELECT s1_id, target_id, " + ", ".join(f"round({t}.{n}, 6) AS {c}_{n}" for t, c in (("sn", "name"), ("sa", "addr")) for n in FUZZ) + f" FROM attrs {alike}",
+        "wratio": f"WITH {blocked}, {attrs}, {similar()} SELECT s1_id, target_id, round(sn.wratio, 6) AS name_wratio FROM attrs {alike}",
+        "pair_features": f"WITH {blocked}, {attrs}, {similar()}, {sets} SELECT s1_id, target_id, " + ", ".join(f"round(CAST(CAST(({x}) AS FLOAT) AS DOUBLE), 6) AS {n}" for n, x in every.items()) + f" FROM sets {alike}",
         "two_stage_decision": f"WITH {blocked}, {prob}, {chosen} SELECT s1_id, target_id FROM chosen",
         "threshold_grid": f"WITH {blocked}, {truth}, {asked}, {prob}, {grid}, {swept} SELECT * FROM swept",
         "single_threshold_grid": f"WITH {blocked}, {truth}, {asked}, {prob}, {grid_of([0.0], decision.SINGLE)}, {swept} SELECT * FROM swept",

@@ -243,7 +243,7 @@ def wratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, c = _blocked(spark, sf_dir)
-    return features.features(c, r)
+    return features.features(c, r).select("s1_id", "target_id", *[F.round(F.col(f).cast("double"), 6).alias(f) for f in features.FEATURES])
 
 
 def single_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
