@@ -43,7 +43,7 @@ def of_queries(pairs: DataFrame, queries: DataFrame) -> DataFrame:
 
 def sample_queries(queries: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n queries in hash order: a sample without replacement that reruns agree on."""
-    return queries.select("s1_id").distinct().orderBy(F.xxhash64(F.lit(seed), "s1_id"), "s1_id").limit(n)
+    return queries.select("s1_id").distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}|"), "s1_id")), "s1_id").limit(n)
 
 
 def query_slice(queries: DataFrame, lo: float, hi: float) -> DataFrame:

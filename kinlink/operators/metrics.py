@@ -5,7 +5,10 @@ Queries are the S1 ids of ``queries``; a query without truth rows is a singleton
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,3 +108,16 @@ def probability_profile(best: DataFrame, prob: str = "max_p", bounds: tuple[floa
     p = F.percentile(prob, F.array(F.lit(0.05), F.lit(0.1), F.lit(0.2)))
     below = [F.round(F.avg((F.col(prob) < b).cast("double")), 6).alias(f"below_{round(b * 100):02d}") for b in bounds]
     return best.agg(p.alias("_p"), *below).select(*[F.round(F.col("_p")[i], 6).alias(n) for i, n in enumerate(("p05", "p10", "p20"))], *[f"below_{round(b * 100):02d}" for b in bounds])
+
+
+def counted(lists: DataFrame, column: str, sink: Callable[[DataFrame], None]) -> dict[str, float]:
+    """Give ``lists`` (comma-joined ids in ``column``, a row for each query) to ``sink`` and count on the way.
+
+    Returns queries, ids, queries with ids, seconds, and queries a second; the rows are read once, by the sink.
+    """
+    n = F.when(F.col(column) == "", 0).otherwise(F.size(F.split(column, ",")))
+    seen = Observation()
+    began = time.perf_counter()
+    sink(lists.observe(seen, F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum(n), F.lit(0)).alias("ids"), F.count_if(n > 0).alias("non_empty")))
+    seconds = time.perf_counter() - began
+    return {**seen.get, "seconds": seconds, "per_second": seen.get["queries"] / seconds}

@@ -95,8 +95,8 @@ def _header(spark: SparkSession, path: str, expected: list[str]) -> str | None:
     return None
 
 
-def _body(spark: SparkSession, path: str) -> DataFrame:
-    """Lines without the first of each part, the header."""
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a result file, as ``parse`` has them; the first line of each part is the header."""
     reader = spark.read.schema("value string").option("header", True).option("enforceSchema", True).option("sep", "\x01").option("quote", "").option("escape", "")
     return parse(reader.csv(path).where("value is not null"))
 
@@ -115,7 +115,7 @@ def validate(spark: SparkSession, matches: str, candidates: str | None, required
         if wrong:
             (errors if path == matches or "not readable" not in wrong else warnings).append(wrong)
             continue
-        bodies[column] = _body(spark, path)
+        bodies[column] = read_rows(spark, path)
         for r in summary(violations(bodies[column], required, known if check_ids else None)).orderBy("rule").collect():
             errors.append(f"{path}: {ERRORS[r['rule']]}: {r['n']}, e.g. {r['examples']}")
     if len(bodies) == 2:

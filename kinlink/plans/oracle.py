@@ -84,6 +84,9 @@ def _number(x: str) -> str:
     return f"substr({x}, 1, 2), coalesce(TRY_CAST(regexp_extract({x}, '([0-9]+)$', 1) AS BIGINT), -1), {x}"
 
 
+#: Offset basis and prime of the 64-bit FNV-1a hash (fixed values).
+OFFSET, PRIME = 14695981039346656037, 1099511628211
+
 FUZZ = ("fuzz_ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio")
 
 #: Soundex digits of a to z (fixed values): 0 parts equal neighbours, 7 does not.
@@ -329,6 +332,11 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
     return {
         "source_scan": f"WITH {both} SELECT source, entity_id, business_name, business_address, country FROM ent",
         "tsv_scan": f"WITH {ent} SELECT source, entity_id, business_name, business_address, country FROM ent",
+        "row_counts": f"WITH {ent} SELECT source, count(*) AS n FROM ent GROUP BY source",
+        "kept_entities": f"WITH {ent} SELECT source, entity_id, business_name, business_address, country FROM ent",
+        "composite_text": f"WITH {both} SELECT entity_id, trim(coalesce(business_name, '') || ' ' || coalesce(business_address, '')) AS composite FROM ent",
+        "id_hashes": f"WITH {both}, h AS (SELECT entity_id, list_reduce(list_prepend({OFFSET}::HUGEINT, list_transform(string_split(entity_id, ''), lambda c: ord(c)::HUGEINT)), lambda h, c: (xor(h, c) * {PRIME}::HUGEINT) % {1 << 64}::HUGEINT) AS h FROM ent) "
+        f"SELECT entity_id, CAST(CASE WHEN h >= {1 << 63}::HUGEINT THEN h - {1 << 64}::HUGEINT ELSE h END AS BIGINT) AS id_hash FROM h",
         "country_counts": f"WITH {both} SELECT source, trim(coalesce(country, '')) AS country, count(*) AS n FROM ent GROUP BY ALL",
         "base_clean": f"WITH {both} SELECT entity_id, {clean('business_name')} AS name_clean, {clean('business_address')} AS addr_clean FROM ent",
         "normalize_name": f"WITH {both} SELECT entity_id, {name_norm('business_name')} AS name_norm, {joined(without(words(phrased(clean('business_name'))), V.LEGAL_WORDS))} AS name_core FROM ent",
@@ -373,6 +381,7 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
         "single_threshold_grid": f"WITH {blocked}, {truth}, {asked}, {prob}, {grid_of([0.0], decision.SINGLE)}, {swept} SELECT * FROM swept",
         "wide_threshold_grid": f"WITH {blocked}, {truth}, {asked}, {prob}, {grid_of(*decision.TWO_STAGE_WIDE)}, {swept} SELECT * FROM swept",
         "query_slices": f"WITH {ent}, {asked}, n AS (SELECT s1_id, row_number() OVER (ORDER BY {_number('s1_id')}) AS r, count(*) OVER () AS n FROM asked) SELECT s1_id, CASE WHEN r <= floor(0.8 * n + 1e-9) THEN 'train' ELSE 'validate' END AS part FROM n",
+        "query_sample": f"WITH {ent}, {asked} SELECT s1_id FROM asked ORDER BY md5('42|' || s1_id), s1_id LIMIT 100",
         "best_threshold": f"WITH {blocked}, {truth}, {asked}, {prob}, {grid}, {swept} SELECT t_singleton, t_match, macro_f FROM swept ORDER BY macro_f DESC, t_singleton, t_match LIMIT 1",
         "probability_profile": f"WITH {blocked}, {prob}, m AS (SELECT max(prob) AS p FROM probs GROUP BY s1_id) SELECT round(quantile_cont(p, 0.05), 6) AS p05, round(quantile_cont(p, 0.1), 6) AS p10, round(quantile_cont(p, 0.2), 6) AS p20, "
         + ", ".join(f"round(avg(CASE WHEN p < {b} THEN 1.0 ELSE 0.0 END), 6) AS below_{round(b * 100):02d}" for b in (0.05, 0.1, 0.15, 0.2, 0.3, 0.4))
@@ -389,5 +398,8 @@ def sql(fixtures: ModuleType) -> dict[str, str]:
         "submission_rows": f"WITH {blocked}, {asked}, {prob}, {chosen} SELECT a.s1_id AS source1_entity_id, coalesce(string_agg(target_id, ',' ORDER BY rank), '') AS matched_entity_ids FROM asked a LEFT JOIN chosen c USING (s1_id) GROUP BY a.s1_id",
         "candidate_rows": f"WITH {blocked}, {asked} SELECT a.s1_id AS source1_entity_id, coalesce(string_agg(target_id, ',' ORDER BY rank), '') AS candidate_entity_ids FROM asked a LEFT JOIN cand c USING (s1_id) GROUP BY a.s1_id",
         "outside_candidates": f"WITH {blocked}, {truth} SELECT DISTINCT s1_id FROM truth t WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.s1_id = t.s1_id AND c.target_id = t.target_id)",
+        "match_counters": f"WITH {blocked}, {asked}, {prob}, {chosen}, n AS (SELECT a.s1_id, count(c.target_id) AS n FROM asked a LEFT JOIN chosen c USING (s1_id) GROUP BY 1) "
+        "SELECT count(*) AS queries, CAST(sum(n) AS BIGINT) AS ids, count(*) FILTER (n > 0) AS non_empty, count(*) AS rows_read, count(*) FILTER (n = 0) AS empty_read, count(*) FILTER (n > 0) AS non_empty_read FROM n",
+        "result_files": "SELECT * FROM (VALUES ('whole', 0::BIGINT, 0::BIGINT, 0::BIGINT), ('unchecked', 0, 1, 0), ('swapped', 2, 0, 1), ('missing', 1, 1, 1), ('blank', 1, 0, 1), ('commas', 1, 0, 1)) AS t (file, errors, warnings, exit_code)",
         "validate_submission": f"WITH {ent}, {broken} SELECT rule, count(*) AS n, array_to_string(list_sort(list(item))[1:5], ', ') AS examples FROM bad GROUP BY rule",
     }

@@ -34,14 +34,30 @@ def _queries(records: DataFrame) -> DataFrame:
     return records.where("source = 'S1'").select(F.col("entity_id").alias("s1_id"))
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(spark, sf_dir)
 
 
 def tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entities written as TSV sources and read back, with the source read off the files' names."""
-    path = f"{shared_dir(spark).rstrip('/')}/tsv-{uuid.uuid4().hex}"
-    return tsv.read_entities(spark, tsv.write_entities(part_entities(spark, sf_dir), path))
+    return tsv.read_entities(spark, tsv.write_entities(part_entities(spark, sf_dir), _fresh(spark, "tsv")))
+
+
+def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each written TSV source."""
+    files = tsv.write_entities(part_entities(spark, sf_dir), _fresh(spark, "tsv"))
+    return spark.createDataFrame([(f"S{i}", tsv.count_rows(spark, path)) for i, path in enumerate(files, 1)], "source string, n long")
+
+
+def kept_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities kept as a table by parameters; the second call finds it whole and does not write its own, empty rows."""
+    path, e = _fresh(spark, "kept"), part_entities(spark, sf_dir)
+    tsv.cached(spark, e, path, {"files": 3})
+    return tsv.cached(spark, e.limit(0), path, {"files": 3})
 
 
 def country_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +77,14 @@ def normalize_addr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(spark, sf_dir).select("entity_id", X.normalize_addr(F.col("business_address")).alias("addr_norm"))
 
 
+def composite_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir).select("entity_id", X.composite(F.col("business_name"), F.col("business_address")).alias("composite"))
+
+
+def id_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir).select("entity_id", X.id_hash(F.col("entity_id")).alias("id_hash"))
+
+
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     addr = X.normalize_addr(F.col("business_address"))
     return part_entities(spark, sf_dir).select("entity_id", F.array_join(X.all_numbers(addr), " ").alias("all_numbers"), F.array_join(X.postal_codes(addr), " ").alias("postal_codes"))
@@ -264,6 +288,12 @@ def query_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part(0.0, 0.8, "train").unionByName(part(0.8, 1.0, "validate"))
 
 
+def query_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of 100 queries."""
+    q = part_entities(spark, sf_dir).where("source = 'S1'").select(F.col("entity_id").alias("s1_id"))
+    return labels.sample_queries(q, 100)
+
+
 def two_stage_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, c = _blocked(spark, sf_dir)
     return _matches(c).select("s1_id", "target_id")
@@ -346,6 +376,38 @@ def outside_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.outside_candidates(lines(truth), lines(c))
 
 
+def _match_file(spark: SparkSession, records: DataFrame, c: DataFrame) -> tuple[str, dict[str, float]]:
+    """The written match file and what was counted on the way."""
+    path = _fresh(spark, "matches")
+    lists = tsv.id_lists(_queries(records), _matches(c), "matched_entity_ids")
+    return path, metrics.counted(lists, "matched_entity_ids", lambda rows: tsv.write_lists(rows, path))
+
+
+def match_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the run that writes the match file, and the statistics of the file read back."""
+    path, n = _match_file(spark, *_blocked(spark, sf_dir))
+    read = validate.row_stats(validate.read_rows(spark, path))
+    return read.select(*[F.lit(n[k]).cast("long").alias(k) for k in ("queries", "ids", "non_empty")], F.col("rows").alias("rows_read"), F.col("empty").alias("empty_read"), F.col("non_empty").alias("non_empty_read"))
+
+
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors, warnings and exit code for whole, unchecked, swapped, missing, empty and comma-separated result files."""
+    r, c = _blocked(spark, sf_dir)
+    c = cut(c)
+    good, _ = _match_file(spark, r, c)
+    listed, absent, blank, commas = (_fresh(spark, n) for n in ("candidates", "absent", "blank", "commas"))
+    tsv.write_lists(tsv.id_lists(_queries(r), c, "candidate_entity_ids"), listed, single_file=True)
+    spark.createDataFrame([], "value string").write.text(blank)
+    spark.createDataFrame([("source1_entity_id,matched_entity_ids",)], "value string").write.text(commas)
+    known = prepare.targets(r).select(F.col("entity_id").alias("target_id"))
+    cases = {"whole": (good, listed, True), "unchecked": (good, listed, False), "swapped": (listed, good, True), "missing": (absent, f"{absent}-too", True), "blank": (blank, listed, True), "commas": (commas, listed, True)}
+    rows = []
+    for name, (one, two, check) in cases.items():
+        errors, warnings = validate.validate(spark, one, two, _queries(r), known, check)
+        rows.append((name, len(errors), len(warnings), validate.exit_code(errors)))
+    return spark.createDataFrame(rows, "file string, errors long, warnings long, exit_code long")
+
+
 def validate_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in a deliberately broken result file."""
     lines = table(spark, sf_dir, "part").selectExpr(
@@ -360,11 +422,11 @@ def validate_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = [
-    source_scan, tsv_scan, country_counts, base_clean, normalize_name, normalize_addr, numbers, char_trigrams, record_tokens, alt_normalize, token_df,
+    source_scan, tsv_scan, row_counts, kept_entities, country_counts, base_clean, normalize_name, normalize_addr, composite_text, id_hashes, numbers, char_trigrams, record_tokens, alt_normalize, token_df,
     rare_doc_tokens, rare_query_tokens, composite_keys, key_posting_stats, rare_candidates, composite_candidates, exact_name_blocks, blocked_topk,
     truth_pairs, truth_stats, label_candidates, pair_completeness, blocking_report, macro_f05, entity_scores, singleton_stats, missed_pairs, key_recall,
-    token_overlap_features, soundex_match, jaro_winkler, fuzz_ratios, wratio, pair_features, two_stage_decision, single_threshold_grid, threshold_grid, wide_threshold_grid, best_threshold, query_slices,
-    probability_profile, roc_auc, gbt_scores, bm25_topk, tfidf_topk, embedding_topk, hybrid_interleave, submission_rows, candidate_rows, outside_candidates, validate_submission,
+    token_overlap_features, soundex_match, jaro_winkler, fuzz_ratios, wratio, pair_features, two_stage_decision, single_threshold_grid, threshold_grid, wide_threshold_grid, best_threshold, query_slices, query_sample,
+    probability_profile, roc_auc, gbt_scores, bm25_topk, tfidf_topk, embedding_topk, hybrid_interleave, submission_rows, candidate_rows, outside_candidates, match_counters, result_files, validate_submission,
 ]
 
 
