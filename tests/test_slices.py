@@ -8,6 +8,7 @@ import pytest
 
 from kinlink.operators import blocking as B
 from kinlink.operators import prepare, slices
+from kinlink.plans import registry
 
 
 def within(spark, seconds, run):
@@ -70,3 +71,12 @@ def test_keys_of_all_records_block_in_time(spark):
     records = prepare.prepare(_alike(spark, 30000))
     got = within(spark, 90, lambda: B.block(records, rare=False).collect())
     assert len(got) == 15000 * 30 and {r["target_id"] for r in got} == {f"S2-{2 * i + 1}" for i in range(30)}
+
+
+def test_recall_of_a_key_of_all_records_in_time(spark, monkeypatch):
+    n = 60000
+    monkeypatch.setattr(registry, "part_entities", lambda *_: _alike(spark, n))
+    truth = spark.range(n // 2).selectExpr("concat('S1-', 2 * id) AS s1_id", "concat('S2-', 2 * id + 1) AS target_id")
+    monkeypatch.setattr(registry, "part_truth", lambda *_: truth)
+    got = {r["family"]: r["recall"] for r in within(spark, 60, lambda: registry.key_recall(spark, "").collect())}
+    assert got["FULL_NAME"] == 1.0 and "NAME_ADDRNO" not in got
