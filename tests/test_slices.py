@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 from kinlink.operators import blocking as B
-from kinlink.operators import prepare, slices
+from kinlink.operators import lexical, prepare, slices
 from kinlink.plans import registry
 
 
@@ -73,6 +73,12 @@ def test_keys_of_all_records_block_in_time(spark):
     assert len(got) == 15000 * 30 and {r["target_id"] for r in got} == {f"S2-{2 * i + 1}" for i in range(30)}
 
 
+def test_tokens_of_all_records_are_searched_in_time(spark):
+    e = _alike(spark, 30000).selectExpr("entity_id", "source", "concat(business_name, ' x', substr(entity_id, 4)) AS business_name", "business_address", "country")
+    got = within(spark, 90, lambda: lexical.retrieve(e.where("source = 'S1'"), lexical.fit(e.where("source <> 'S1'")), k=2).collect())
+    assert len(got) == 15000 * 2
+
+
 def test_recall_of_a_key_of_all_records_in_time(spark, monkeypatch):
     n = 60000
     monkeypatch.setattr(registry, "part_entities", lambda *_: _alike(spark, n))
