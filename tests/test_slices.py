@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 from kinlink.operators import blocking as B
-from kinlink.operators import lexical, prepare, slices
+from kinlink.operators import keys, lexical, prepare, slices
 from kinlink.plans import registry
 
 
@@ -59,6 +59,34 @@ def test_blocking_by_slices_is_blocking_by_joins(spark, k):
     assert joined == sliced and joined
 
 
+def _few(spark):
+    r = random.Random(7)
+    words = ["red", "blue", "iron", "mill", "mill", "works"]
+    rows = [(("S1", "S2", "S3")[i % 3], f"S{1 + i % 3}-{i}", " ".join(r.choices(words, k=r.randint(0, 4))), f"{r.randint(1, 9)} {' '.join(r.choices(words, k=r.randint(0, 4)))} 1234{r.randint(0, 2)}", "") for i in range(60)]
+    return prepare.spread(prepare.prepare(spark.createDataFrame(rows, "source string, entity_id string, business_name string, business_address string, country string")))
+
+
+def test_packed_keys_are_the_keys(spark):
+    records = _few(spark)
+    keyed = keys.key_table(records).selectExpr("entity_id", "xxhash64(family, key)", "if(source = 'S1', cast(weight as double), 1D)")
+    packed = keys.packed_keys(records).selectExpr("entity_id", "inline(x)")
+    assert sorted(map(tuple, keyed.collect())) == sorted(map(tuple, packed.collect())) and packed.count()
+
+
+def test_an_id_may_have_several_packed_rows(spark):
+    one = [(1, "a", [(5, 1.0), (6, 2.0)]), (2, "b", [(7, 1.0)]), (1, "a", [(7, 4.0)])]
+    two = [(9, "y", [(7, 1.0)]), (8, "x", [(5, 1.0)]), (9, "y", [(6, 1.0)])]
+    form = lambda rows, key, name: spark.createDataFrame(rows, f"{key} long, {name} string, x array<struct<h: long, weight: double>>")
+    got = slices.best_of_packed(form(one, "q", "s1_id"), form(two, "t", "target_id"), 2)
+    assert sorted(map(tuple, got.select("s1_id", "target_id", "score", "rank").collect())) == [("a", "x", 1.0, 2), ("a", "y", 6.0, 1), ("b", "y", 1.0, 1)]
+
+
+def test_candidates_of_slices_are_dealt_once(spark):
+    """Keys go to their slices as the lists they were made as, and candidates are not dealt again to be ranked or named."""
+    plan = B.block(_few(spark), B.Blocking(dense=0))._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and not [x for x in ("Join", "Window", "Aggregate") if x in plan]
+
+
 ALIKE = "entity_id string, source string, business_name string, business_address string, country string"
 
 
