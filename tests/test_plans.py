@@ -68,3 +68,15 @@ def test_quality_moves_candidates_once(spark):
     # null ids are counted with the others, but equal nothing
     assert {(x["s1_id"], x["n_true"], x["n_found"], x["n_hit"]) for x in made.collect()} == want
     assert plan(made).count("hashpartitioning(s1_id") == plan(made).count("hashpartitioning(") and "target_id" not in "".join(x for x in plan(made).splitlines() if "Exchange" in x)
+
+
+
+def test_missed_pairs_are_found_without_a_join(spark):
+    r = random.Random(9)
+    truth, found = _pairs(r, 60), _pairs(r, 20)
+    made = metrics.missed_pairs(spark.createDataFrame(truth, PAIRS), spark.createDataFrame(found, PAIRS), 2, None)
+    moves = plan(made)
+    left = sorted({x for x in truth if None in x or x not in found}, key=lambda x: (x[0] or "", x[1] or ""))
+    want = {x for i, x in enumerate(left) if sum(y[0] == x[0] for y in left[:i]) < 2}
+    assert set(map(tuple, made.collect())) == want and want
+    assert "Join" not in moves and moves.count("hashpartitioning(") == 1
