@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from kinlink.operators import keys, metrics, prepare, slices
+from kinlink.operators import decision, keys, metrics, prepare, slices
 from kinlink.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +80,15 @@ def test_missed_pairs_are_found_without_a_join(spark):
     want = {x for i, x in enumerate(left) if sum(y[0] == x[0] for y in left[:i]) < 2}
     assert set(map(tuple, made.collect())) == want and want
     assert "Join" not in moves and moves.count("hashpartitioning(") == 1
+
+
+def test_weak_candidates_are_not_dealt(spark):
+    nan = float("nan")
+    rows = [("a", "1", 0.9), ("a", "2", 0.6), ("a", "3", 0.5), ("b", "1", 0.65), ("b", "2", 0.1), ("c", "1", None), ("c", "2", 0.8), ("d", "1", nan), ("d", "2", 0.7), ("e", "1", 0.3)]
+    scored = spark.createDataFrame(rows, "s1_id string, target_id string, prob double")
+    made = decision.decide(scored, t_match=0.6, t_singleton=0.7)
+    moves = plan(made)
+    assert {(x["s1_id"], x["target_id"]) for x in made.collect()} == {("a", "1"), ("a", "2"), ("c", "2"), ("d", "1"), ("d", "2")}
+    assert moves.rindex("prob#") > moves.index("Exchange") and any("Filter" in x and "0.6)" in x for x in moves[moves.index("Exchange") :].splitlines())
+    # a threshold for matches above that of the best
+    assert {(x["s1_id"], x["target_id"]) for x in decision.decide(scored, 0.85, 0.2).collect()} == {("a", "1"), ("d", "1")}
