@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from kinlink.operators import decision, keys, metrics, prepare, slices
+from kinlink.operators import decision, keys, metrics, prepare, slices, validate
 from kinlink.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +92,15 @@ def test_weak_candidates_are_not_dealt(spark):
     assert moves.rindex("prob#") > moves.index("Exchange") and any("Filter" in x and "0.6)" in x for x in moves[moves.index("Exchange") :].splitlines())
     # a threshold for matches above that of the best
     assert {(x["s1_id"], x["target_id"]) for x in decision.decide(scored, 0.85, 0.2).collect()} == {("a", "1"), ("d", "1")}
+
+
+def test_candidate_lists_are_not_exploded(spark):
+    r = random.Random(4)
+    line = lambda: (f"S1-{r.randrange(12)}\t" + ",".join(f"S2-{r.randrange(9)}" for _ in range(r.randrange(4))))
+    one, two = [line() for _ in range(20)] + ["no tab"], [line() for _ in range(25)] + ["S1-3"]
+    lines = lambda xs: validate.parse(spark.createDataFrame([(x,) for x in xs], "value string"))
+    made = validate.outside_candidates(lines(one), lines(two))
+    moves = plan(made)
+    ids = lambda xs: {(x.split("\t")[0], y) for x in xs if "\t" in x for y in x.split("\t")[1].split(",") if y}
+    assert {x["s1_id"] for x in made.collect()} == {q for q, _ in ids(one) - ids(two)} and made.count() == len({q for q, _ in ids(one) - ids(two)})
+    assert "Generate" not in moves
