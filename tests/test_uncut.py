@@ -38,3 +38,9 @@ def asked(spark, monkeypatch):
 
 def test_blocked_topk(asked):
     assert {(r["s1_id"], r["target_id"], r["rank"], r["score"]) for r in asked("blocked_topk")} == {("S1-1", "S2-1", 1, 0.6931), ("S1-2", "S2-2", 1, 98.4112)}
+
+
+def test_best_threshold(asked):
+    # the second query has no match, but a candidate that no threshold of the grid shuts out
+    (got,) = asked("best_threshold", TRUTH[:1])
+    assert got["macro_f"] == 0.0
