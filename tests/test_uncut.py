@@ -44,3 +44,8 @@ def test_best_threshold(asked):
     # the second query has no match, but a candidate that no threshold of the grid shuts out
     (got,) = asked("best_threshold", TRUTH[:1])
     assert got["macro_f"] == 0.0
+
+
+def test_blocking_report(asked):
+    (got,) = asked("blocking_report")
+    assert (got["mean_recall"], got["zero_recall"], got["full_recall"], got["without_candidates"]) == (1.0, 0, 2, 0)
