@@ -49,3 +49,7 @@ def test_best_threshold(asked):
 def test_blocking_report(asked):
     (got,) = asked("blocking_report")
     assert (got["mean_recall"], got["zero_recall"], got["full_recall"], got["without_candidates"]) == (1.0, 0, 2, 0)
+
+
+def test_candidate_rows(asked):
+    assert {(r["source1_entity_id"], r["candidate_entity_ids"]) for r in asked("candidate_rows")} == {("S1-1", "S2-1"), ("S1-2", "S2-2")}
