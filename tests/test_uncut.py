@@ -53,3 +53,7 @@ def test_blocking_report(asked):
 
 def test_candidate_rows(asked):
     assert {(r["source1_entity_id"], r["candidate_entity_ids"]) for r in asked("candidate_rows")} == {("S1-1", "S2-1"), ("S1-2", "S2-2")}
+
+
+def test_entity_scores(asked):
+    assert {(r["s1_id"], r["n_found"], r["n_hit"], r["f_beta"]) for r in asked("entity_scores")} == {("S1-1", 0, 0, 0.0), ("S1-2", 1, 1, 1.0)}
