@@ -10,7 +10,7 @@ the token forms compare sorted tokens and token sets; all between 0 and 1.  Defi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 WORD = 64
 _ROWS = 2000
+#: Places compared at once, about: a bound of memory, not of texts.
+_CELLS = 1 << 26
 
 
 def _codes(texts: list[str], width: int) -> np.ndarray:
@@ -33,8 +35,24 @@ def _hits(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     n, w = short.shape
     wide = np.zeros((n, -(-w // WORD) * WORD), dtype=np.uint32)
     wide[:, :w] = short
-    same = (wide[:, None, :] == long[:, :, None]) & (long[:, :, None] != 0)
-    return np.packbits(same, axis=2, bitorder="little").view(np.uint64).reshape(n, long.shape[1], -1)
+    out = np.empty((n, long.shape[1], wide.shape[1] // WORD), dtype=np.uint64)
+    step = max(1, _CELLS // wide.size)
+    for lo in range(0, long.shape[1], step):
+        some = long[:, lo : lo + step, None]
+        same = (wide[:, None, :] == some) & (some != 0)
+        out[:, lo : lo + step] = np.packbits(same, axis=2, bitorder="little").view(np.uint64)
+    return out
+
+
+def _stretches(length: list[int]) -> Iterator[slice]:
+    """Pairs that are compared at once, of ascending length: what they take grows as the square of it."""
+    lo = 0
+    while lo < len(length):
+        hi = min(len(length), lo + _ROWS)
+        while hi > lo + 1 and (hi - lo) * length[hi - 1] ** 2 > _CELLS:
+            hi = (lo + hi) // 2
+        yield slice(lo, hi)
+        lo = hi
 
 
 def _step(v: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -63,8 +81,8 @@ def _many(pairs: list[tuple[str, str]], partial: bool) -> np.ndarray:
             wide.append(i)
     # pairs of like length together, so that little is padded
     wide.sort(key=lambda i: max(len(pairs[i][0]), len(pairs[i][1])))
-    for lo in range(0, len(wide), _ROWS):
-        at = np.array(wide[lo : lo + _ROWS])
+    for part in _stretches([max(map(len, pairs[i])) for i in wide]):
+        at = np.array(wide[part])
         ab = [sorted(pairs[i], key=len) for i in at]
         short, long = [x[0] for x in ab], [x[1] for x in ab]
         s = _codes(short, max(map(len, short)))
@@ -192,8 +210,8 @@ def jaro_winklers(pairs: list[tuple[str, str]]) -> np.ndarray:
     """
     out = np.array([1.0 if a == b else 0.0 for a, b in pairs])
     some = sorted((i for i, (a, b) in enumerate(pairs) if a and b and a != b), key=lambda i: max(map(len, pairs[i])))
-    for lo in range(0, len(some), _ROWS):
-        at = some[lo : lo + _ROWS]
+    for part in _stretches([max(map(len, pairs[i])) for i in some]):
+        at = some[part]
         left, right = [pairs[i][0] for i in at], [pairs[i][1] for i in at]
         out[at] = _jaro_winkler(_codes(left, max(map(len, left))), _codes(right, max(map(len, right))), np.array([len(x) for x in left]), np.array([len(x) for x in right]))
     return out

@@ -5,6 +5,7 @@ from types import SimpleNamespace
 import duckdb
 import pytest
 
+from kinlink.functions import similarity as S
 from kinlink.plans import oracle, registry
 
 ENTITY = "source string, entity_id string, business_name string, business_address string, country string"
@@ -57,3 +58,20 @@ def test_candidate_rows(asked):
 
 def test_entity_scores(asked):
     assert {(r["s1_id"], r["n_found"], r["n_hit"], r["f_beta"]) for r in asked("entity_scores")} == {("S1-1", 0, 0, 0.0), ("S1-2", 1, 1, 1.0)}
+
+
+def test_fuzz_ratios(asked):
+    got = {r["s1_id"]: r for r in asked("fuzz_ratios")}
+    for name in ("fuzz_ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio"):
+        assert got["S1-1"][f"name_{name}"] == round(float(S.KERNELS[name]([(NUT, BOLT)])[0]), 6)
+
+
+def test_long_texts_are_compared_in_bounded_memory(monkeypatch):
+    pairs = [(f"{'ab ' * i}x{i}", f"{'ba ' * i}y{i}") for i in range(0, 120, 7)] + [("", "a" * 300), ("b", "ab" * 200)]
+    want = {n: S.KERNELS[n](pairs).tolist() for n in S.KERNELS}
+    monkeypatch.setattr(S, "_CELLS", 500)
+    made = []
+    pack = S.np.packbits
+    monkeypatch.setattr(S.np, "packbits", lambda x, **k: made.append(x.size) or pack(x, **k))
+    assert {n: S.KERNELS[n](pairs).tolist() for n in S.KERNELS} == want
+    assert max(made) <= max(500, 2 * 448)
