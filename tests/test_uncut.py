@@ -75,3 +75,8 @@ def test_long_texts_are_compared_in_bounded_memory(monkeypatch):
     monkeypatch.setattr(S.np, "packbits", lambda x, **k: made.append(x.size) or pack(x, **k))
     assert {n: S.KERNELS[n](pairs).tolist() for n in S.KERNELS} == want
     assert max(made) <= max(500, 2 * 448)
+
+
+def test_jaro_winkler(asked):
+    got = {r["s1_id"]: r["name_jw"] for r in asked("jaro_winkler")}
+    assert got["S1-1"] == round(float(S.jaro_winklers([(NUT, BOLT)])[0]), 6)
