@@ -80,3 +80,8 @@ def test_long_texts_are_compared_in_bounded_memory(monkeypatch):
 def test_jaro_winkler(asked):
     got = {r["s1_id"]: r["name_jw"] for r in asked("jaro_winkler")}
     assert got["S1-1"] == round(float(S.jaro_winklers([(NUT, BOLT)])[0]), 6)
+
+
+def test_key_recall(asked):
+    got = {r["family"]: (r["hit"], r["recall"]) for r in asked("key_recall")}
+    assert got == dict.fromkeys(("NAME1_ADDRNO", "PREFIX4_ADDRNO", "NAME1_STREET", "ADDRNO_STREET", "ADDR_TOK_PAIR"), (1, 0.5))
