@@ -85,3 +85,8 @@ def test_jaro_winkler(asked):
 def test_key_recall(asked):
     got = {r["family"]: (r["hit"], r["recall"]) for r in asked("key_recall")}
     assert got == dict.fromkeys(("NAME1_ADDRNO", "PREFIX4_ADDRNO", "NAME1_STREET", "ADDRNO_STREET", "ADDR_TOK_PAIR"), (1, 0.5))
+
+
+def test_macro_f05(asked):
+    (got,) = asked("macro_f05")
+    assert (got["macro_f"], got["micro_precision"], got["micro_recall"], got["predicted_singletons"]) == (0.5, 1.0, 0.5, 1)
