@@ -90,3 +90,7 @@ def test_key_recall(asked):
 def test_macro_f05(asked):
     (got,) = asked("macro_f05")
     assert (got["macro_f"], got["micro_precision"], got["micro_recall"], got["predicted_singletons"]) == (0.5, 1.0, 0.5, 1)
+
+
+def test_outside_candidates(asked):
+    assert asked("outside_candidates") == []
