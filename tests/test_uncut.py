@@ -94,3 +94,8 @@ def test_macro_f05(asked):
 
 def test_outside_candidates(asked):
     assert asked("outside_candidates") == []
+
+
+def test_pair_completeness(asked):
+    (got,) = asked("pair_completeness")
+    assert (got["pair_completeness"], got["candidate_pairs"], got["recalled_pairs"]) == (1.0, 2, 2)
