@@ -99,3 +99,8 @@ def test_outside_candidates(asked):
 def test_pair_completeness(asked):
     (got,) = asked("pair_completeness")
     assert (got["pair_completeness"], got["candidate_pairs"], got["recalled_pairs"]) == (1.0, 2, 2)
+
+
+def test_pair_features(asked):
+    got = {r["s1_id"]: r for r in asked("pair_features")}
+    assert got["S1-1"]["name_len_diff"] == len(BOLT) - len(NUT) and got["S1-1"]["name_token_jaccard"] == 0.333333 and got["S1-2"]["blocking_score"] == 98.411217
