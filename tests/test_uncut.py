@@ -104,3 +104,8 @@ def test_pair_completeness(asked):
 def test_pair_features(asked):
     got = {r["s1_id"]: r for r in asked("pair_features")}
     assert got["S1-1"]["name_len_diff"] == len(BOLT) - len(NUT) and got["S1-1"]["name_token_jaccard"] == 0.333333 and got["S1-2"]["blocking_score"] == 98.411217
+
+
+def test_probability_profile(asked):
+    (got,) = asked("probability_profile")
+    assert got["below_05"] == 0.5 and got["below_40"] == 0.5 and got["p05"] == round(0.006931 + 0.05 * (0.984112 - 0.006931), 6)
