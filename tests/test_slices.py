@@ -114,3 +114,26 @@ def test_recall_of_a_key_of_all_records_in_time(spark, monkeypatch):
     monkeypatch.setattr(registry, "part_truth", lambda *_: truth)
     got = {r["family"]: r["recall"] for r in within(spark, 60, lambda: registry.key_recall(spark, "").collect())}
     assert got["FULL_NAME"] == 1.0 and "NAME_ADDRNO" not in got
+
+
+def test_queries_alike_are_dealt_together(spark, monkeypatch):
+    """Their wide keys are summed once; more of them than a slice holds go to several."""
+    monkeypatch.setattr(slices, "QUERIES", 40)
+    monkeypatch.setattr(slices, "FEW", 10)
+    r = random.Random(12)
+    rows = lambda n, many: [(i, min(i % 30, 9), r.randrange(many), float(r.randint(1, 4))) for i in range(n) for _ in range(4)]
+    asked = spark.createDataFrame(rows(300, 20), "q long, alike long, h long, weight double")
+    pool = spark.createDataFrame(rows(200, 20), "t long, alike long, h long, weight double").drop("alike")
+    part = {(min(x["q"] % 30, 9), x["part"]) for x in slices._together(asked, "alike", 8).collect()}
+    assert [len({p for a, p in part if a == i}) for i in range(9)] == [1] * 9 and 1 < len({p for a, p in part if a == 9}) <= 8
+    plain = sorted(map(tuple, slices.best(asked.drop("alike"), pool, 5, 9).collect()))
+    assert plain == sorted(map(tuple, slices.best(asked, pool, 5, 9, alike="alike").collect())) and plain
+
+
+def test_retrieval_deals_queries_by_their_names(spark, monkeypatch):
+    e = _alike(spark, 40).selectExpr("entity_id", "source", "concat('red iron mill x', substr(entity_id, 4)) AS business_name", "business_address", "country")
+    seen = []
+    deal = slices._together
+    monkeypatch.setattr(slices, "_together", lambda a, alike, sets: seen.append(a.select(alike).distinct().count()) or deal(a, alike, sets))
+    got = lexical.retrieve(e.where("source = 'S1'"), lexical.fit(e.where("source <> 'S1'")), k=2)
+    assert got.columns == ["s1_id", "target_id", "score", "rank"] and got.count() == 40 and seen == [1]
